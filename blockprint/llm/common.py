@@ -79,15 +79,3 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups of the given lengths: each element's group, and its place in the group."""
-    group = np.repeat(np.arange(len(lengths)), lengths)
-    return group, np.arange(len(group)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
-def large_list(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))

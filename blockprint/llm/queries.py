@@ -29,18 +29,48 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_and_read(spark, table(spark, sf_dir, "documents"), fresh_folder(spark, "token-records"), tokenizer_path(), end=0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockprint.llm.tiff import media_digests, store_documents
 
     return media_digests(store_documents(table(spark, sf_dir, "documents")))
 
 
+def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.suffixes import drop_repeated_strings
+
+    return drop_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockprint.llm.bpe import digests, encode_documents
 
     return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op8_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.superkmers import drop_repeated_windows
+
+    return drop_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"), fresh_folder(spark, "archives"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockprint.llm.mixing import mixed_documents
 
@@ -48,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_records, op4_tiff_pages, op6_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op2_token_records, op3_quality, op4_tiff_pages, op5_suffix_arrays, op6_bpe, op7_rules, op8_superkmers, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,12 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockprint.llm.bpe import SPLIT, Pieces, byte_of_char, vocabulary
+from blockprint.llm.bpe import CACHE, PreTokens, byte_of_char, vocabulary
 from blockprint.llm.common import column, cut, shuffle_partitions
 
 #: Fixed values of the record format: the polynomial of CRC-32C (reflected), and the mask's rotation and constant.
@@ -141,8 +140,9 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Texts are split by the vocabulary's own pattern; the ids of a pre-token are asked
-    for once and kept. A text with the string of a special token goes to the library whole."""
+    """Ids by the tokenizers library. Where the vocabulary is byte-level with the usual pattern, the library's model is
+    asked for each pre-token once and the ids are kept; other vocabularies, and texts with the string of a special token,
+    go to the library whole."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -154,11 +154,10 @@ class LibraryEncoder:
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["normalizer"] is None
         self.special = list(special) if plain else [""]
-        self.split = regex.compile(SPLIT).findall
         self.end = np.array([end], "<u4").tobytes()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
         self.visible = {b: c for c, b in byte_of_char().items()}
-        self.pieces = Pieces(self.piece if plain else self.whole, 300_000)
+        self.plain = PreTokens(self.piece, CACHE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -170,8 +169,7 @@ class LibraryEncoder:
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.frombuffer(self.whole(text) + self.end, "<u4")
-        pieces = self.pieces
-        return np.frombuffer(b"".join([pieces[w] for w in self.split(text)]) + self.end, "<u4")
+        return np.frombuffer(self.plain(text) + self.end, "<u4")
 
 
 @functools.lru_cache(maxsize=2)
