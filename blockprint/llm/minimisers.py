@@ -134,9 +134,19 @@ def first_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(sorted(i for _, i in best.values()), pa.int64()))
 
 
-def values_of(docs: DataFrame, units: Callable, window: int, gram: int) -> DataFrame:
-    """doc_id, value, twice: the minimisers of each text's windows, each once; twice where it has several runs or a run
-    longer than one gram allows (so the text may repeat itself). units: of bytes and bounds, 64-bit units and lengths."""
+def comes_again(units: np.ndarray, window: int, most: int) -> np.ndarray:
+    """Whether the window at each place stands again at most that many units later."""
+    hashes = Ranges(units).every(window)
+    out = np.zeros(len(hashes), bool)
+    for k in range(1, min(most, len(hashes) - 1) + 1):
+        out[:-k] |= hashes[:-k] == hashes[k:]
+    return out
+
+
+def values_of(docs: DataFrame, units: Callable, window: int, gram: int, within: bool) -> DataFrame:
+    """doc_id, value, twice: the minimisers of each text's windows, each once. If within is asked for, twice tells
+    whether the text may repeat a window with that minimiser: it has several runs of it, or a window comes again in a run.
+    units: of bytes and bounds, 64-bit units and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +158,16 @@ def values_of(docs: DataFrame, units: Callable, window: int, gram: int) -> DataF
                 owner = np.repeat(np.arange(part.num_rows), lengths)
                 minima = window_minima(values, window, gram)
                 inside = windows_inside(lengths, window)[: len(minima)]
+                again = comes_again(values, window, window - gram)[inside] if within else np.zeros(int(inside.sum()), bool)
                 v, o = minima[inside], owner[: len(minima)][inside]
                 starts, ends = runs(v, o)
-                v, o, long = v[starts], o[starts], ends - starts > window - gram + 1
+                if not len(starts):
+                    continue
+                v, o, again = v[starts], o[starts], np.logical_or.reduceat(again, starts) | (ends - starts > window - gram + 1)
                 order = np.lexsort((v, o))
-                v, o, long = v[order], o[order], long[order]
+                v, o, again = v[order], o[order], again[order]
                 first, last = runs(v, o)
-                twice = (last - first > 1) | (np.add.reduceat(long, first) > 0) if len(first) else np.zeros(0, bool)
+                twice = (last - first > 1) | np.logical_or.reduceat(again, first)
                 yield pa.record_batch({"doc_id": column(part, "doc_id").take(pa.array(o[first])), "value": pa.array(v[first]), "twice": pa.array(twice)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -196,7 +209,7 @@ def shared_values(values: DataFrame, within: bool) -> DataFrame:
 
 def with_shared_values(docs: DataFrame, firsts: DataFrame, units: Callable, window: int, gram: int, within: bool) -> DataFrame:
     """doc_id, key, text, values of the documents in firsts (doc_id, key) that have shared values."""
-    known = shared_values(values_of(docs, units, window, gram), within)
+    known = shared_values(values_of(docs, units, window, gram, within), within)
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("values"))
     rows = firsts.join(known, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "values")
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
