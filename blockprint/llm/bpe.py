@@ -183,14 +183,15 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """For each row of ids: how many, their digest, and that of the text which decode() gives."""
+def digests(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """For each row of ids: how many, their digest, and that of the text which decode() gives (and the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = token_bytes(path)
         for batch in batches:
             ids = binary(column(batch, "ids")).to_pylist()
             texts = (decode(x, bytes_of) for x in ids)
+            kept = {"ids": column(batch, "ids")} if keep_ids else {}
             yield pa.record_batch(
                 {
                     "doc_id": column(batch, "doc_id"),
@@ -198,6 +199,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
                     "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
                 }
+                | kept
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)

@@ -150,7 +150,8 @@ def mix(docs: DataFrame, size: Column, members: Column, key: Sequence[str], *, w
     outside = known.where("_slice <> _at").withColumn("_more", (F.col("_slice") < F.col("_at")).cast("int"))
     out = inside.unionByName(outside)
     out = out.withColumn("repeats", (F.col("_full") + F.col("_more")).cast("long"))
-    return out.withColumn("taken", F.col("size") * F.col("repeats")).drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.withColumn("taken", F.col("size") * F.col("repeats"))
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in key])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -158,3 +159,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     base = docs.select("doc_id", "source", word_count(F.col("text")).alias("_n"), F.xxhash64("text").alias("_text"))
     out = mix(cut(base).select("doc_id", F.col("source").alias("_s"), "_n", F.col("_text").alias("tie")), F.col("_n"), F.array("_s"), ["doc_id", "tie"], **options)
     return out.select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is repeated, with docs' columns."""
+    rows = docs.select(*docs.columns, F.xxhash64("text").alias("_tie"))
+    out = mix(rows, word_count(F.col("text")), F.array("source"), ["doc_id", "_tie"], **options)
+    return out.where("repeats > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_turn")).drop("_turn")

@@ -196,3 +196,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = cut(with_statistics(docs))
     out = scored(stats, fit(stats, labels))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns. It is fitted to the labelled rows of docs;
+    statistics are taken once more where rows are judged, so no text is shuffled."""
+    model = fit(cut(with_statistics(docs)), labels)
+    parameters = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array(parameters.value.score(statistics(column(part, "text"))) >= ACCEPT))
+
+    return docs.mapInArrow(run, docs.schema)

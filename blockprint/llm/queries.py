@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockprint.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockprint.llm.records import written_and_read
 
@@ -78,7 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_records, op3_quality, op4_tiff_pages, op5_suffix_arrays, op6_bpe, op7_rules, op8_superkmers, op9_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_records, op3_quality, op4_tiff_pages, op5_suffix_arrays, op6_bpe, op7_rules, op8_superkmers, op9_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
