@@ -4,10 +4,11 @@ A document's point is its set of distinct SIZE-word shingles (a shorter text: it
 documents with equal sets are one class. The distance 1 - |A & B| / |A | B| obeys the triangle inequality. Two points
 link when their distance is at most EPS.
 
-Regions. Pivots of a first kind are the sets of one shingle: two points that link share one of the first
-|A| - ceil((1 - EPS) |A|) + 1 shingles of both, in any fixed order of shingles, so the points that have a shingle among
-these form a region in which all links to be found through it lie. Frequent shingles come last in the order. A region is
-named by its least point, and regions of one name are joined as one. The distances to pivots inside a region settle most
+Regions. Pivots of a first kind are the sets of one shingle: two points that link share MARGIN |A| + 1 or more of the
+first (EPS + MARGIN) |A| + 1 shingles of both, in any fixed order of shingles, so the points that have a shingle among
+these form a region, and every link lies in one. Points that share fewer of their first shingles with any others link with
+none. Frequent shingles come last in the order. A region is named by its least point, and regions of one name are joined
+as one; of these, points with no other of a size near enough are left out. The distances to pivots inside a region settle most
 of it: with pivot q, points within EPS of q link to it; if every point outside q's component is farther from q than
 d(x, q) + EPS, then x has no other links that matter, and is done. What is left is split into Voronoi regions of several
 pivots. A point joins the region of its nearest pivot, and (window) each one whose pivot is not farther than that by more
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.components import components
 from blockprint.llm.minimisers import BYTE_VALUES, Ranges, lowered, mixed, ragged_ranges, runs, words_of
+from blockprint.operators.components import components
 
 SIZE, PERCENT = 5, 80
-EPS = 1 - PERCENT / 100
+#: Of a point's shingles, so many in a hundred are looked at beyond those that a link may lack.
+MARGIN_PERCENT = 10
 #: Shingles of a region that one task joins; larger regions are split over the cluster.
 REGION = 3_000_000
 #: A shingle that so many documents of one piece of a task have may be frequent; at most so many are known to all tasks.
@@ -60,12 +62,23 @@ def shingles(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[np
     owner, place = ragged_ranges(counts)
     a = first[owner] + place
     h = Ranges(words)(a, a + np.minimum(lengths[owner], size))
-    order = np.lexsort((h, owner))
+    order = by_owner(np.argsort(h), owner)
     h, owner = h[order], owner[order]
     keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
     return h[keep], np.bincount(owner[keep], minlength=len(lengths))
 
 
+def by_owner(order: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """An order made stable by owner. Small numbers are sorted by their digits."""
+    key = owner[order]
+    return order[np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")]
+
+
+def lacking(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of n shingles a set that links may lack at most."""
+    return n - (percent * n + 99) // 100
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that pieces of tasks have often, at most MOST_FREQUENT by number of documents; only the order of shingles
     depends on them, not the result."""
@@ -98,11 +111,11 @@ def points(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     late = known[at] == h
-                order = np.lexsort((h, late, owner))
+                order = by_owner(np.arange(len(h)), 2 * owner + late)
                 h, (_, place) = h[order], ragged_ranges(n)
                 first = np.zeros(len(n), bool)
                 first[np.unique(cid, return_index=True)[1]] = True
-                length = np.where(first, n - (percent * n + 99) // 100 + 1, 0)
+                length = np.where(first, lacking(n, percent) + MARGIN_PERCENT * n // 100 + 1, 0)
                 length[n == 0] = 0
                 take = place < length[owner]
                 offsets = np.append(0, np.cumsum(length)).astype(np.int32)
@@ -272,35 +285,76 @@ def region_links(rows: DataFrame, percent: int) -> DataFrame:
 # ---- regions over the cluster --------------------------------------------------------------------------------------
 
 
-def memberships(pts: DataFrame) -> DataFrame:
-    """Distinct (p, x): point x is in the region named p. Rows of a shingle come in the order of points; the first names
-    the region, so nothing but it is kept of a shingle, however many points have it."""
+def memberships(pts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (p, x, n): point x, of n shingles, is in the region named p. Rows of a shingle come in the order of
+    points; the first names the region, so nothing but it is kept of a shingle, however many points have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader, last_x, told = None, None, None, False
+        last, last_x, leader, alone = None, None, None, False  # alone: the open shingle has one point so far
         for batch in batches:
             s, x = column(batch, "shingle").to_numpy(), column(batch, "cid").to_numpy()
+            if not len(s):
+                continue
+            again = np.append((s[0] == last) and (x[0] == last_x), (s[1:] == s[:-1]) & (x[1:] == x[:-1]))
+            last_x = x[-1]
+            s, x = s[~again], x[~again]
             if not len(s):
                 continue
             new = np.append(s[0] != last, s[1:] != s[:-1])
             first = np.flatnonzero(new)
-            leaders = np.empty(len(s), np.int64)
-            if not new[0]:
-                leaders[: first[0] if len(first) else len(s)] = leader
+            ends = np.append(first[1:], len(s))
+            head = first[0] if len(first) else len(s)  # rows of the shingle that was open
+            leaders = np.concatenate([np.full(head, leader if head else 0, np.int64), np.repeat(x[first], ends - first)])
+            several = np.repeat(ends - first > 1, ends - first)
+            take = np.concatenate([np.ones(head, bool), several])
+            p, q = leaders[take], x[take]
+            if head and alone:  # the open shingle's first point has company now
+                p, q = np.append(p, leader), np.append(q, leader)
             if len(first):
-                leaders[first[0] :] = np.repeat(x[first], np.diff(np.append(first, len(s))))
-            other = x != leaders
-            p, q = leaders[other], x[other]
+                leader, alone = x[first[-1]], ends[-1] - first[-1] == 1
+            else:
+                alone = False
+            last = s[-1]
             if len(p):
-                # A leader is a member too, once for each batch that has others.
-                each = np.unique(p)
-                pairs = np.unique(np.stack([np.concatenate([p, each]), np.concatenate([q, each])], axis=1), axis=0)
-                yield pa.record_batch({"p": pairs[:, 0], "x": pairs[:, 1]})
-            last, leader = s[-1], leaders[-1]
+                order = np.lexsort((q, p))
+                a, b = runs(p[order], q[order])
+                yield pa.record_batch({"p": p[order][a], "x": q[order][a], "times": pa.array(b - a, pa.int64())})
 
     rows = pts.select(F.explode("prefix").alias("shingle"), "cid")
     rows = rows.repartition(shuffle_partitions(pts.sparkSession), "shingle").sortWithinPartitions("shingle", "cid")
-    return rows.mapInArrow(run, "p long, x long").distinct()
+    found = cut(rows.mapInArrow(run, "p long, x long, times long").groupBy("p", "x").agg(F.sum("times").alias("times")))
+    # A point that links has MARGIN_PERCENT of its shingles and one more in common with others.
+    enough = found.groupBy(F.col("x").alias("cid")).agg(F.sum("times").alias("_times")).join(classes, "cid")
+    enough = enough.where(F.col("_times") >= F.floor(F.col("n") * MARGIN_PERCENT / 100) + 1).select("cid", "n")
+    kept = found.join(enough, F.col("x") == F.col("cid")).select("p", "x", "n")
+    return cut(near_in_size(kept, percent))
+
+
+def near_in_size(members: DataFrame, percent: int) -> DataFrame:
+    """(p, x, n) without points of whose region no other point has a size that allows a link. Rows come by size, so the
+    nearest sizes stand side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, rest_kept = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            p, n = column(batch, "p").to_numpy(), column(batch, "n").to_numpy()
+            near = (p[1:] == p[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            keep = np.append(False, near) | np.append(near, False)
+            if rest is not None:
+                keep[0] |= rest_kept
+            rest, rest_kept = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
+            out = batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            if out.num_rows:
+                yield out
+        if rest is not None and rest_kept:
+            yield rest
+
+    spread = members.repartition(shuffle_partitions(members.sparkSession), "p").sortWithinPartitions("p", "n")
+    return spread.mapInArrow(run, "p long, x long, n long")
 
 
 def region_rows(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -456,9 +510,8 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect every two classes that are linked."""
-    members = cut(memberships(pts))
-    sized = members.join(classes, F.col("x") == F.col("cid"))
-    large_names = cut(sized.groupBy(F.col("p").alias("_p")).agg(F.sum("n").alias("_n")).where(F.col("_n") > REGION).select("_p"))
+    members = memberships(pts, classes, percent)
+    large_names = cut(members.groupBy(F.col("p").alias("_p")).agg(F.sum("n").alias("_n")).where(F.col("_n") > REGION).select("_p"))
     at = F.col("p") == F.col("_p")
     found = [cut(region_links(region_rows(docs, members.join(large_names, at, "left_anti"), classes), percent))]
     # Few regions are large; what is known of them goes through files, as its size decides on the next round.
