@@ -17,6 +17,7 @@ import functools
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -156,6 +157,7 @@ class LibraryEncoder:
         self.special = list(special) if plain else [""]
         self.end = np.array([end], "<u4").tobytes()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+        self.tokenize = self.tokenizer.model.tokenize
         self.visible = {b: c for c, b in byte_of_char().items()}
         self.plain = PreTokens(self.piece, CACHE)
 
@@ -163,8 +165,11 @@ class LibraryEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, text: str) -> bytes:
-        shown = text.encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        if text.isascii() and text.lstrip(" ").isalnum():  # such characters stand for themselves
+            shown = text.replace(" ", self.visible[ord(" ")])
+        else:
+            shown = text.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -223,8 +228,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int = 0) -> Dat
     return cut(written)
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """The records of write_ids()' files, by their index: part, place (in the file), doc_id, ids (32-bit, little-endian)."""
+def read_ids(files: DataFrame, digests: bool = False) -> DataFrame:
+    """The records of write_ids()' files, by their index: part, place (in the file), doc_id, ids (32-bit, little-endian);
+    or, instead of the ids, their number and CRC-32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,30 +244,24 @@ def read_ids(files: DataFrame) -> DataFrame:
                         base = offsets[i]
                         data = f.read_at(ends[min(i + 500, len(offsets)) - 1] - base, base)
                         rows = [unpacked(p) for p in unframed(data, [o - base for o in offsets[i : i + 500]])]
-                        yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int32()), "place": pa.array(range(i, i + len(rows)), pa.int64()), "doc_id": pa.array([d for d, _ in rows], pa.int64()), "ids": pa.array([ids.tobytes() for _, ids in rows], pa.binary())})
+                        raw = [ids.tobytes() for _, ids in rows]
+                        what = {"n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())} if digests else {"ids": pa.array(raw, pa.binary())}
+                        yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int32()), "place": pa.array(range(i, i + len(rows)), pa.int64()), "doc_id": pa.array([d for d, _ in rows], pa.int64())} | what)
 
     # One file for a task: the list has a row for each file.
     spread = files.select("part", "file").repartition(max(1, shuffle_partitions(files.sparkSession)), "part")
-    return spread.mapInArrow(run, "part int, place long, doc_id long, ids binary")
+    return spread.mapInArrow(run, "part int, place long, doc_id long, " + ("n_tokens long, ids_crc32 long" if digests else "ids binary"))
 
 
-def placed(files: DataFrame, records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each record. The sums before each file come from the list of files, and
-    those inside a file from a window over its records."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = column(batch, "ids").to_pylist()
-            yield pa.record_batch({"part": column(batch, "part"), "place": column(batch, "place"), "doc_id": column(batch, "doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())})
-
+def placed(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each record that the files hold. The sums before each file come from the
+    list of files (one row a file), and those inside a file from a window over its records."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = records.mapInArrow(run, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
-    rows = rows.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    rows = read_ids(files, digests=True).withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.join(starts, "part").select("doc_id", (F.col("_base") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def written_and_read(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end: int = 0) -> DataFrame:
-    files = write_ids(docs, folder, tokenizer, end)
-    return placed(files, read_ids(files))
+    return placed(write_ids(docs, folder, tokenizer, end))
