@@ -10,25 +10,25 @@ from blockprint.functions import digests, plain
 from blockprint.functions.hashes import HASH
 
 ERROR = "struct<kind:string,origin:string,offset:int>"
+COMPARED = f"struct<score:int,side:string,error:{ERROR}>"
+PARSED = f"struct<hash:{HASH},last_index:int,error:{ERROR}>"
+ARROW_HASH = pa.struct([("log_block_size", pa.int32()), ("bh1", pa.string()), ("bh2", pa.string())])
+ARROW_ERROR = pa.struct([("kind", pa.string()), ("origin", pa.string()), ("offset", pa.int32())])
+ARROW_PARSED = pa.struct([("hash", ARROW_HASH), ("last_index", pa.int32()), ("error", ARROW_ERROR)])
+ARROW_COMPARED = pa.struct([("score", pa.int32()), ("side", pa.string()), ("error", ARROW_ERROR)])
 
 
 def register(spark: SparkSession) -> None:
     """ctph_digest, ctph_digest_long, ctph_parse, ctph_normalize, ctph_score, ctph_compare, ctph_windows
     and the table function ctph_index(hash)."""
 
-    def texts(name: str, kind: str, one):
+    def texts(name: str, kind: str, arrow: pa.DataType, one):
         @F.arrow_udf(kind)
         def f(v: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else one(x) for x in v.to_pylist()], arrow_type(kind))
+            return pa.array([None if x is None else one(x) for x in v.to_pylist()], arrow)
 
         spark.udf.register(name, f)
 
-    def arrow_type(kind: str) -> pa.DataType:
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import _parse_datatype_string
-
-        return to_arrow_type(_parse_datatype_string(kind))
-
     def on_bytes(name: str, truncate: bool):
         @F.arrow_udf(HASH)
         def f(v: pa.Array) -> pa.Array:
@@ -38,14 +38,14 @@ def register(spark: SparkSession) -> None:
 
     on_bytes("ctph_digest", True)
     on_bytes("ctph_digest_long", False)
-    texts("ctph_parse", f"struct<hash:{HASH},last_index:int,error:{ERROR}>", lambda t: plain.parse(t, long=True, normalized=False))
-    texts("ctph_normalize", "string", plain.normalize)
-    texts("ctph_windows", "array<bigint>", plain.index_keys)
+    texts("ctph_parse", PARSED, ARROW_PARSED, lambda t: plain.parse(t, long=True, normalized=False))
+    texts("ctph_normalize", "string", pa.string(), plain.normalize)
+    texts("ctph_windows", "array<bigint>", pa.list_(pa.int64()), plain.index_keys)
 
-    @F.arrow_udf("struct<score:int,side:string,error:" + ERROR + ">")
+    @F.arrow_udf(COMPARED)
     def ctph_compare(a: pa.Array, b: pa.Array) -> pa.Array:
         out = [None if None in (x, y) else plain.compare(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-        return pa.array(out, arrow_type("struct<score:int,side:string,error:" + ERROR + ">"))
+        return pa.array(out, ARROW_COMPARED)
 
     spark.udf.register("ctph_compare", ctph_compare)
     spark.udf.register("ctph_score", digests._scores())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +14,14 @@ from blockprint.functions.digests import digest_checked
 
 def hash_files(spark: SparkSession, path: str | list[str], long: bool = False) -> DataFrame:
     """path, length, digest, error for each file (2 GiB at most; larger ones go through chunks). A file whose content is
-    not as long as it was when it was listed gives an error and no digest."""
+    not as long as it was when it was listed gives an error and no digest. Spark's scan leaves out empty files; they come
+    from its listing, which the driver has anyway."""
     files = spark.read.format("binaryFile").load(path)
     checked = digest_checked("content", "length", truncate=not long, long=long)
-    return files.select("path", "length", checked.alias("_d")).select("path", "length", F.col("_d.hash").alias("digest"), F.col("_d.error").alias("error"))
+    full = files.select("path", "length", checked.alias("_d")).select("path", "length", F.col("_d.hash").alias("digest"), F.col("_d.error").alias("error"))
+    listed = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()], "path string")
+    none = listed.join(files.select("path"), "path", "left_anti")
+    return full.unionByName(none.select("path", F.lit(0).cast("long").alias("length"), hashes.empty().alias("digest"), F.lit(None).cast("string").alias("error")))
 
 
 def read_hashes(spark: SparkSession, path: str | list[str], long: bool = True, normalized: bool = False, strict: bool = False) -> DataFrame:
