@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,21 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockprint.plans.checkpoints import cut, shared_folder
+
+__all__ = ["WORD", "WORD_PATTERN", "binary", "bytes_and_bounds", "column", "cut", "fresh_folder", "pieces", "shared_folder", "shuffle_partitions", "text_key"]
+
 #: A word: a maximal run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
-LOWER_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Text bytes that one numpy pass of a map task holds; about 8 arrays of 8 bytes each stand beside it.
-CHUNK_BYTES = 4 << 20
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='blockprint-')}")
-    return folder or jsc.getCheckpointDir().get()
+#: Text bytes that one numpy pass of a map task holds; about 10 arrays of 8 bytes each stand beside it.
+CHUNK_BYTES = 3 << 19
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -35,12 +28,6 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder. Spark deletes the files when nothing refers to them any more."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -124,6 +124,13 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n)
 
 
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal rows of 128 bits stand together, and the starts and ends of their runs in it. Rows are
+    sorted by their first half, which alone is all but sure to tell them apart, and compared as a whole."""
+    order = np.argsort(hashes[:, 0])
+    return order, *runs(hashes[order, 0], hashes[order, 1])
+
+
 def first_copies(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Without rows whose text another row of the batch has with a smaller doc_id (null is smallest)."""
     best: dict[str, tuple[tuple, int]] = {}
@@ -210,7 +217,7 @@ def shared_values(values: DataFrame, within: bool) -> DataFrame:
 def with_shared_values(docs: DataFrame, firsts: DataFrame, units: Callable, window: int, gram: int, within: bool) -> DataFrame:
     """doc_id, key, text, values of the documents in firsts (doc_id, key) that have shared values."""
     known = shared_values(values_of(docs, units, window, gram, within), within)
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("values"))
+    known = cut(known.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("values")))
     rows = firsts.join(known, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "values")
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     return texts.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "text", "values")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
 
 LENGTH, GRAM, SHARD = 50, 20, 2 << 20
 #: Between the stretches of a shard; never in UTF-8.
@@ -149,8 +149,7 @@ def packed_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 hashes = np.stack([Ranges(units, k)(at, at + length) for k in (0, 1)], axis=1)
                 del units
-                order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-                first, last = runs(hashes[order, 0], hashes[order, 1])
+                order, first, last = grouped(hashes)
                 doc = column(part, "doc_id").to_numpy()[owner[at]]
                 least = np.empty(len(at), doc.dtype)
                 least[order] = np.repeat(np.minimum.reduceat(doc[order], first), last - first)
@@ -178,45 +177,53 @@ class Shards:
 
     def add(self, table: pa.Table) -> pa.RecordBatch | None:
         """Runs of strings (doc_id, key, start, n) that a smaller document has."""
-        length = self.length
         values, n = table.column("value").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         ids, keys, starts = (table.column(c).to_numpy() for c in ("doc_id", "key", "start"))
-        flat, bounds = bytes_and_bounds(table.column("bytes").combine_chunks())
-        data = np.full(len(flat) + len(values), BETWEEN, np.uint8)  # a byte between stretches
-        row, place = ragged_ranges(np.diff(bounds))
-        at = np.arange(len(flat)) + row
-        data[at] = flat
-        valid, doc, of = np.zeros(len(data), bool), np.zeros(len(data), ids.dtype), np.zeros(len(data), np.int64)
-        valid[at] = place < n[row]
-        doc[at], of[at] = ids[row], row
-        order, group, least = owners(data, valid, doc, length)
-        row = of[order]
-        if len(order):
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            text = np.lib.stride_tricks.sliding_window_view(data, length)[order[first]]
-            if self.value is not None and self.value == values[0] and len(self.strings):
-                # Strings are compared as whole rows of bytes; padding zeros of the S type are no matter at a fixed width.
-                mine = np.ascontiguousarray(text).view(f"S{length}").ravel()
-                where = np.minimum(np.searchsorted(self.strings, mine), len(self.strings) - 1)
-                known = self.strings[where] == mine
-                least = np.where(known, np.minimum(least, self.least[where]), least)
-            last = values[row[first]] == values[-1]
-            strings, owned = np.ascontiguousarray(text[last]).view(f"S{length}").ravel(), least[last]
-            if self.value == values[-1] and len(self.strings):
-                new = ~np.isin(strings, self.strings)
-                strings, owned = np.concatenate([self.strings, strings[new]]), np.concatenate([self.least, owned[new]])
-            by = np.argsort(strings, kind="stable")
-            self.strings, self.least, self.value = strings[by], owned[by], int(values[-1])
-        gone = doc[order] > least[group]
-        if not gone.any():
+        stretches = table.column("bytes").to_pylist()
+        # A stretch that a smaller document has as a whole is gone as a whole; rows come by doc_id.
+        first: dict[bytes, int] = {}
+        of = np.fromiter((first.setdefault(s, i) for i, s in enumerate(stretches)), np.int64, len(stretches))
+        whole = ids > ids[of]
+        # Suffixes are sorted for values with several different stretches, and for those that other shards may have too.
+        unlike = np.flatnonzero(of == np.arange(len(of)))
+        a, b = runs(values[unlike])
+        several = np.repeat(b - a > 1, b - a) | (values[unlike] == values[-1]) | (values[unlike] == (self.value if self.value is not None else values[-1]))
+        rows = np.flatnonzero(np.isin(of, unlike[several]) & ~whole)
+        gone = [(np.flatnonzero(whole), starts[whole].astype(np.int64), n[whole])]
+        if len(rows):
+            gone.append(self.sort(rows, values, ids, starts, n, stretches))
+        who, begin, count = (np.concatenate(x) for x in zip(*gone, strict=True))
+        if not len(who):
             return None
-        w = order[gone]
-        w = np.sort(w)
+        return pa.record_batch([pa.array(ids[who]), pa.array(keys[who]), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc_id", "key", "start", "n"])
+
+    def sort(self, rows: np.ndarray, values: np.ndarray, ids: np.ndarray, starts: np.ndarray, n: np.ndarray, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these rows, the runs of strings that a smaller document has: row, start, number."""
+        length, between = self.length, bytes([BETWEEN])
+        data = np.frombuffer(between.join([stretches[i] for i in rows.tolist()]) + between, np.uint8)
+        sizes = np.array([len(stretches[i]) for i in rows.tolist()]) + 1
+        begin = np.cumsum(sizes) - sizes
+        of, place = ragged_ranges(sizes)
+        order, group, least = owners(data, place < n[rows][of], ids[rows][of], length)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        text = np.lib.stride_tricks.sliding_window_view(data, length)[order[first]]
+        value = values[rows][of[order[first]]]
+        if self.value is not None and len(self.strings) and (mine := np.flatnonzero(value == self.value)).size:
+            strings = np.ascontiguousarray(text[mine]).view(f"S{length}").ravel()
+            where = np.minimum(np.searchsorted(self.strings, strings), len(self.strings) - 1)
+            known = self.strings[where] == strings
+            least[mine] = np.where(known, np.minimum(least[mine], self.least[where]), least[mine])
+        last = value == values[-1]
+        strings, owned = np.ascontiguousarray(text[last]).view(f"S{length}").ravel(), least[last]
+        if self.value == values[-1] and len(self.strings):
+            new = ~np.isin(strings, self.strings)
+            strings, owned = np.concatenate([self.strings, strings[new]]), np.concatenate([self.least, owned[new]])
+        by = np.argsort(strings, kind="stable")
+        self.strings, self.least, self.value = strings[by], owned[by], int(values[-1])
+        w = np.sort(order[ids[rows][of[order]] > least[group]])
         a, b = runs(w - np.arange(len(w)), of[w])
-        w, n = w[a], b - a
-        begin = np.cumsum(np.diff(bounds) + 1) - (np.diff(bounds) + 1)
-        who = of[w]
-        return pa.record_batch([pa.array(ids[who]), pa.array(keys[who]), pa.array((starts[who] + w - begin[who]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "key", "start", "n"])
+        w, count = w[a], b - a
+        return rows[of[w]], starts[rows][of[w]] + w - begin[of[w]], count
 
 
 def repeated_strings(stretches: DataFrame, length: int) -> DataFrame:
@@ -277,10 +284,13 @@ def without_spans(texts: DataFrame, length: int, keep_text: bool) -> DataFrame:
 
 
 def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (and text, what is left, if keep_text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = copies(docs.where("doc_id is not null"))
-    texts = with_shared_values(docs.where("doc_id is not null"), known.select("doc_id", "key"), byte_units, length, gram, within=False)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; if keep_text, also text (what is left) and
+    rest (a struct of docs' other columns)."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]) if keep_text else F.lit(None)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
+    numbered = docs.where("doc_id is not null").select("doc_id", "text")
+    known = copies(numbered)
+    texts = with_shared_values(numbered, known.select("doc_id", "key"), byte_units, length, gram, within=False)
     found = repeated_strings(packed_stretches(texts, length, gram), length)
     lists = cut(found.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
     ids = lists.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts", "ns")
@@ -290,7 +300,7 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     left = left.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.col("kept_sha256").alias("_sha"), *(["kept"] if keep_text else []))
     # Texts that several rows have: all but the first document's are gone as a whole.
     several = known.where("n > 1").select(F.col("digest").alias("_digest"), F.col("key").alias("_several"), F.col("doc_id").alias("_first"))
-    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_own"), *(["text"] if keep_text else []))
+    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_own"), *(["text", "rest"] if keep_text else []))
     out = base.join(left, at(base, left), "left").join(several, (F.col("_own") == F.col("_digest")) & (F.col("key") == F.col("_several")), "left")
     whole = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)) & (F.col("n_bytes") >= length)
     columns = [
@@ -301,5 +311,5 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_sha", "_own")).alias("kept_sha256"),
     ]
     if keep_text:
-        columns += ["key", F.when(whole, "").otherwise(F.coalesce("kept", "text")).alias("text")]
+        columns += ["rest", F.when(whole, "").otherwise(F.coalesce("kept", "text")).alias("text")]
     return out.select(*columns)

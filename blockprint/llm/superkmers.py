@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import WORD, WORD_PATTERN, bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values, words_of
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values, words_of
 
 WINDOW, GRAM, PIECE = 35, 8, 3 << 20
 
@@ -39,12 +39,6 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return np.stack([Ranges(words, k).every(window) for k in (0, 1)], axis=1)
 
 
-def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order in which equal rows stand together, and the starts and ends of their runs in it."""
-    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-    return order, *runs(hashes[order, 0], hashes[order, 1])
-
-
 SHIPPED = "value long, doc_id {kind}, key long, start int, n int, words binary"
 
 
