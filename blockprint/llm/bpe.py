@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from blockprint.llm.common import binary, column
 
 #: Pre-tokens whose ids a worker keeps, in each of two generations.
-CACHE = 200_000
+CACHE = 160000
 #: Fixed values of byte-level BPE: the pattern that splits text, and the bytes that stand for themselves in vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VISIBLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -165,41 +165,39 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return vocabulary(path)[2]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids: the whole text's ids as little-endian unsigned 32-bit integers."""
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, ids: bool = True) -> DataFrame:
+    """doc_id and ids: the whole text's ids as little-endian unsigned 32-bit integers. With digests also n_tokens,
+    ids_sha256 and decoded_sha256, that of the text to which the ids decode; one task then encodes and decodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [bpe.encode(t or "") for t in column(part, "text").to_pylist()]
-                yield pa.record_batch({"doc_id": column(part, "doc_id"), "ids": pa.array(ids, pa.binary())})
+                raw = [bpe.encode(t or "") for t in column(part, "text").to_pylist()]
+                out = {"doc_id": column(part, "doc_id")}
+                if digests:
+                    out |= {
+                        "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+                        "decoded_sha256": pa.array([hashlib.sha256(decode(x, bpe.bytes_of).encode()).hexdigest() for x in raw], pa.string()),
+                    }
+                yield pa.record_batch(out | ({"ids": pa.array(raw, pa.binary())} if ids else {}))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests + ", ids binary" * ids)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
-def digests(encoded: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """For each row of ids: how many, their digest, and that of the text which decode() gives (and the ids)."""
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of rows of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = token_bytes(path)
         for batch in batches:
-            ids = binary(column(batch, "ids")).to_pylist()
-            texts = (decode(x, bytes_of) for x in ids)
-            kept = {"ids": column(batch, "ids")} if keep_ids else {}
-            yield pa.record_batch(
-                {
-                    "doc_id": column(batch, "doc_id"),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
-                }
-                | kept
-            )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+            yield pa.record_batch({"doc_id": column(batch, "doc_id"), "text": pa.array([decode(x, bytes_of) for x in binary(column(batch, "ids")).to_pylist()], pa.string())})
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)

@@ -54,9 +54,9 @@ def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from blockprint.llm.bpe import digests, encode_documents
+    from blockprint.llm.bpe import encode_documents
 
-    return digests(encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True, ids=False)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers) of each row."""
-    path = tokenizer_path()
-    return bpe.digests(bpe.encode_documents(docs, path), path, keep_ids=True)
+    return bpe.encode_documents(docs, tokenizer_path(), digests=True)
 
 
 STAGES = [
