@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -189,7 +190,7 @@ def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
                         yield record(r["record_type"], name(r["page_id"]), r["url"], r["html"].encode(), r["payload_bytes"], r["payload_digest"], name(r["refers_to"]))
 
         rest = records()
-        first = [r for r, _ in zip(rest, range(SAMPLES))]  # noqa: B905
+        first = list(itertools.islice(rest, SAMPLES))
         if not first:
             return
         raw = dictionary(first)
