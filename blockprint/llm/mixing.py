@@ -26,6 +26,8 @@ MOST_REPEATS = 2
 #: Patterns are solved for on the driver; more than this is an error, not a cut.
 MOST_PATTERNS = 200_000
 SLICES = 4096
+#: Columns that mix() adds; docs' own of these names are left out.
+RESULTS = ("size", "pattern_words", "pattern_taken", "source_size", "target", "repeats", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -111,7 +113,7 @@ def plan(patterns: Sequence[tuple[tuple, int]], weights: Sequence[int], percent:
 
 
 def mix(docs: DataFrame, size: Column, members: Column, key: Sequence[str], *, weights: Sequence[int] = WEIGHTS, percent: int = TOTAL_PERCENT, most_repeats: int = MOST_REPEATS, seed: int = 17) -> DataFrame:
-    """docs with columns size, pattern_words, pattern_target, source_size, target, repeats and taken = size * repeats.
+    """docs with columns size, pattern_words, pattern_taken, source_size, target, repeats and taken = size * repeats.
 
     members: array of a document's sources (elements may be null). key: columns that tell documents apart in the seeded
     order. A pattern's documents are all taken `words to take div words` times; the rest goes to documents in the order
@@ -120,7 +122,9 @@ def mix(docs: DataFrame, size: Column, members: Column, key: Sequence[str], *, w
     those of the first source of the pattern.
     """
     spark = docs.sparkSession
-    base = docs.select("*", size.alias("size"), F.array_sort(F.array_distinct(members)).alias("_pattern"), F.xxhash64(F.lit(seed), *key).alias("_hash"))
+    names = [f"_key{i}" for i in range(len(key))]
+    keys = [F.col(k).alias(n) for k, n in zip(key, names, strict=True)]
+    base = docs.select(F.struct(*docs.columns).alias("_row"), *keys, size.alias("size"), F.array_sort(F.array_distinct(members)).alias("_pattern"), F.xxhash64(F.lit(seed), *key).alias("_hash"))
     base = base.withColumn("_slice", F.shiftrightunsigned("_hash", 64 - (SLICES.bit_length() - 1)).cast("int"))
     sums = base.groupBy("_pattern").agg(F.sum("size").alias("words"))
     rows = sums.limit(MOST_PATTERNS + 1).collect()
@@ -145,13 +149,13 @@ def mix(docs: DataFrame, size: Column, members: Column, key: Sequence[str], *, w
     table = table.withColumns({"_at": F.coalesce(F.col("_cut._slice"), F.lit(SLICES)), "_left": F.col("_rest") - F.coalesce(F.col("_cut._before"), F.lit(0))}).drop("_cut")
     known = base.join(F.broadcast(table), same(base, table)).drop(table["_pattern"])
     inside = known.where("_slice = _at")
-    row = Window.partitionBy("_pattern").orderBy("_hash", *key).rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy("_pattern").orderBy("_hash", *names).rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("_more", (F.sum("size").over(row) <= F.col("_left")).cast("int"))
     outside = known.where("_slice <> _at").withColumn("_more", (F.col("_slice") < F.col("_at")).cast("int"))
     out = inside.unionByName(outside)
     out = out.withColumn("repeats", (F.col("_full") + F.col("_more")).cast("long"))
     out = out.withColumn("taken", F.col("size") * F.col("repeats"))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in key])
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -163,6 +167,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it is repeated, with docs' columns."""
-    rows = docs.select(*docs.columns, F.xxhash64("text").alias("_tie"))
-    out = mix(rows, word_count(F.col("text")), F.array("source"), ["doc_id", "_tie"], **options)
-    return out.where("repeats > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_turn")).drop("_turn")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), word_count(F.col("text")).alias("words"), F.col("source").alias("of"))
+    out = mix(rows, F.col("words"), F.array("of"), ["id", "tie"], **options)
+    return out.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
