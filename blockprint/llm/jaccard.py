@@ -26,6 +26,7 @@ component of such rows alone has a null component_id. Repeated rows are document
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,9 @@ MARGIN_PERCENT = 10
 REGION = 3_000_000
 #: A shingle that so many documents of one piece of a task have may be frequent; at most so many are known to all tasks.
 OFTEN, MOST_FREQUENT = 4, 200_000
-PIVOTS, ROUNDS, PIVOT_BYTES = 24, 8, 48 << 20
+PIVOTS, ROUNDS, PIVOT_BYTES = 24, 4, 48 << 20
+#: Pivots that would put a region's points into so many new regions on average do not split it.
+MOST_COPIES = 2
 SLACK = 1e-9
 U = np.uint64
 
@@ -391,7 +394,8 @@ def intersections(mine: np.ndarray, pivot_values: np.ndarray, pivot_of: np.ndarr
 
 
 def split_round(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """One round over regions that are too large for a task: links to pivots, and the rows that are left, in new regions.
+    """One round over regions that are too large for a task: links to pivots, and the rows that are left, in new regions;
+    whole: of regions that the pivots do not split, as their points would join most of the new ones.
 
     Pivots of a region are the points with the least hash in each of PIVOTS hash classes. Their sets go to all tasks, for
     so many regions at a time as PIVOT_BYTES allow.
@@ -411,11 +415,15 @@ def split_round(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         size += r["bytes"]
     links, left = [], []
     for group in groups:
-        a, b = split_group(rows.where(F.col("region").isin(group)), chosen.where(F.col("region").isin(group)), spark, percent, eps)
-        links.append(a)
+        of_group = F.broadcast(spark.createDataFrame([(r,) for r in group], "region long"))  # as few as their pivots' bytes allow
+        a, b = split_group(rows.join(of_group, "region", "left_semi"), chosen.join(of_group, "region", "left_semi"), spark, percent, eps)
+        links.append(cut(a))
         left.append(b)
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    return cut(union(links)), cut(union(left))
+    return union(links), cut(union(left))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def split_group(rows: DataFrame, chosen: DataFrame, spark, percent: int, eps: float) -> tuple[DataFrame, DataFrame]:
@@ -469,10 +477,32 @@ def split_group(rows: DataFrame, chosen: DataFrame, spark, percent: int, eps: fl
         for region, x in least.items():
             yield pa.record_batch({"region": pa.array([region] * len(x), pa.int64()), "b": pa.array(range(len(x)), pa.int32()), "d": x})
 
+    # How often the points that are left would stand in new regions, and how many they are.
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, list[int]] = {}
+        for batch in batches:
+            for region, raw, linked in zip(*(column(batch, c).to_pylist() for c in ("region", "d", "linked")), strict=True):
+                d = np.frombuffer(raw)
+                if not settled(region, d, linked):
+                    t = totals.setdefault(region, [0, 0])
+                    t[0] += sum(int(c[0]) for c in cells(d[:, None], eps))
+                    t[1] += 1
+        if totals:
+            yield pa.record_batch({"region": pa.array(list(totals), pa.int64()), "copies": pa.array([t[0] for t in totals.values()], pa.int64()), "points": pa.array([t[1] for t in totals.values()], pa.int64())})
+
+    def settled(region: int, d: np.ndarray, linked) -> bool:
+        """Whether a point has no links beyond those to pivots: all that it could reach are in its pivots' component."""
+        r = of_pivots.value[region]
+        return bool(np.any(np.isin(r, r[linked]) & (d + eps + SLACK < reach.value[region])))
+
     edges: dict[int, np.ndarray] = {r: np.full(len(p[0]), np.inf) for r, p in pivots.items()}
     for r in table_.mapInArrow(nearest, "region long, b int, d double").groupBy("region", "b").agg(F.min("d").alias("d")).toLocalIterator():
         edges[r["region"]][r["b"]] = r["d"]
     reach = spark.sparkContext.broadcast(edges)
+    whole = set()
+    for r in table_.mapInArrow(spread, "region long, copies long, points long").groupBy("region").agg(F.sum("copies").alias("copies"), F.sum("points").alias("points")).toLocalIterator():
+        if r["copies"] > MOST_COPIES * r["points"]:
+            whole.add(r["region"])
     links = table_.select("region", F.col("x").alias("a"), F.explode("linked").alias("_k"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,27 +512,28 @@ def split_group(rows: DataFrame, chosen: DataFrame, spark, percent: int, eps: fl
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, regions = [], []
+            keep, regions, kinds = [], [], []
             for i, (region, raw) in enumerate(zip(column(batch, "region").to_pylist(), column(batch, "set").to_pylist(), strict=True)):
                 d, linked = measure(region, raw)
-                r = of_pivots.value[region]
-                mine = np.isin(r, r[linked])
-                if np.any(mine & (d + eps + SLACK < reach.value[region])):
+                if settled(region, d, linked):
                     continue
-                for k, cell in enumerate(cells(d[:, None], eps)):
-                    if cell[0]:
-                        keep.append(i)
-                        regions.append(int(mixed(np.array([np.uint64(region & 0xFFFFFFFFFFFFFFFF) + U(k + 1)], np.uint64)).view(np.int64)[0]))
+                # Of a region that pivots do not split, the rows stay together; the others go to their cells.
+                places = [0] if region in whole else [k + 1 for k, cell in enumerate(cells(d[:, None], eps)) if cell[0]]
+                for k in places:
+                    keep.append(i)
+                    kinds.append(k == 0)
+                    regions.append(int(mixed(np.array([np.uint64(region & 0xFFFFFFFFFFFFFFFF) + U(k)], np.uint64)).view(np.int64)[0]))
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch({"region": pa.array(regions, pa.int64()), "x": column(batch, "x").take(at), "n": column(batch, "n").take(at), "set": column(batch, "set").take(at)})
+            yield pa.record_batch({"region": pa.array(regions, pa.int64()), "x": column(batch, "x").take(at), "n": column(batch, "n").take(at), "set": column(batch, "set").take(at), "whole": pa.array(kinds, pa.bool_())})
 
-    return links.mapInArrow(named, "a long, b long"), rows.select("region", "x", "n", "set").mapInArrow(remaining, "region long, x long, n long, set binary")
+    return links.mapInArrow(named, "a long, b long"), rows.select("region", "x", "n", "set").mapInArrow(remaining, "region long, x long, n long, set binary, whole boolean")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Regions that no pivots have split: every two of their blocks of points form a region, so all meet."""
-    sizes = rows.groupBy(F.col("region").alias("_r")).agg(F.ceil(F.sum("n") * 2 / REGION).cast("int").alias("_k"))
-    rows = rows.join(sizes, F.col("region") == F.col("_r")).withColumn("_i", F.pmod(F.xxhash64("x"), F.col("_k")))
+    rows = rows.select("region", "x", "n", "set")
+    sizes = rows.groupBy(F.col("region").alias("_of")).agg(F.ceil(F.sum("n") * 2 / REGION).cast("int").alias("_k"))
+    rows = rows.join(sizes, F.col("region") == F.col("_of")).withColumn("_i", F.pmod(F.xxhash64("x"), F.col("_k")))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     rows = rows.select("*", other.alias("_j"))
     return rows.select(F.xxhash64("region", F.least("_i", "_j"), F.greatest("_i", "_j")).alias("region"), "x", "n", "set")
@@ -519,19 +550,17 @@ def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, percent: int) ->
     for _ in range(ROUNDS):
         if large.isEmpty():
             break
-        some, large = split_round(large, percent)
+        some, left = split_round(large, percent)
         found.append(some)
-        sizes = cut(large.groupBy(F.col("region").alias("_r")).agg(F.sum("n").alias("_t")))
-        fits = large.join(sizes, F.col("region") == F.col("_r"))
-        found.append(region_links(fits.where(F.col("_t") <= REGION), percent))
-        large = cut(fits.where(F.col("_t") > REGION).select("region", "x", "n", "set"))
-    else:
-        if not large.isEmpty():
-            found.append(region_links(blocks(large), percent))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return cut(out.distinct())
+        sizes = cut(left.groupBy(F.col("region").alias("_r")).agg(F.sum("n").alias("_t")))
+        left = left.join(sizes, F.col("region") == F.col("_r"))
+        fits = F.col("_t") <= REGION
+        found.append(cut(region_links(left.where(fits), percent)))
+        found.append(cut(region_links(blocks(left.where(~fits & F.col("whole"))), percent)))
+        large = cut(left.where(~fits & ~F.col("whole")).select("region", "x", "n", "set"))
+    if not large.isEmpty():
+        found.append(cut(region_links(blocks(large), percent)))
+    return cut(union(found).distinct())
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
