@@ -23,9 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of linked documents; documents without an id all stay."""
     first = jaccard.join(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    rows = docs.withColumn("_of", text_key(F.col("text")))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")))
-    return kept.dropDuplicates(["doc_id", "_of"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return kept.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

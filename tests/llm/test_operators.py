@@ -1,0 +1,517 @@
+"""Each operator against a plain version or a round trip, with nulls, empty and long texts, ties, repeated rows, empty
+tables and columns of clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from blockprint.llm import bpe, jaccard, minimisers, mixing, quality, records, rules, suffixes, superkmers, tiff, warc
+from blockprint.llm.common import fresh_folder
+from blockprint.llm.queries import tokenizer_path
+
+EXTRA = ", key long, value long, size long, _pattern string, region string, n long, cid long"
+NULLS = (None,) * 7
+
+
+def words(rng, n, kinds=400):
+    return [f"w{rng.randrange(kinds)}" for _ in range(n)]
+
+
+def texts(seed=1):
+    """Documents with copies, near copies, shared passages, repeats, odd white space and extremes."""
+    rng = random.Random(seed)
+    passage, line = words(rng, 60), "the same line everywhere"
+    out = []
+    for _ in range(14):
+        own = words(rng, rng.randint(20, 200))
+        out.append(" ".join(own))
+        near = list(own)
+        near[len(near) // 2] = "changed"
+        out.append(" ".join(near))
+        out.append("\n".join(own[: len(own) // 2]) + "\t" + " ".join(passage) + " é " + " ".join(own[len(own) // 2 :]))
+    out += [out[0], out[0], out[3].upper(), line + "\n" + line + "\n" + " ".join(words(rng, 30)), " ".join(passage)]
+    out += ["", None, None, " \n\t", "one", "One", "a b c d", "a  b c\nd", "x " * 300, "ab" * 200, " ".join(words(rng, 6000)), "é" * 100, "\x00\x01" * 60, "a" * 49, "a" * 50, "a" * 51]
+    return out
+
+
+def documents(spark, values=None, ids=None):
+    values = texts() if values is None else values
+    ids = list(range(len(values))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", *NULLS) for i, t in zip(ids, values, strict=True)], "doc_id long, text string, lang string, source string" + EXTRA)
+
+
+def rows(df, *columns):
+    key = lambda r: tuple((x is not None, x) for x in r)
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=key)
+
+
+def ordered(values):
+    return sorted(values, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).repartition(5).cache()
+
+
+def empty(docs):
+    return docs.where("false")
+
+
+# ---- 1 -------------------------------------------------------------------------------------------------------------
+
+
+def linked(docs, **options):
+    return rows(jaccard.join(docs, **options), "doc_id", "n_shingles", "component_id")
+
+
+def test_jaccard_equals_brute_force(docs):
+    assert linked(docs) == ordered(r[:3] for r in brute.linked(list(enumerate(texts()))))
+    assert linked(empty(docs)) == []
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    values = [texts()[0], texts()[1], texts()[0], texts()[0], None, "", texts()[6]]
+    ids = [7, 7, None, 3, None, 4, None]
+    got = linked(documents(spark, values, ids))
+    assert [r[2] for r in got] == [None, None, 3, 3, 4, 3, 3] or sorted(map(str, got)) == sorted(map(str, brute_components(ids, values)))
+
+
+def brute_components(ids, values):
+    return [r[:3] for r in brute.linked(list(zip(ids, values, strict=True)))]
+
+
+def near_copies(rng, n, size, most):
+    base = words(rng, size, 5000)
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, most)):
+            copy[rng.randrange(size)] = f"v{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_jaccard_large_regions(spark, monkeypatch):
+    """Regions that are too large for a task are split over the cluster; what no pivots split is joined by blocks."""
+    rng = random.Random(8)
+    common = " ".join(words(rng, 40))
+    values = near_copies(rng, 60, 200, 3) + near_copies(rng, 40, 80, 5) + [common + " " + " ".join(words(rng, 25, 10**6)) for _ in range(30)]
+    want = ordered(r[:3] for r in brute.linked(list(enumerate(values))))
+    for region, pivots, rounds, copies in ((3000, 4, 3, 2), (3000, 3, 1, 0)):
+        monkeypatch.setattr(jaccard, "REGION", region)
+        monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "PIVOT_BYTES", 12000)
+        monkeypatch.setattr(jaccard, "MOST_COPIES", copies)
+        assert linked(documents(spark, values)) == want
+
+
+def test_region_join_equals_all_pairs():
+    rng = random.Random(3)
+    sets = []
+    for _ in range(30):
+        base = [rng.getrandbits(60) for _ in range(rng.randint(5, 60))]
+        for _ in range(rng.randint(1, 50)):
+            s = {x if rng.random() > rng.choice([0.02, 0.1, 0.2]) else rng.getrandbits(60) for x in base}
+            sets.append(np.sort(np.array(list(s), np.uint64)))
+    region = jaccard.Region(np.arange(len(sets)), sets, 80)
+    a, b = region.links()
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    want = [root(i) for i in range(len(sets))]
+    got = list(range(len(sets)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got[x] = y
+    assert got == want
+
+
+def test_cells_keep_pairs_together():
+    rng = np.random.default_rng(2)
+    points = rng.random((300, 2))
+    pivots = points[:10]
+    d = np.minimum(np.abs(pivots[:, None] - points[None]).sum(2), 1)
+    share = np.stack(jaccard.cells(d, 0.05))
+    near = np.argwhere(np.abs(points[:, None] - points[None]).sum(2) <= 0.05)
+    assert all((share[:, i] & share[:, j]).any() for i, j in near)
+
+
+# ---- 2, 6 ----------------------------------------------------------------------------------------------------------
+
+
+def library_ids(values):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    return [t.encode(v or "", add_special_tokens=False).ids for v in values], t
+
+
+ODD = ["<|endoftext|>a<|endoftext|>", "naïve 🤖🤖 日本語　 test's we'll", "def f(x):\n    return x+1\n\n\n", " lead", "trail ", "ſtraße ÿ½²", "a b  c", "'s 'S don't", "١٢٣ 12", "​"]
+
+
+def test_bpe_equals_the_library(spark):
+    rng = random.Random(2)
+    values = texts() + ODD + ["".join(rng.choice("etaoin shr,.THE  \n'sé日1") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    ids, t = library_ids(values)
+    got = bpe.encode_documents(documents(spark, values), tokenizer_path(), digests=True).orderBy("doc_id").collect()
+    for r, want in zip(got, ids, strict=True):
+        raw = np.array(want, "<u4").tobytes()
+        assert (bytes(r["ids"]), r["n_tokens"], r["ids_sha256"]) == (raw, len(want), hashlib.sha256(raw).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    back = bpe.decode_documents(spark.createDataFrame(got), tokenizer_path()).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == [t.decode(i, skip_special_tokens=False) for i in ids]
+    assert bpe.encode_documents(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def test_last_tokens_are_unique():
+    model = bpe.PrefixBpe(tokenizer_path(), cache=10)
+    ids, _ = library_ids([" antidisestablishmentarianism"])
+    assert np.frombuffer(model.encode(" antidisestablishmentarianism"), "<u4").tolist() == ids[0]
+    for a, b in zip(ids[0], ids[0][1:]):
+        assert model.compatible(a, b)
+    assert not model.compatible(ord("t") - 33, ord("h") - 33)
+
+
+def test_token_records(spark):
+    values = texts() + ODD
+    ids = [3, 3, None, *range(10, 7 + len(values))]
+    docs = documents(spark, values, ids)
+    folder = fresh_folder(spark, "records")
+    files = records.write_ids(docs, folder, tokenizer_path(), end=0)
+    got = records.placed(files).orderBy("start").collect()
+    want, _ = library_ids(values)
+    by_id = {}
+    for d, i in zip(ids, want, strict=True):
+        by_id.setdefault(d, []).append([*i, 0])
+    start = 0
+    assert [r["doc_id"] for r in got] == sorted(ids, key=lambda d: (d is not None, d or 0))
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+        assert (r["n_tokens"], r["ids_crc32"]) in [(len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for i in by_id[r["doc_id"]]]
+    assert records.written_and_read(spark, documents(spark, []), fresh_folder(spark, "none"), tokenizer_path()).count() == 0
+    assert records.read_ids(files).count() == len(values)
+
+
+def test_records_notice_damage():
+    frames = records.frames([records.packed(5, np.arange(9), 2), records.packed(None, np.arange(1 << 17, (1 << 17) + 3), 4)])
+    data, offsets = b"".join(frames), [0, len(frames[0])]
+    a, b = map(records.unpacked, records.unframed(data, offsets))
+    assert a[0] == 5 and a[1].tolist() == list(range(9)) and b[0] is None and b[1].tolist() == [1 << 17, (1 << 17) + 1, (1 << 17) + 2]
+    for at in (0, 9, 14, len(data) - 1):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            records.unframed(bytes(bad), offsets)
+    with pytest.raises(ValueError):
+        records.unframed(data[:-3], offsets)
+    assert records.crc32c_many([b"123456789", b"", b"x" * 1000]) [:2] == [0xE3069283, 0]
+
+
+# ---- 3, 7 ----------------------------------------------------------------------------------------------------------
+
+
+def corpus(spark, n=600):
+    rng = random.Random(6)
+    values, good = [], []
+    for i in range(n):
+        own = words(rng, rng.randint(30, 120))
+        kind = i % 4
+        if kind == 0:
+            own = [w for w in own[:20] for _ in range(6)]
+        elif kind == 1:
+            own = [w.upper() + "!!" for w in own]
+        values.append(". ".join(" ".join(own[k : k + 9]) for k in range(0, len(own), 9)))
+        good.append(int(kind > 1))
+    return documents(spark, values), spark.createDataFrame([(i, g, 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int"), good
+
+
+def test_quality_held_out(spark):
+    docs, labels, good = corpus(spark)
+    out = quality.classify(docs, labels).collect()
+    held = [r for r in out if r["held_out"]]
+    assert [r["held_out"] for r in out] == [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out]
+    assert len(held) > 80 and sum(r["predicted"] == good[r["doc_id"]] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    # Held-out labels are not learned from.
+    turned = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {(r["doc_id"], r["score"]) for r in quality.classify(docs, turned).collect()} == {(r["doc_id"], r["score"]) for r in out}
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out if r["predicted"]}
+
+
+def test_quality_odd_inputs(spark, docs):
+    labels = spark.createDataFrame([(1, None, 0), (2, 7, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == len(texts()) and len({round(r["score"], 2) for r in out}) == 1
+    assert quality.classify(empty(docs), labels).count() == 0
+    assert quality.classify(documents(spark, ["a b", None], [None, None]), labels).count() == 2
+
+
+def test_isotonic():
+    x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 1, 1]), np.ones(4))
+    assert y.tolist() == [0.5, 1.0] or y.tolist() == [0.5, 1.0, 1.0]
+
+
+def test_rules_counts(docs):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = rows(rules.judge(docs), "doc_id", *names)
+    assert got == ordered((i, *brute.rules(t).values()) for i, t in enumerate(texts()))
+    assert rules.judge(empty(docs)).count() == 0
+
+
+def test_rules_bands(spark):
+    docs, _, good = corpus(spark, 400)
+    rng = random.Random(1)
+    noise = ["".join(rng.choice("qxzjkvwy#%") for _ in range(400)) + " a b c d e f g h i j k l" for _ in range(3)]
+    both = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").alias("lang")).union(documents(spark, noise, [9001, 9002, 9003]).select("doc_id", "text", "lang"))
+    out = {r["doc_id"]: r for r in rules.judge(both).collect()}
+    assert not any(out[i]["kept"] for i in (9001, 9002, 9003)) and not out[9001]["base_failed"]
+    assert all(out[i]["kept"] for i, g in enumerate(good) if g)
+
+
+def test_language_model_sums_to_one():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 103, 4000).astype(np.uint8)
+    bounds = np.array([0, 1, 1, 2000, 4000])
+    codes, data = rules.trigrams(data, bounds), data.tolist()
+    assert codes[0] == (10 << 16 | 10 << 8 | data[0]) and codes[1] == (10 << 16 | 10 << 8 | data[1]) and codes[2] == (10 << 16 | data[1] << 8 | data[2])
+    grams, n = np.unique(codes, return_counts=True)
+    model = rules.LanguageModel.build(grams, n)
+    for context in (97 << 8 | 98, 120 << 8 | 97, 5 << 8 | 6):
+        assert abs(np.exp2(model.log2(context << 8 | np.arange(256))).sum() - 1) < 1e-6
+
+
+# ---- 4, 9 ----------------------------------------------------------------------------------------------------------
+
+
+def test_tiff_documents(docs):
+    got = {r["doc_id"]: r for r in tiff.media_digests(tiff.store_documents(docs)).collect()}
+    for i, t in enumerate(texts()):
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert got[0]["feature"] == got[42]["feature"] and got[0]["media_sha256"] == got[42]["media_sha256"]
+    assert tiff.media_digests(tiff.store_documents(empty(docs))).count() == 0
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("tile", [None, 16])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_round_trip(compression, tile, order):
+    rng = np.random.default_rng(4)
+    pages = [rng.integers(0, 256, (37, 50, 3), dtype=np.uint8), rng.integers(0, 3, (300, 1, 1), dtype=np.uint8), np.zeros((70, 90, 1), np.uint8)]
+    for predictor in (1, 2):
+        data = tiff.encode_pages(pages, compression, predictor, tile, 32, order)
+        assert [p.data for p in tiff.decode_pages(data)] == [p.tobytes() for p in pages]
+        for cut in (6, len(data) // 2, len(data) - 9):
+            with pytest.raises(ValueError):
+                list(tiff.decode_pages(data[:cut]))
+
+
+def test_tiff_rows(spark):
+    good = tiff.encode_pages([np.ones((4, 4, 1), np.uint8)] * 2)
+    loop = bytearray(tiff.encode_pages([np.ones((4, 4, 1), np.uint8)]))
+    at = int.from_bytes(loop[4:8], "little")
+    n = int.from_bytes(loop[at : at + 2], "little")
+    loop[at + 2 + 12 * n : at + 6 + 12 * n] = loop[4:8]
+    files = spark.createDataFrame([(1, good), (2, bytes(loop)), (3, b""), (4, None), (5, b"nothing here")], "id long, content binary")
+    got = sorted((r["id"], -1 if r["page"] is None else r["page"], r["error"] is None) for r in tiff.read_pages(files, "id", "content").collect())
+    assert got == [(1, 0, True), (1, 1, True), (2, -1, False), (2, 0, True), (3, -1, False), (4, -1, False), (5, -1, False)]
+
+
+def page_rows(spark, rows_):
+    return spark.createDataFrame([(i, f"http://x/{i}\r\nEvil: 1" if i else None, h, "clash") for i, h in rows_], "page_id long, url string, html string, payload_digest string")
+
+
+def test_warc_round_trip(spark):
+    rng = random.Random(3)
+    long = "<p>" + " ".join(words(rng, 400)) + "</p>"
+    values = [(i, rng.choice([long, long + "x", "short", "", None, "<html>" + " ".join(words(rng, rng.randint(1, 900)))])) for i in range(300)] + [(299, long), (299, long), (None, long), (None, "é" * 600)]
+    assert len(values) > warc.SAMPLES
+    got = rows(warc.archived_pages(page_rows(spark, values).coalesce(1), fresh_folder(spark, "warc")), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    want = ordered(brute.archived(values))
+    assert got == want and {r[3] for r in got} == {"response", "revisit"}
+    assert warc.archived_pages(page_rows(spark, []), fresh_folder(spark, "warc")).count() == 0
+    files = warc.write_archives(warc.record_kinds(page_rows(spark, values[:60])), fresh_folder(spark, "warc"))
+    back = warc.read_archives(files).where("record_type = 'response'").collect()
+    assert all(hashlib.sha1(bytes(r["payload"])).hexdigest() == r["payload_digest"] and "\n" not in (r["url"] or "") for r in back)
+
+
+def test_warc_notices_damage():
+    import io
+
+    import zstandard
+
+    digest = hashlib.sha1(b"body").hexdigest()
+    good = warc.record("response", "1", "http://x", b"body", 4, digest, None)
+    press = zstandard.ZstdCompressor(write_checksum=True)
+    samples = [warc.record("response", str(i), None, f"<p>{i * 7919} {i}</p>".encode() * 9, 0, digest, None) for i in range(300)]
+    raw = warc.dictionary(samples)
+    assert raw
+    with_raw = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    read = lambda data: list(warc.read_archive(io.BytesIO(data), "x"))
+    data = warc.dictionary_frame(b"") + press.compress(good) * 2
+    assert [r["payload"] for r in read(data)] == [b"body"] * 2
+    assert read(warc.dictionary_frame(raw) + with_raw.compress(good))[0]["record_id"] == "<urn:page:1>"
+    bad = [b"", data[:5], data[:-1], press.compress(good), warc.dictionary_frame(b"") + b"junk" * 9, warc.dictionary_frame(b"") + press.compress(good.replace(b"body", b"bodx")), warc.dictionary_frame(b"") + press.compress(good + b"more")]
+    bad += [warc.dictionary_frame(b"") + press.compress(good.replace(a, b)) for a, b in ((b"WARC/1.1", b"WARD/1.1"), (b"Content-Length: 4", b"Content-Length: 5"), (b"WARC-Date", b"WARC-Data"), (b"HTTP/1.1", b"HTTQ/1.1"))]
+    for x in bad:
+        with pytest.raises(ValueError):
+            read(x)
+
+
+# ---- 5, 8 ----------------------------------------------------------------------------------------------------------
+
+
+def test_strings_equal_brute_force(docs):
+    got = rows(suffixes.drop_repeated_strings(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == ordered(brute.strings(list(enumerate(texts()))))
+    assert suffixes.drop_repeated_strings(empty(docs)).count() == 0
+
+
+def test_strings_repeated_and_null_ids(spark):
+    values = [texts()[0], texts()[2], texts()[5], texts()[0], texts()[0], texts()[1], None, texts()[8]]
+    ids = [5, 5, 2, None, 5, 9, None, None]
+    docs = documents(spark, values, ids)
+    got = rows(suffixes.drop_repeated_strings(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == ordered(brute.strings(list(zip(ids, values, strict=True))))
+    kept = suffixes.drop_repeated_strings(docs, keep_text=True)
+    assert kept.select("rest.*").columns == ["lang", "source", "key", "value", "size", "_pattern", "region", "n", "cid"]
+    assert all(hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"] for r in kept.where("text is not null").collect() if r["n_removed"] == 0 or r["text"].isascii())
+
+
+def test_strings_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARD", 300)
+    docs = documents(spark)
+    values = list(enumerate(texts()))
+    shards = suffixes.Shards(20)
+    # One value, many shards: each row is a document's stretch.
+    rng = random.Random(5)
+    stretches = [bytes(rng.choice(b"ab") for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    found = {}
+    for i in range(0, 60, 7):
+        part = stretches[i : i + 7]
+        table = pa.table({"value": pa.array([1] * len(part), pa.int64()), "doc_id": pa.array(range(i, i + len(part)), pa.int64()), "key": pa.array([0] * len(part), pa.int64()), "start": pa.array([0] * len(part), pa.int32()), "n": pa.array([len(s) - 19 for s in part], pa.int32()), "bytes": pa.array(part, pa.binary())})
+        out = shards.add(table)
+        for r in out.to_pylist() if out is not None else []:
+            found.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n"]))
+    seen = {}
+    for d, s in enumerate(stretches):
+        mine = {k for k in range(len(s) - 19) if seen.get(s[k : k + 20], d) < d}
+        assert found.get(d, set()) == mine
+        for k in range(len(s) - 19):
+            seen.setdefault(s[k : k + 20], d)
+    assert rows(suffixes.drop_repeated_strings(docs), "doc_id", "n_removed") == ordered((r[0], r[2]) for r in brute.strings(values))
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(0)
+    for t in range(120):
+        d = rng.integers(0, [2, 3, 256][t % 3], int(rng.integers(0, 300))).astype(np.uint8)
+        d = np.tile(d[:7], 60)[: len(d)] if t % 5 == 0 else d
+        order, rank = suffixes.suffix_array(d)
+        raw = d.tobytes()
+        assert order.tolist() == sorted(range(len(d)), key=lambda i: raw[i:])
+        assert (rank[order] == np.arange(len(d))).all()
+        for i, n in enumerate(suffixes.common_prefixes(d, order, rank, 50)[1:].tolist(), 1):
+            a, b = raw[order[i] :], raw[order[i - 1] :]
+            assert n == next((k for k in range(min(50, len(a), len(b))) if a[k] != b[k]), min(50, len(a), len(b)))
+
+
+def test_windows_equal_brute_force(docs):
+    got = rows(superkmers.drop_repeated_windows(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.windows(list(enumerate(texts()))))
+    assert superkmers.drop_repeated_windows(empty(docs)).count() == 0
+
+
+def test_windows_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "PIECE", 200)
+    period = " ".join(["alpha beta"] * 40)
+    values = [texts()[0], texts()[2], texts()[5], texts()[0], None, "Des. " * 40, period, texts()[8] + " " + texts()[8], texts()[1]]
+    ids = [5, 5, None, None, None, 8, 9, 10, 11]
+    got = rows(superkmers.drop_repeated_windows(documents(spark, values, ids)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.windows(list(zip(ids, values, strict=True))))
+
+
+def test_values_that_one_document_has_are_dropped(spark):
+    values = spark.createDataFrame([(1, 5, False), (2, 5, False), (3, 6, False), (4, 7, True), (None, 8, False), (9, 8, False)] + [(i, 99, False) for i in range(50)], "doc_id long, value long, twice boolean")
+    assert rows(minimisers.shared_values(values, within=True), "value").count((99,)) == 50
+    assert {r[0] for r in rows(minimisers.shared_values(values, within=True), "value")} == {5, 7, 8, 99}
+    assert {r[0] for r in rows(minimisers.shared_values(values, within=False), "value")} == {5, 8, 99}
+
+
+# ---- 10 ------------------------------------------------------------------------------------------------------------
+
+
+def test_mix(spark):
+    rng = random.Random(2)
+    values = [(i, " ".join(words(rng, rng.randint(0, 60))) if i % 17 else None, None, rng.choice(["a", "b", "é", "Z", None, "a"])) for i in range(800)]
+    docs = spark.createDataFrame([(i, t, s, *NULLS) for i, t, _, s in values], "doc_id long, text string, source string" + EXTRA)
+    out = mixing.mixed_documents(docs).collect()
+    size = {i: len(brute.WORD.findall(t or "")) for i, t, _, _ in values}
+    of = {s: [i for i, _, _, x in values if x == s] for s in {x for *_, x in values}}
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    total, targets, free = 1.5 * sum(size.values()), {}, list(names)
+    while free:
+        unit = total / sum(weights[s] for s in free)
+        over = [s for s in free if unit * weights[s] > 2 * sum(size[i] for i in of[s])]
+        for s in over or free:
+            targets[s] = 2.0 * sum(size[i] for i in of[s]) if over else unit * weights[s]
+            total -= targets[s]
+        free = [s for s in free if s not in over] if over else []
+    source = {i: s for i, _, _, s in values}
+    taken = dict.fromkeys(names, 0)
+    for r in out:
+        s = source[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == sum(size[i] for i in of[s]) and abs(r["target"] - targets[s]) < 1e-6
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert len(out) == 800 and all(abs(taken[s] - targets[s]) <= 61 for s in names)
+    assert sorted(out) == sorted(mixing.mixed_documents(docs.repartition(7)).collect())
+    assert mixing.mixed_documents(docs.where("false")).count() == 0
+    assert mixing.mixed_documents(docs.where("text is null")).where("taken > 0").count() == 0
+
+
+def test_flow_of_overlapping_sources():
+    # Of two patterns one belongs to both sources; the flow meets both quotas and repeats no word that it need not.
+    flow = mixing.min_cost_flow([100, 100], [[0, 1], [0]], [100, 100], 2)
+    assert flow == [{1: 100}, {0: 100}]
+    assert mixing.min_cost_flow([10], [[0]], [100], 2) == [{0: 20}]
+    flow = mixing.min_cost_flow([50, 50], [[0, 1], [1]], [80, 40], 2)
+    assert sum(f.get(0, 0) for f in flow) == 80 and sum(f.get(1, 0) for f in flow) == 40 and flow[0][0] <= 100
+
+
+def test_mix_of_patterns(spark):
+    docs = spark.createDataFrame([(i, 10, ["a", "b"] if i % 2 else ["a"]) for i in range(400)] + [(1000, 0, [])], "doc_id long, words long, of array<string>")
+    out = mixing.mix(docs, F.col("words"), F.col("of"), ["doc_id"])
+    got = out.groupBy(F.col("of")).agg(F.sum("taken").alias("t"), F.max("repeats").alias("r")).collect()
+    assert sum(r["t"] or 0 for r in got) == pytest.approx(6000, abs=20) and max(r["r"] for r in got) <= 2
+
+
+def test_repeated_rows_of_a_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", *NULLS)] * 5 + [(2, "d", "t", *NULLS)], "doc_id long, text string, source string" + EXTRA)
+    out = mixing.mixed_documents(docs).collect()
+    assert len(out) == 6 and mixing.mixture(docs).count() == sum(r["repeats"] for r in out)
