@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockprint.constants import FULL_SIZE, HALF_SIZE, MAX_INPUT_SIZE, WINDOW
+from blockprint.constants import FULL_SIZE, GENERATOR_ERRORS, HALF_SIZE, MAX_INPUT_SIZE
 from blockprint.functions import hashes, kernels
 from blockprint.functions.blocksize import col
 from blockprint.functions.hashes import HASH
@@ -64,6 +64,14 @@ def digest_checked(data: Column | str, expected_size: Column | str | None = None
     return F.when(d.isNotNull(), F.struct(F.when(error.isNull(), h).alias("hash"), error.alias("error")))
 
 
+def generator_error_message(error: Column | str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in GENERATOR_ERRORS.items() for x in pair])[col(error)]
+
+
+def is_size_too_large_error(error: Column | str) -> Column:
+    return col(error).isin("FixedSizeTooLarge", "InputSizeTooLarge")
+
+
 # ---- comparison ----------------------------------------------------------------------------------------------------
 
 
@@ -176,6 +184,3 @@ def compare(a: Column | str, b: Column | str, strict: bool = False) -> Column:
     p, q = (hashes.parse(x, long=True, normalized=True, strict=strict) for x in (a, b))
     side = F.when(p["error"].isNotNull(), "Left").when(q["error"].isNotNull(), "Right")
     return F.struct(F.when(side.isNull(), score(p["hash"], q["hash"], normalized=True)).alias("score"), side.alias("side"), F.coalesce(p["error"], q["error"]).alias("error"))
-
-
-MIN_COMMON = WINDOW

@@ -72,6 +72,11 @@ def to_string(h: Column | str) -> Column:
     return F.when(h.isNotNull(), F.concat_ws(":", block_size(h), h["bh1"], h["bh2"]))
 
 
+def debug(h: Column | str) -> Column:
+    """All fields as JSON; not a promised format."""
+    return F.to_json(col(h))
+
+
 def length_as_string(h: Column | str) -> Column:
     return F.length(to_string(h))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockprint.functions import digests, hashes
-from blockprint.operators import chunks, joins
+from blockprint.operators import chunks, joins, sets
 from blockprint.operators.components import components
 from blockprint.plans.relational import SPARK, digest_sql
 from blockprint.sources import files
@@ -129,3 +129,22 @@ def test_stream_meets_table(spark, tmp_path, corpus):
     got = {tuple(r) for r in spark.table("matched").collect()}
     want = {(a, b, s) for b, a, s in map(tuple, joins.one_against_many(known, corpus).collect())}
     assert got == want
+
+
+def test_sets(spark):
+    read = lambda *texts: spark.createDataFrame([(t,) for t in texts], "t string").select(hashes.parse("t", normalized=False)["hash"].alias("digest"))
+    a, b = read("3:AAAAA:", "3:AAA:", "6:b:c", None), read("3:AAAA:", "12::")
+    shown = lambda df: sorted(r[0] for r in df.select(hashes.to_string("digest")).collect())
+    assert shown(sets.distinct(a)) == ["3:AAA:", "6:b:c"]
+    assert shown(sets.union(a, b)) == ["12::", "3:AAA:", "6:b:c"]
+    assert shown(sets.intersect(a, b)) == ["3:AAA:"] and shown(sets.subtract(a, b)) == ["6:b:c"]
+
+
+def test_large_files(spark, tmp_path):
+    data = b"".join(bytes([i % 251]) * (i % 13) for i in range(20000))
+    (tmp_path / "a.bin").write_bytes(data)
+    (tmp_path / "b.bin").write_bytes(b"")
+    paths = spark.createDataFrame([(str(tmp_path / "a.bin"),), (f"file://{tmp_path}/b.bin",), (None,)], "path string")
+    got = {r["length"]: r["digest"] for r in files.hash_large_files(paths, buffer=1000).collect()}
+    want = spark.createDataFrame([(data,)], "d binary").select(digests.digest("d").alias("h")).first()["h"]
+    assert got == {len(data): want, 0: got[0]} and tuple(got[0]) == (0, "", "")
