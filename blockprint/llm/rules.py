@@ -26,7 +26,7 @@ from blockprint.llm.minimisers import ragged_ranges
 ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 3, 5, 10, 20
 SYMBOLS = frozenset("#*$%&|<>")
 #: How far a band reaches beyond the quartiles, in quartile distances, and at least (in bits a byte).
-WIDEN, LEAST_REACH = 4.0, 0.5
+WIDEN, LEAST_REACH = 6.0, 1.0
 #: Entries of the collected counts over all languages; more is an error.
 MOST_ENTRIES = 1 << 26
 START = 10  # texts begin as if after line feeds
