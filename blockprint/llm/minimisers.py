@@ -124,6 +124,12 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n)
 
 
+def neighbours(w: np.ndarray, owner: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of neighbours in w with one owner (and equal keys)."""
+    a, b = runs(w - np.arange(len(w)), owner[w], *(k[w] for k in keys))
+    return w[a], b - a
+
+
 def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal rows of 128 bits stand together, and the starts and ends of their runs in it. Rows are
     sorted by their first half, which alone is all but sure to tell them apart, and compared as a whole."""

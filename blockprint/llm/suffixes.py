@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
 
 LENGTH, GRAM, SHARD = 50, 20, 2 << 20
+#: Stretches that a task remembers to have sent.
+MOST_SEEN = 100_000
 #: Between the stretches of a shard; never in UTF-8.
 BETWEEN = 0xFF
 #: Suffixes that Kasai's walk takes in step are this far apart.
@@ -136,6 +138,7 @@ def packed_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
     and bytes, runs of strings of which the task itself has seen a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, bounds = bytes_and_bounds(column(part, "text"))
@@ -154,13 +157,22 @@ def packed_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 least = np.empty(len(at), doc.dtype)
                 least[order] = np.repeat(np.minimum.reduceat(doc[order], first), last - first)
                 raw = data.tobytes()
-                for mask, packed in ((doc == least, True), (doc > least, False)):
-                    w = at[mask]
-                    a, b = runs(w - np.arange(len(w)), owner[w], *([minima[w]] if packed else []))
-                    w, n = w[a], b - a
+                # Stretches of strings that the piece has in no smaller document, and runs of those that it has.
+                w, n = neighbours(at[doc == least], owner, minima)
+                stretches = [raw[x:y] for x, y in zip(w.tolist(), (w + n + length - 1).tolist(), strict=True)]
+                ids = column(part, "doc_id").to_numpy()[owner[w]].tolist()
+                fresh = np.ones(len(w), bool)
+                for i, (s, d) in enumerate(zip(stretches, ids, strict=True)):
+                    if seen.get(s, d) < d:  # a whole stretch that the task has sent from a smaller document
+                        fresh[i] = False
+                    else:
+                        seen[s] = d
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                v, m = neighbours(at[doc > least], owner)
+                for w, n, sent in ((w[fresh], n[fresh], [stretches[i] for i in np.flatnonzero(fresh).tolist()]), (np.concatenate([w[~fresh], v]), np.concatenate([n[~fresh], m]), None)):
                     who = pa.array(owner[w])
-                    stretches = [raw[x:y] for x, y in zip(w.tolist(), (w + n + length - 1).tolist(), strict=True)] if packed else [None] * len(w)
-                    yield pa.record_batch([pa.array(minima[w]) if packed else pa.nulls(len(w), pa.int64()), column(part, "doc_id").take(who), column(part, "key").take(who), pa.array((w - bounds[owner[w]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(stretches, pa.binary())], names=["value", "doc_id", "key", "start", "n", "bytes"])
+                    yield pa.record_batch([pa.nulls(len(w), pa.int64()) if sent is None else pa.array(minima[w]), column(part, "doc_id").take(who), column(part, "key").take(who), pa.array((w - bounds[owner[w]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(w), pa.binary()) if sent is None else pa.array(sent, pa.binary())], names=["value", "doc_id", "key", "start", "n", "bytes"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(run, f"value long, doc_id {kind}, key long, start int, n int, bytes binary")
