@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import WORD, WORD_PATTERN, bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, ragged_ranges, runs, window_minima, windows_inside, with_shared_values, words_of
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values, words_of
 
 WINDOW, GRAM, PIECE = 35, 8, 3 << 20
+#: Strings that a task remembers to have sent.
+MOST_SEEN = 100_000
 
 
 def word_units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +49,7 @@ def packed_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
     text; and, with null in value and words, runs of windows that the task itself has found twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
             for part in pieces(batch, "text"):
                 data, bounds = bytes_and_bounds(column(part, "text"))
@@ -63,18 +66,19 @@ def packed_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 twice, ship = np.zeros(len(at), bool), np.zeros(len(at), bool)
                 twice[order] = times > 1
                 ship[order[first]] = True
-                base = np.cumsum(lengths) - lengths
-                rows = []
-                for mask, packed in ((ship, True), (twice, False)):
-                    w = at[mask]
-                    a, b = runs(w - np.arange(len(w)), owner[w], *([minima[w]] if packed else []))
-                    w, n = w[a], b - a
+                base, raw = np.cumsum(lengths) - lengths, data.tobytes()
+                w, n = neighbours(at[ship], owner, minima)
+                strings = [raw[x:y] for x, y in zip(starts[w].tolist(), ends[w + n + window - 2].tolist(), strict=True)]
+                fresh = np.ones(len(w), bool)
+                for i, s in enumerate(strings):
+                    times = seen[s] = seen.get(s, 0) + 1
+                    fresh[i] = times <= 2  # two of a string tell the bucket that it is repeated, and the rest know
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                v, m = neighbours(at[twice], owner)
+                for w, n, sent in ((w[fresh], n[fresh], [strings[i] for i in np.flatnonzero(fresh).tolist()]), (np.concatenate([w[~fresh], v]), np.concatenate([n[~fresh], m]), None)):
                     who = pa.array(owner[w])
-                    raw = data.tobytes() if packed else b""
-                    texts_ = [raw[x:y] for x, y in zip(starts[w].tolist(), ends[w + n + window - 2].tolist(), strict=True)] if packed else [None] * len(w)
-                    rows.append([pa.array(minima[w]) if packed else pa.nulls(len(w), pa.int64()), column(part, "doc_id").take(who), column(part, "key").take(who), pa.array((w - base[owner[w]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(texts_, pa.binary())])
-                for r in rows:
-                    yield pa.record_batch(r, names=["value", "doc_id", "key", "start", "n", "words"])
+                    yield pa.record_batch([pa.nulls(len(w), pa.int64()) if sent is None else pa.array(minima[w]), column(part, "doc_id").take(who), column(part, "key").take(who), pa.array((w - base[owner[w]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(w), pa.binary()) if sent is None else pa.array(sent, pa.binary())], names=["value", "doc_id", "key", "start", "n", "words"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(run, SHIPPED.format(kind=kind))
