@@ -230,13 +230,13 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT cast(n AS int) AS n, n % 3 = 0 AND n > 0 AND bit_count(n // 3) = 1 AS valid_size, CASE WHEN n % 3 = 0 AND n > 0 AND bit_count(n // 3) = 1 THEN cast(log2(n // 3) AS int) END AS log_of_size,
-    n < 31 AS valid_log, CASE WHEN n < 31 THEN 3 * (cast(1 AS bigint) << n) END AS size_of_log, 192 * (cast(1 AS bigint) << least(n, 30)) AS preferred FROM (SELECT unnest(range(0, 200)) AS n)"""
+    """SELECT cast(n AS int) AS n, n % 3 = 0 AND n > 0 AND bit_count(n // 3) = 1 AS valid_size, CASE WHEN n % 3 = 0 AND n > 0 AND bit_count(n // 3) = 1 THEN cast(log2(n // 3) AS int) ELSE -1 END AS log_of_size,
+    n < 31 AS valid_log, CASE WHEN n < 31 THEN 3 * (cast(1 AS bigint) << n) ELSE -1 END AS size_of_log, 192 * (cast(1 AS bigint) << least(n, 30)) AS preferred FROM (SELECT unnest(range(0, 200)) AS n)"""
 )
 def block_size_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n")
     rows = spark.range(0, 200).select(F.col("id").cast("int").alias("n"))
-    return rows.select("n", blocksize.is_valid(n).alias("valid_size"), blocksize.log_of(n).alias("log_of_size"), blocksize.is_log_valid(n).alias("valid_log"), blocksize.from_log(n).alias("size_of_log"), blocksize.preferred_input_size(F.least(n, F.lit(30))).alias("preferred"))
+    return rows.select("n", blocksize.is_valid(n).alias("valid_size"), F.coalesce(blocksize.log_of(n), F.lit(-1)).alias("log_of_size"), blocksize.is_log_valid(n).alias("valid_log"), F.coalesce(blocksize.from_log(n), F.lit(-1)).alias("size_of_log"), blocksize.preferred_input_size(F.least(n, F.lit(30))).alias("preferred"))
 
 
 @query("SELECT cast(a AS int) AS a, cast(b AS int) AS b, CASE a - b WHEN -1 THEN 'NearLt' WHEN 0 THEN 'NearEq' WHEN 1 THEN 'NearGt' ELSE 'Far' END AS relation, abs(a - b) <= 1 AS near, cast(sign(a - b) AS int) AS compared FROM (SELECT unnest(range(0, 31)) AS a) CROSS JOIN (SELECT unnest(range(0, 31)) AS b)")
@@ -298,10 +298,10 @@ SCORED = (
 )
 
 
-@query(duck_values(SCORED, "lhs, rhs, score, side, kind"))
+@query(duck_values(tuple((a, b, -1 if s is None else s, *e) for a, b, s, *e in SCORED), "lhs, rhs, score, side, kind"))
 def compare_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([r[:2] for r in SCORED], "lhs string, rhs string").select("lhs", "rhs", digests.compare("lhs", "rhs").alias("c"))
-    return rows.select("lhs", "rhs", F.col("c.score").alias("score"), F.col("c.side").alias("side"), F.col("c.error.kind").alias("kind"))
+    return rows.select("lhs", "rhs", F.coalesce("c.score", F.lit(-1)).alias("score"), F.col("c.side").alias("side"), F.col("c.error.kind").alias("kind"))
 
 
 @query(f"{duck_matches(ONE_SET, 'l.id < r.id')} SELECT left_id, right_id FROM matches JOIN l ON l.id = left_id JOIN r ON r.id = right_id WHERE NOT (l.n = r.n AND l.x = r.x AND l.y = r.y) OR length(l.x) >= 7 OR length(l.y) >= 7")
