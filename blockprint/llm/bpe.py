@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from blockprint.llm.common import binary, column
+from blockprint.llm.common import binary, column, in_small_batches
 
 #: Pre-tokens whose ids a worker keeps, in each of two generations.
-CACHE = 160000
+CACHE = 160_000
+#: Pairs of tokens that a worker remembers.
+MOST_FITS = 200_000
 #: Fixed values of byte-level BPE: the pattern that splits text, and the bytes that stand for themselves in vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VISIBLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -87,7 +89,7 @@ def decode(ids: bytes, bytes_of: dict[int, bytes]) -> str:
 
 
 class PrefixBpe:
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE * 3 // 4):
         spec, self.special, self.bytes_of = vocabulary(path)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -129,6 +131,8 @@ class PrefixBpe:
                 a, until = pa_[1], pa_[2]
             else:
                 b, until = pb[0], pb[2] + 1
+        if len(self.fits) >= MOST_FITS:
+            self.fits.clear()
         self.fits[key] = fits
         return fits
 
@@ -184,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, ids: boo
                 yield pa.record_batch(out | ({"ids": pa.array(raw, pa.binary())} if ids else {}))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests + ", ids binary" * ids)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}" + ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digests + ", ids binary" * ids)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

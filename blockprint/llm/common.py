@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from blockprint.plans.checkpoints import cut, shared_folder
 
-__all__ = ["WORD", "WORD_PATTERN", "binary", "bytes_and_bounds", "column", "cut", "fresh_folder", "pieces", "shared_folder", "shuffle_partitions", "text_key"]
+__all__ = ["WORD", "WORD_PATTERN", "binary", "bytes_and_bounds", "column", "cut", "fresh_folder", "in_small_batches", "pieces", "shared_folder", "shuffle_partitions", "text_key"]
 
 #: A word: a maximal run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
+SMALL_BATCH = 1000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after lowering Spark's default of 10,000 rows to an Arrow batch, as texts are long; a setting of the user's
+    own below that stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(docs.sparkSession.conf.get(name)) > SMALL_BATCH:
+        docs.sparkSession.conf.set(name, str(SMALL_BATCH))
+    return docs
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

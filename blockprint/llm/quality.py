@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockprint.llm.common import WORD, bytes_and_bounds, column, cut, pieces, text_key
+from blockprint.llm.common import WORD, bytes_and_bounds, column, cut, in_small_batches, pieces, text_key
 
 FEATURES, SEED, RIDGE, BINS, ACCEPT, SLOTS = 256, 11, 1e-3, 4000, 0.7, 16
 STATISTICS = ("log_words", "word_length", "distinct_words", "repeats", "upper", "digits", "symbols", "exclamations", "points", "commas", "other_marks", "bare_words", "lines", "repeated_lines", "spaces", "non_ascii", "top_word", "control")
@@ -209,4 +209,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 yield part.filter(pa.array(parameters.value.score(statistics(column(part, "text"))) >= ACCEPT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

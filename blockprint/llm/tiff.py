@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from blockprint.llm.common import binary, column
+from blockprint.llm.common import binary, column, in_small_batches
 
 #: Fixed values of the format: tags, field types' sizes, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -352,7 +352,7 @@ def store_documents(docs: DataFrame) -> DataFrame:
                 raw = binary(column(part, "text")).cast(pa.large_binary()).to_pylist()
                 yield pa.record_batch({"doc_id": column(part, "doc_id"), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "media": pa.array([store_payload(padded(r)) for r in raw], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
