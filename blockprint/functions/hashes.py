@@ -6,7 +6,7 @@ normal, short and long forms have one type: they are told apart by what they hol
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.constants import ALPHABET, FULL_SIZE, HALF_SIZE, MAX_LEN_LONG, MAX_LEN_SHORT, ORDERED, PARSE_ERRORS, PARSE_ORIGINS, WINDOW
@@ -177,6 +177,12 @@ def parse(text: Column | str, long: bool = False, normalized: bool = True, stric
     return F.when(t.isNotNull(), F.struct(F.when(ok, h).alias("hash"), F.when(ok, last).cast("int").alias("last_index"), F.when(ok, name).alias("file_name"), error.alias("error")))
 
 
+def with_parsed(df: DataFrame, text: str, name: str = "parsed", long: bool = False, normalized: bool = True, strict: bool = False) -> DataFrame:
+    """df with parse() of a column. The generator keeps Spark from merging later projections into it, which would parse
+    once more for each field that is used."""
+    return df.select("*", F.explode(F.array(parse(text, long, normalized, strict))).alias(name))
+
+
 def error_message(error: Column | str) -> Column:
     e = col(error)
     told = lambda key, names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]

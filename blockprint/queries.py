@@ -31,8 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer partitions than there are (a small file of one row group); tables of many
+    files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_digests(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), digests.digest("text", long).alias("digest"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").alias("id"), digests.digest("text", long).alias("digest"))
+
+
+def kept_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_digests() made once, for plans that use them several times."""
+    return cut(document_digests(spark, sf_dir))
 
 
 # ---- SQL -----------------------------------------------------------------------------------------------------------
@@ -110,7 +123,7 @@ def digest_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id AS page_id, {SHOWN} AS digest FROM ({duck_digests('pages', 'page_id', 'html')})")
 def digest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", hashes.to_string(digests.digest("html")).alias("digest"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", hashes.to_string(digests.digest("html")).alias("digest"))
 
 
 @query(f"SELECT id AS item_id, {SHOWN} AS digest FROM ({BENCHMARK})")
@@ -217,7 +230,8 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id AS doc_id, cast(3 * (1 << log_block_size) AS bigint) AS block_size, bh1, bh2, length(bh1) AS len1, length(bh2) AS len2, length({SHOWN}) AS len_in_str, length({SHOWN}) AS last_index FROM ({DOCUMENTS})")
 def parse_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_digests(spark, sf_dir).select("id", hashes.parse(hashes.to_string("digest"), normalized=False).alias("p"))
+    rows = document_digests(spark, sf_dir).select("id", hashes.to_string("digest").alias("text"))
+    rows = hashes.with_parsed(rows, "text", "p", normalized=False)
     h = F.col("p.hash")
     lengths = [F.length(h["bh1"]).alias("len1"), F.length(h["bh2"]).alias("len2"), hashes.length_as_string(h).alias("len_in_str")]
     return rows.select(F.col("id").alias("doc_id"), hashes.block_size(h).alias("block_size"), h["bh1"].alias("bh1"), h["bh2"].alias("bh2"), *lengths, F.col("p.last_index").alias("last_index"))
@@ -306,36 +320,36 @@ def compare_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{duck_matches(ONE_SET, 'l.id < r.id')} SELECT left_id, right_id FROM matches JOIN l ON l.id = left_id JOIN r ON r.id = right_id WHERE NOT (l.n = r.n AND l.x = r.x AND l.y = r.y) OR length(l.x) >= 7 OR length(l.y) >= 7")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.candidate_pairs(document_digests(spark, sf_dir)).toDF("left_id", "right_id")
+    return joins.candidate_pairs(kept_digests(spark, sf_dir)).toDF("left_id", "right_id")
 
 
 @query(f"{duck_matches(ONE_SET, 'l.id < r.id')} SELECT left_id, right_id, score FROM matches WHERE score >= 40")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.similarity_join(document_digests(spark, sf_dir), threshold=40).toDF("left_id", "right_id", "score")
+    return joins.similarity_join(kept_digests(spark, sf_dir), threshold=40).toDF("left_id", "right_id", "score")
 
 
 @query(f"{duck_matches(ONE_SET, 'l.id <> r.id')} SELECT left_id, right_id, score, cast(row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS int) AS place FROM matches QUALIFY place <= 3")
 def topk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_digests(spark, sf_dir)
+    rows = kept_digests(spark, sf_dir)
     return joins.top_matches(rows, rows, 3).toDF("left_id", "right_id", "score", "place")
 
 
 @query(f"{duck_matches(TWO_SETS, 'true')} SELECT left_id AS item_id, right_id AS doc_id, score FROM matches WHERE score >= 1")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), digests.digest("text").alias("digest"))
-    return joins.one_against_many(items, document_digests(spark, sf_dir)).toDF("item_id", "doc_id", "score")
+    return joins.one_against_many(items, kept_digests(spark, sf_dir)).toDF("item_id", "doc_id", "score")
 
 
 @query(f"{duck_matches(TWO_SETS, 'true')} SELECT DISTINCT right_id AS doc_id FROM matches WHERE score >= 1")
 def documents_with_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(digests.digest("text").alias("digest"))
-    return joins.with_match(document_digests(spark, sf_dir), items).select(F.col("id").alias("doc_id"))
+    return joins.with_match(kept_digests(spark, sf_dir), items).select(F.col("id").alias("doc_id"))
 
 
 @query(f"{duck_matches(TWO_SETS, 'true')} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT right_id FROM matches WHERE score >= 1)")
 def documents_without_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(digests.digest("text").alias("digest"))
-    return joins.with_match(document_digests(spark, sf_dir), items, negate=True).select(F.col("id").alias("doc_id"))
+    return joins.with_match(kept_digests(spark, sf_dir), items, negate=True).select(F.col("id").alias("doc_id"))
 
 
 @query(f"WITH d AS ({DOCUMENTS}), l AS ({NORMALIZED}) SELECT concat(3 * (1 << n), ':', x, ':', y) AS digest, min(id) AS first_id, count(*) AS n_documents FROM l GROUP BY n, x, y HAVING count(*) > 1")
@@ -346,12 +360,12 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CLUSTERS} SELECT id AS doc_id, cluster FROM named")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.clusters(document_digests(spark, sf_dir)).toDF("doc_id", "cluster")
+    return joins.clusters(kept_digests(spark, sf_dir)).toDF("doc_id", "cluster")
 
 
 @query(f"{CLUSTERS} SELECT cluster, count(*) AS labelled, cast(sum(quality) AS bigint) AS good FROM named JOIN labels ON id = doc_id GROUP BY cluster")
 def quality_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = joins.clusters(document_digests(spark, sf_dir))
+    named = joins.clusters(kept_digests(spark, sf_dir))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return named.join(labels, F.col("id") == F.col("doc_id")).groupBy("cluster").agg(F.count("*").alias("labelled"), F.sum("quality").alias("good"))
 
