@@ -1,32 +1,44 @@
-"""Quality rules: counts of words, symbols, repeated lines and windows, and bands of n-gram perplexity by language.
-
-The language model is interpolated modified Kneser-Ney over bytes, of order 3, one for each value of `lang`. Spark counts
-the n-grams of every whole text (partial sums in each task, then by key). There are at most 2**24 byte trigrams a
-language, so the model is bounded without pruning; the number of entries is checked before it is collected. It is kept as
-hashes in sorted arrays with their log probabilities and found by binary search.
-
-A document's log perplexity must lie in its language's band, quartiles of all of the language's documents that pass the
-counting rules, widened by WIDEN times their distance. Nulls: a null text has no words and fails; a null lang is a
-language of its own. Repeated rows are counted and judged each. Empty tables give empty results.
+"""Quality rules: counts of words, symbols, repeated lines and windows, and bands of word perplexity by language.
+
+The language model counts words and pairs of neighbouring words, for each value of `lang`, in the whole corpus; nothing is
+pruned, so it grows with the input. It is never collected: texts are dealt to blocks by hash, each block sends the counts
+of its n-grams to buckets by their 64-bit hash, a bucket adds them up and sends each block the sums of the n-grams it has,
+and the block's texts are scored by binary search in those. A text is scored by the counts of all other rows (its own are
+taken off), as gibberish would explain itself otherwise: pairs by a Dirichlet prior of PRIOR words of the single words'
+probabilities, single words mixed with NEW of their spelling's. Spelling is interpolated modified Kneser-Ney over bytes, of
+order 3: at most 2**24 entries a language, checked before they are collected.
+
+A document's bits a word must lie in its language's band: the quartiles of all of the language's documents that pass the
+counting rules, moved out by BELOW and ABOVE times their distance from the median. Nulls: a null text has no words and fails; a
+null lang is a language of its own. Repeated rows are counted and judged each. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockprint.llm.common import WORD, bytes_and_bounds, column, cut, pieces
-from blockprint.llm.minimisers import ragged_ranges
+from blockprint.llm.common import CHUNK_BYTES, WORD, bytes_and_bounds, column, cut, in_small_batches, pieces
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, ragged_ranges, runs, words_of
 
 ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 3, 5, 10, 20
 SYMBOLS = frozenset("#*$%&|<>")
-#: How far a band reaches beyond the quartiles, in quartile distances, and at least (in bits a byte).
-WIDEN, LEAST_REACH = 6.0, 1.0
+#: How far a band reaches beyond the lower and the upper quartile, in their distances from the median, and at least (in
+#: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
+BELOW, ABOVE, LEAST_REACH = 6.0, 6.0, 1.0
+#: Weight of single words in pairs, in words, and of the spelling in single words.
+PRIOR, NEW = 20.0, 0.05
+#: Bytes of text in a block, and of counted text for each bucket.
+BLOCK_BYTES = 8 << 20
+BORDER = np.uint64(0x5851F42D4C957F2D)  # the unit before a text's first word and after its last
+BORDER_BITS = 8.0
 #: Entries of the collected counts over all languages; more is an error.
 MOST_ENTRIES = 1 << 26
 START = 10  # texts begin as if after line feeds
@@ -214,32 +226,232 @@ def fit(docs: DataFrame) -> dict[str | None, LanguageModel]:
     return out
 
 
+# ---- the model of words ----------------------------------------------------------------------------------------------
+
+
+def lang_keys(langs: list[str | None]) -> np.ndarray:
+    known = {x: int.from_bytes(blake2b(b"-" if x is None else b"+" + x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
+    return np.array([known[x] for x in langs], np.uint64)
+
+
+@dataclass
+class Words:
+    """The words of some texts, each text's followed by a border: hashes of word and of it with the word before (and the
+    language), their languages by text, where texts begin, the text of each, places of the words among them, and the words' bytes."""
+
+    words: np.ndarray
+    first: np.ndarray
+    pairs: np.ndarray
+    langs: np.ndarray
+    owner: np.ndarray
+    inner: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, part: pa.RecordBatch) -> Words:
+        data, bounds = bytes_and_bounds(column(part, "text"))
+        starts, ends, lengths = words_of(data, bounds)
+        langs = mixed(lang_keys(column(part, "lang").to_pylist()))
+        sizes = np.where(lengths > 0, lengths + 1, 0)
+        owner, place = ragged_ranges(sizes)
+        inner = np.flatnonzero(place < lengths[owner])
+        units = np.full(len(owner), BORDER)
+        units[inner] = Ranges(BYTE_VALUES[data])(starts, ends) if len(starts) else 0
+        words = mixed(units ^ langs[owner])
+        before = np.roll(words, 1)
+        before[place == 0] = words[np.cumsum(sizes)[sizes > 0] - 1]
+        return cls(words, place == 0, mixed(before * np.uint64(0x100000001B3) + words), langs, owner, inner, starts, ends)
+
+    def all(self) -> np.ndarray:
+        return np.concatenate([self.words, self.pairs, self.langs[self.owner]])
+
+    def shifted(self, x: np.ndarray) -> np.ndarray:
+        """Of each word's value that of the word before, or of the text's end."""
+        out = np.roll(x, 1)
+        out[self.first] = x[np.append(np.flatnonzero(self.first)[1:], len(x)) - 1] if len(x) else 0
+        return out
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """How often each one's text has it."""
+        _, at, n = np.unique(mixed(keys + mixed(self.owner.astype(np.uint64))), return_inverse=True, return_counts=True)
+        return n[at]
+
+
+@dataclass
+class Sums:
+    """Sorted hashes of n-grams and their counts in the corpus; those that it has once are left out."""
+
+    keys: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[np.ndarray], n: list[np.ndarray]) -> Sums:
+        k, m = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *n])
+        order = np.argsort(k)
+        return cls(k[order], m[order])
+
+    def others(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The counts in all other texts."""
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at] - own, 0).astype(float)
+
+
+def word_bits(words: Words, spelled: np.ndarray, sums: Sums, n_texts: int) -> np.ndarray:
+    """The mean of -log2 of the probabilities of each text's words and of its end; nan without words. spelled: bits of each
+    word's spelling."""
+    size = np.bincount(words.owner, minlength=n_texts)
+    single = sums.others(words.words, words.own(words.words))
+    total = sums.others(words.langs, size)[words.owner]
+    new = np.full(len(words.owner), BORDER_BITS)
+    new[words.inner] = spelled
+    new = np.exp2(-np.minimum(new, 1000.0))
+    one = np.where(total > 0, (1 - NEW) * single / np.maximum(total, 1) + NEW * new, new)
+    two = (sums.others(words.pairs, words.own(words.pairs)) + PRIOR * one) / (words.shifted(single) + PRIOR)
+    return np.where(size > 0, np.bincount(words.owner, -np.log2(two), n_texts) / np.maximum(size, 1), np.nan)
+
+
+def packed(rows: list[tuple], first: str, second: str) -> pa.RecordBatch:
+    """Rows of two numbers, sorted keys and their counts; the differences of keys and the counts are compressed by bytes."""
+    codec, out = pa.Codec("zstd"), []
+    for _, _, keys, n in rows:
+        raw = np.concatenate([np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), n.astype(np.int32).view(np.uint8).reshape(-1, 4)], axis=1)
+        out.append(codec.compress(np.ascontiguousarray(raw.T), asbytes=True))
+    a, b, keys, _ = zip(*rows, strict=True)
+    return pa.record_batch({first: pa.array(a, pa.int32()), second: pa.array(b, pa.int32()), "size": pa.array([len(x) for x in keys], pa.int32()), "data": pa.array(out, pa.binary())})
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    codec, keys, n = pa.Codec("zstd"), [], []
+    for size, data in zip(column(batch, "size").to_pylist(), column(batch, "data").to_pylist(), strict=True):
+        raw = np.frombuffer(codec.decompress(data, 12 * size), np.uint8).reshape(12, size)
+        keys.append(np.cumsum(np.ascontiguousarray(raw[:8].T).view(np.uint64)[:, 0], dtype=np.uint64))
+        n.append(np.ascontiguousarray(raw[8:].T).view(np.int32)[:, 0].astype(np.int64))
+    return keys, n
+
+
+def compressed(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """_block, size, data, doc_id, lang: the rows dealt to blocks, with their texts compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            raw = [None if t is None else t.encode() for t in column(batch, "text").to_pylist()]
+            small = pa.array([None if r is None else codec.compress(r, asbytes=True) for r in raw], pa.binary())
+            yield pa.record_batch({"_block": column(batch, "_block"), "size": pa.array([None if r is None else len(r) for r in raw], pa.int32()), "data": small, "doc_id": column(batch, "doc_id"), "lang": column(batch, "lang")})
+
+    rows = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block"))
+    return in_small_batches(rows).mapInArrow(run, f"_block int, size int, data binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string")
+
+
+def texts_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang and text of compressed rows, in pieces."""
+    codec, sizes = pa.Codec("zstd"), column(batch, "size").fill_null(0).to_numpy()
+    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1):
+        part = batch.take(pa.array(rows))
+        raw = [None if z is None else codec.decompress(z, n, asbytes=True) for n, z in zip(column(part, "size").to_pylist(), column(part, "data").to_pylist(), strict=True)]
+        yield from pieces(pa.record_batch({"doc_id": column(part, "doc_id"), "lang": column(part, "lang"), "text": pa.array(raw, pa.binary()).cast(pa.string())}), "text")
+
+
+def by_group(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of rows with one value of a column, in batches."""
+
+    def split() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            values = column(batch, name).to_numpy(zero_copy_only=False)
+            for start, end in zip(*runs(values), strict=True):
+                yield int(values[start]), batch.slice(start, end - start)
+
+    for value, group in groupby(split(), key=lambda x: x[0]):
+        yield value, (part for _, part in group)
+
+
+def word_sums(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """_block, _bucket, size, data: for each block, the n-grams it has that the corpus has more than once, with their
+    counts. Buckets are ranges of hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in by_group(batches, "_block"):
+            found = np.sort(np.concatenate([Words.of(part).all() for batch in group for part in texts_in(batch)]))
+            starts, ends = runs(found)
+            keys, n = found[starts], ends - starts
+            bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+            rows = [(int(bucket[s]), block, keys[s:e], n[s:e]) for s, e in zip(*runs(bucket), strict=True)]
+            if rows:
+                yield packed(rows, "_bucket", "_block")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, group in by_group(batches, "_bucket"):
+            keys, n, block = [], [], []
+            for batch in group:
+                k, m = unpacked(batch)
+                keys, n, block = keys + k, n + m, block + column(batch, "_block").to_pylist()
+            of = np.repeat(np.array(block), [len(k) for k in keys])
+            k, m = np.concatenate(keys), np.concatenate(n)
+            order = np.argsort(k)
+            starts, ends = runs(k[order])
+            total = np.empty(len(k), np.int64)
+            total[order] = np.repeat(np.add.reduceat(m[order], starts), ends - starts)
+            often = order[total[order] > 1]
+            often = often[np.argsort(of[often], kind="stable")]
+            rows = [(int(of[often[s]]), bucket, k[often[s:e]], np.minimum(total[often[s:e]], (1 << 31) - 1)) for s, e in zip(*runs(of[often]), strict=True)]
+            if rows:
+                yield packed(rows, "_block", "_bucket")
+
+    counted = blocks.mapInArrow(count, "_bucket int, _block int, size int, data binary")
+    return counted.repartition(n_buckets, "_bucket").sortWithinPartitions("_bucket").mapInArrow(add, "_block int, _bucket int, size int, data binary")
+
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame, models: dict[str | None, LanguageModel]) -> DataFrame:
-    """doc_id, lang, the counts, base_failed and bits: the mean of -log2 of a byte's probability (log2 of perplexity)."""
+    """doc_id, lang, the counts, base_failed and bits: the mean of -log2 of a word's probability (log2 of perplexity)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                counts = base_counts(column(part, "text").to_pylist())
-                failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
-                _, bounds = bytes_and_bounds(column(part, "text"))
-                langs = column(part, "lang").to_pylist()
-                size, bits = np.diff(bounds), np.zeros(part.num_rows)
-                for lang, codes in by_language(part):
-                    rows = np.array([i for i, x in enumerate(langs) if x == lang])
-                    kinds, at = np.unique(codes, return_inverse=True)
-                    if len(codes):
-                        logs = shared.value[lang].log2(kinds)[at]
-                        bits[rows] = -np.bincount(np.repeat(rows, size[rows]), logs, part.num_rows)[rows]
-                bits = np.where(size > 0, bits / np.maximum(1, size), np.nan)
-                yield pa.record_batch({"doc_id": column(part, "doc_id"), "lang": column(part, "lang"), **{k: pa.array(counts[k]) for k in BASE}, "base_failed": failed, "bits": pa.array(bits, from_pandas=True)})
+    def score(part: pa.RecordBatch, sums: Sums) -> pa.RecordBatch:
+        counts = base_counts(column(part, "text").to_pylist())
+        failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
+        _, bounds = bytes_and_bounds(column(part, "text"))
+        langs = column(part, "lang").to_pylist()
+        size, spelled = np.diff(bounds), np.zeros(bounds[-1] + 1)
+        for lang, codes in by_language(part):
+            rows = np.array([x == lang for x in langs])
+            kinds, at = np.unique(codes, return_inverse=True)
+            if len(codes):
+                spelled[:-1][np.repeat(rows, size)] = -shared.value[lang].log2(kinds)[at]
+        words = Words.of(part)
+        sums_of = np.concatenate([[0], np.cumsum(spelled)])
+        after = np.minimum(words.ends + 1, bounds[1:][words.owner[words.inner]])  # with the byte that ends the word
+        bits = word_bits(words, sums_of[after] - sums_of[words.starts], sums, part.num_rows)
+        return pa.record_batch({"doc_id": column(part, "doc_id"), "lang": column(part, "lang"), **{k: pa.array(counts[k]) for k in BASE}, "base_failed": failed, "bits": pa.array(bits, from_pandas=True)})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, "_block"):
+            keys, n, sums = [], [], None
+            for batch in group:
+                counted = column(batch, "counted")
+                for x, y in zip(*unpacked(batch.filter(counted)), strict=True):
+                    keys.append(x)
+                    n.append(y)
+                texts = batch.filter(pa.compute.invert(counted))
+                if texts.num_rows:
+                    if sums is None:
+                        sums, keys, n = Sums.of(keys, n), [], []
+                    for part in texts_in(texts):
+                        yield score(part, sums)
+
+    docs = docs.select("doc_id", "lang", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(8, -(-size // BLOCK_BYTES))
+    texts = compressed(docs, n_blocks)
+    sums = cut(word_sums(texts.repartition(n_blocks, "_block").sortWithinPartitions("_block"), n_blocks))
+    sums = sums.select("_block", "size", "data", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "lang")), F.lit(True).alias("counted"))
+    both = sums.union(texts.withColumn("counted", F.lit(False))).repartition(n_blocks, "_block").sortWithinPartitions("_block", F.desc("counted"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double")
+    return both.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -247,8 +459,9 @@ def judge(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("lang", F.col("lang").cast("string"))
     rows = cut(measured(docs, fit(docs)))
     bands = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 1000).alias("q"))
-    reach = F.greatest((F.col("q")[2] - F.col("q")[0]) * WIDEN, F.lit(LEAST_REACH))
-    bands = bands.select(F.col("lang").alias("_lang"), (F.col("q")[0] - reach).alias("lowest_bits"), (F.col("q")[2] + reach).alias("highest_bits"))
+    q = F.col("q")
+    below, above = F.greatest((q[1] - q[0]) * BELOW, F.lit(LEAST_REACH)), F.greatest((q[2] - q[1]) * ABOVE, F.lit(LEAST_REACH))
+    bands = bands.select(F.col("lang").alias("_lang"), (q[0] - below).alias("lowest_bits"), (q[2] + above).alias("highest_bits"))
     out = rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     inside = F.coalesce(F.col("bits").between(F.col("lowest_bits"), F.col("highest_bits")), F.lit(False))
     return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "bits", "lowest_bits", "highest_bits")

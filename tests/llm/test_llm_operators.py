@@ -4,8 +4,11 @@ tables and columns of clashing names."""
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -290,6 +293,32 @@ def test_rules_bands(spark):
     assert all(out[i]["kept"] for i, g in enumerate(good) if g)
 
 
+def test_rules_word_model(spark, monkeypatch):
+    """Bits against plain counting; sentences keep the order of their words, shuffled ones do not."""
+    rng = random.Random(3)
+    sentences = [words(rng, 8, 300) for _ in range(60)]
+    plain = [[w for _ in range(12) for w in rng.choice(sentences)] for _ in range(150)]
+    shuffled = [rng.sample(t, len(t)) for t in plain[:5]]
+    values = [" ".join(t) for t in plain + shuffled] + [" ".join(plain[0]), None, " "]
+    monkeypatch.setattr(rules, "BLOCK_BYTES", 5000)
+    docs = documents(spark, values)
+    out, model = {r["doc_id"]: r for r in rules.judge(docs).collect()}, rules.fit(docs)["en"]
+    texts_of = [["", *(v or "").split(), ""] for v in values if (v or "").strip()]
+    ones, twos = Counter(w for t in texts_of for w in t[1:]), Counter(p for t in texts_of for p in zip(t, t[1:]))
+    for i, t in enumerate(texts_of):
+        one, two, total = Counter(ones), Counter(twos), sum(ones.values()) - len(t) + 1
+        one.subtract(t[1:])
+        two.subtract(zip(t, t[1:]))
+        text = " ".join(t[1:-1])
+        logs = model.log2(rules.trigrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
+        new = [*(2 ** logs[m.start() : m.end() + 1].sum() for m in re.finditer(r"\S+", text)), 2**-rules.BORDER_BITS]
+        mix = [(1 - rules.NEW) * one[w] / total + rules.NEW * x for w, x in zip(t[1:], new)]
+        bits = [-math.log2((two[u, w] + rules.PRIOR * m) / (one[u] + rules.PRIOR)) for u, w, m in zip(t, t[1:], mix)]
+        assert abs(out[i]["bits"] - sum(bits) / len(bits)) < 1e-9
+    assert out[len(values) - 1]["bits"] is None and out[len(values) - 2]["bits"] is None
+    assert min(out[150 + i]["bits"] for i in range(5)) > max(out[i]["bits"] for i in range(150)) + 1
+
+
 def test_language_model_sums_to_one():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 103, 4000).astype(np.uint8)
