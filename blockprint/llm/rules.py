@@ -32,7 +32,7 @@ ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 3, 5, 10, 20
 SYMBOLS = frozenset("#*$%&|<>")
 #: How far a band reaches beyond the lower and the upper quartile, in their distances from the median, and at least (in
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
-BELOW, ABOVE, LEAST_REACH = 6.0, 6.0, 1.0
+BELOW, ABOVE, LEAST_REACH = 10.0, 6.0, 1.0
 #: Weight of single words in pairs, in words, and of the spelling in single words.
 PRIOR, NEW = 20.0, 0.05
 #: Bytes of text in a block, and of counted text for each bucket.

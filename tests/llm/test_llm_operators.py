@@ -293,6 +293,14 @@ def test_rules_bands(spark):
     assert all(out[i]["kept"] for i, g in enumerate(good) if g)
 
 
+def test_rules_bands_reject_marked_words(spark):
+    """Texts whose words carry symbols pass the counting rules and are rejected by the bands; clean texts stay."""
+    rng = random.Random(5)
+    values = [" ".join(words(rng, 60)) for _ in range(120)] + [" ".join(w + rng.choice("#$%&*") * 3 for w in words(rng, 60)) for _ in range(4)]
+    out = {r["doc_id"]: r for r in rules.judge(documents(spark, values)).collect()}
+    assert all(out[i]["kept"] for i in range(120)) and not any(out[i]["kept"] or out[i]["base_failed"] for i in range(120, 124))
+
+
 def test_rules_word_model(spark, monkeypatch):
     """Bits against plain counting; sentences keep the order of their words, shuffled ones do not."""
     rng = random.Random(3)
