@@ -293,6 +293,17 @@ def test_rules_bands(spark):
     assert all(out[i]["kept"] for i, g in enumerate(good) if g)
 
 
+def test_rules_bands_letters(spark):
+    """Words of few letters (the noise that test_rules_bands had first), and texts of words in a new order."""
+    docs, _, good = corpus(spark, 400)
+    rng = random.Random(1)
+    noise = ["".join(rng.choice("qxzjkvwy#%") for _ in range(400)) + " a b c d e f g h i j k l" for _ in range(3)]
+    both = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "en").alias("lang")).union(documents(spark, noise, [9001, 9002, 9003]).select("doc_id", "text", "lang"))
+    out = {r["doc_id"]: r for r in rules.judge(both).collect()}
+    assert not any(out[i]["kept"] or out[i]["base_failed"] for i in (9001, 9002, 9003))
+    assert all(out[i]["kept"] for i, g in enumerate(good) if g)
+
+
 def test_rules_bands_reject_marked_words(spark):
     """Texts whose words carry symbols pass the counting rules and are rejected by the bands; clean texts stay."""
     rng = random.Random(5)
