@@ -158,7 +158,8 @@ def comes_again(units: np.ndarray, window: int, most: int) -> np.ndarray:
 
 def values_of(docs: DataFrame, units: Callable, window: int, gram: int, within: bool) -> DataFrame:
     """doc_id, value, twice: the minimisers of each text's windows, each once. If within is asked for, twice tells
-    whether the text may repeat a window with that minimiser: it has several runs of it, or a window comes again in a run.
+    whether the text may repeat a window with that minimiser: it has several runs of it, or a window comes again in a run;
+    and the text's key stands beside doc_id, as several texts may have one id.
     units: of bytes and bounds, 64-bit units and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +182,17 @@ def values_of(docs: DataFrame, units: Callable, window: int, gram: int, within:
                 v, o, again = v[order], o[order], again[order]
                 first, last = runs(v, o)
                 twice = (last - first > 1) | np.logical_or.reduceat(again, first)
-                yield pa.record_batch({"doc_id": column(part, "doc_id").take(pa.array(o[first])), "value": pa.array(v[first]), "twice": pa.array(twice)})
+                who = pa.array(o[first])
+                yield pa.record_batch({**{c: column(part, c).take(who) for c in names}, "value": pa.array(v[first]), "twice": pa.array(twice)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, value long, twice boolean")
+    kind, names = docs.schema["doc_id"].dataType.simpleString(), ["doc_id", "key"] if within else ["doc_id"]
+    docs = docs.select("doc_id", "text", *([text_key(F.col("text")).alias("key")] if within else []))
+    return docs.mapInArrow(run, f"doc_id {kind}, " + "key long, " * within + "value long, twice boolean")
 
 
 def shared_values(values: DataFrame, within: bool) -> DataFrame:
-    """The rows of values that several documents have (or, if within, one has twice). Rows come sorted by value and pass
+    """The rows of values that several documents have (or, if within, one has twice). Documents are told apart by doc_id
+    and, if values have it, the key of their text. Rows come sorted by value and pass
     through; only the last group's state is kept, whatever its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +210,9 @@ def shared_values(values: DataFrame, within: bool) -> DataFrame:
             starts, ends = runs(v)
             of = np.repeat(starts, ends - starts)
             other = (d != d[of]) | (null != null[of]) | (twice if within else False)
+            if keyed:
+                k = column(batch, "key").to_numpy()
+                other |= k != k[of]
             shared = np.add.reduceat(other, starts) > 0
             if open_value is not None and v[0] == open_value:
                 shared[0] = True
@@ -215,7 +222,7 @@ def shared_values(values: DataFrame, within: bool) -> DataFrame:
             if take.any():
                 yield batch.filter(pa.array(take)).select(["doc_id", "value"])
 
-    kind = values.schema["doc_id"].dataType.simpleString()
+    kind, keyed = values.schema["doc_id"].dataType.simpleString(), "key" in values.columns
     rows = values.repartition(shuffle_partitions(values.sparkSession), "value").sortWithinPartitions("value")
     return rows.mapInArrow(run, f"doc_id {kind}, value long")
 

@@ -503,6 +503,16 @@ def test_windows_repeated_and_null_ids(spark, monkeypatch):
     assert got == ordered(brute.windows(list(zip(ids, values, strict=True))))
 
 
+@pytest.mark.parametrize("ids", [[None, None, 3], [7, 7, 3], [None, 7, 3]])
+def test_windows_shared_by_rows_of_one_id(spark, ids):
+    """Two rows with one id, or none, that alone share a passage."""
+    rng = random.Random(8)
+    passage = words(rng, 50, 10**6)
+    values = [" ".join(words(rng, 40, 10**6) + passage + words(rng, 30, 10**6)), " ".join(passage + words(rng, 60, 10**6)), " ".join(words(rng, 90, 10**6))]
+    got = rows(superkmers.drop_repeated_windows(documents(spark, values, ids)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.windows(list(zip(ids, values, strict=True)))) and sum(r[2] for r in got) == 100
+
+
 def test_values_that_one_document_has_are_dropped(spark):
     values = spark.createDataFrame([(1, 5, False), (2, 5, False), (3, 6, False), (4, 7, True), (None, 8, False), (9, 8, False)] + [(i, 99, False) for i in range(50)], "doc_id long, value long, twice boolean")
     assert rows(minimisers.shared_values(values, within=True), "value").count((99,)) == 50
