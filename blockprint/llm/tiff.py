@@ -258,40 +258,51 @@ def directories(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
         yield fields
 
 
+def decode_page(data: bytes, number: int, f: dict[int, tuple[int, ...]]) -> Page:
+    """The page of a directory. Read are samples of 8 bits that stand together, without a predictor or with predictor 2."""
+    one = lambda tag, default=None: f.get(tag, (default,))[0]
+    w, h, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if not w or not h or set(f.get(BITS, (1,))) != {8} or one(284, 1) != 1 or predictor not in (1, 2):
+        raise ValueError(f"page {number}: no size, or samples that are not read")
+    tiled = TILE_OFFSETS in f
+    th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
+    offsets, counts = (f.get(TILE_OFFSETS), f.get(TILE_BYTES)) if tiled else (f.get(STRIP_OFFSETS), f.get(STRIP_BYTES))
+    across, down = -(-w // tw), -(-h // th)
+    if not offsets or not counts or len(offsets) != across * down or len(counts) != len(offsets):
+        raise ValueError(f"page {number}: its blocks do not cover it")
+    image = np.zeros((down * th if tiled else h, across * tw, n), np.uint8)
+    for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
+        y, x = k // across * th, k % across * tw
+        rows = th if tiled else min(th, h - y)
+        if at + size > len(data):
+            raise ValueError(f"page {number}: a block lies outside the file")
+        block = np.frombuffer(decompress(data[at : at + size], compression, rows * tw * n), np.uint8).reshape(rows, tw, n)
+        image[y : y + rows, x : x + tw] = np.cumsum(block, axis=1, dtype=np.uint8) if predictor == 2 else block
+    return Page(number, w, h, n, compression, predictor, tiled, image[:h, :w].tobytes())
+
+
 def decode_pages(data: bytes) -> Iterator[Page]:
     for number, f in enumerate(directories(data)):
-        one = lambda tag, default=None: f.get(tag, (default,))[0]  # noqa: B023, E731
-        w, h, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if not w or not h or set(f.get(BITS, (1,))) != {8} or one(284, 1) != 1 or predictor not in (1, 2):
-            raise ValueError(f"page {number}: no size, or samples that are not read")
-        tiled = TILE_OFFSETS in f
-        th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
-        offsets, counts = (f.get(TILE_OFFSETS), f.get(TILE_BYTES)) if tiled else (f.get(STRIP_OFFSETS), f.get(STRIP_BYTES))
-        across, down = -(-w // tw), -(-h // th)
-        if not offsets or not counts or len(offsets) != across * down or len(counts) != len(offsets):
-            raise ValueError(f"page {number}: its blocks do not cover it")
-        image = np.zeros((down * th if tiled else h, across * tw, n), np.uint8)
-        for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
-            y, x = k // across * th, k % across * tw
-            rows = th if tiled else min(th, h - y)
-            if at + size > len(data):
-                raise ValueError(f"page {number}: a block lies outside the file")
-            block = np.frombuffer(decompress(data[at : at + size], compression, rows * tw * n), np.uint8).reshape(rows, tw, n)
-            image[y : y + rows, x : x + tw] = np.cumsum(block, axis=1, dtype=np.uint8) if predictor == 2 else block
-        yield Page(number, w, h, n, compression, predictor, tiled, image[:h, :w].tobytes())
+        yield decode_page(data, number, f)
 
 
 def read_pages(files: DataFrame, key: str, content: str) -> DataFrame:
-    """One row per page of the TIFF files in a binary column: key, page, width, height, samples, compression, data, error."""
+    """One row per page of the TIFF files in a binary column: key, page, width, height, samples, compression, data, error. A
+    page that is not read has its number and an error, and the next ones follow; a file whose directories can not be
+    followed further ends with an error without a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in enumerate(column(batch, content).to_pylist()):
                 rows, error = [], "empty" if not raw else None
                 try:
-                    for p in decode_pages(raw) if raw else []:
-                        rows.append((p.number, p.width, p.height, p.samples, p.compression, p.data, None))
+                    for number, f in enumerate(directories(raw)) if raw else []:
+                        try:
+                            p = decode_page(raw, number, f)
+                            rows.append((p.number, p.width, p.height, p.samples, p.compression, p.data, None))
+                        except ValueError as e:
+                            rows.append((number, None, None, None, None, None, str(e)))
                 except ValueError as e:
                     error = str(e)
                 if error:

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -378,6 +379,16 @@ def test_tiff_round_trip(compression, tile, order):
                 list(tiff.decode_pages(data[:cut]))
 
 
+def test_tiff_rows_after_a_page_that_is_not_read(spark):
+    pages = [np.full((4, 4, 1), k, np.uint8) for k in range(3)]
+    data = bytearray(tiff.encode_pages(pages))
+    bits = struct.pack("<HHIH", tiff.BITS, 3, 1, 8)
+    at = data.index(bits, data.index(bits) + 1)  # the second page's
+    data[at : at + len(bits)] = struct.pack("<HHIH", tiff.BITS, 3, 1, 16)
+    got = sorted(tiff.read_pages(spark.createDataFrame([(1, bytes(data))], "id long, content binary"), "id", "content").collect(), key=lambda r: r["page"])
+    assert [(r["page"], None if r["data"] is None else bytes(r["data"]), r["error"] is None) for r in got] == [(0, pages[0].tobytes(), True), (1, None, False), (2, pages[2].tobytes(), True)]
+
+
 def test_tiff_rows(spark):
     good = tiff.encode_pages([np.ones((4, 4, 1), np.uint8)] * 2)
     loop = bytearray(tiff.encode_pages([np.ones((4, 4, 1), np.uint8)]))
