@@ -119,6 +119,7 @@ class Model:
     weights: np.ndarray
     knots: np.ndarray
     values: np.ndarray
+    fitted: bool = False
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.directions + self.shifts
@@ -156,6 +157,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     model = Model(mean, scale, rng.normal(size=(d, FEATURES)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
     if moments[0, 0] == 0:
         return model
+    model.fitted = True
 
     def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = model.features(x)
@@ -200,8 +202,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns. It is fitted to the labelled rows of docs;
-    statistics are taken once more where rows are judged, so no text is shuffled."""
+    statistics are taken once more where rows are judged, so no text is shuffled. Without labelled rows to fit to, nothing
+    is known against any row and all are kept."""
     model = fit(cut(with_statistics(docs)), labels)
+    if not model.fitted:
+        return docs
     parameters = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -272,6 +272,13 @@ def test_quality_odd_inputs(spark, docs):
     assert quality.classify(documents(spark, ["a b", None], [None, None]), labels).count() == 2
 
 
+def test_quality_without_labels_keeps_all(spark, docs):
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in range(len(texts()))}
+    for labelled in ([], [(i, 0, 0) for i in fold if fold[i] > 1], [(10**6, 1, 0)]):
+        kept = quality.accepted(docs, spark.createDataFrame(labelled, "doc_id long, quality int, toxic int"))
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(fold)
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 1, 1]), np.ones(4))
     assert y.tolist() == [0.5, 1.0] or y.tolist() == [0.5, 1.0, 1.0]

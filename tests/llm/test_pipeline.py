@@ -55,6 +55,14 @@ def test_pipeline_of_nothing_and_odd_rows(spark, tmp_path):
                 docs = spark.read.parquet(str(folder / f"{step}"))
 
 
+def test_pipeline_without_labels(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)), "en", "s", 0) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert entry.queries()["pipeline"](spark, str(tmp_path)).count() > 0
+
+
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
