@@ -317,7 +317,7 @@ def packed(rows: list[tuple], first: str, second: str) -> pa.RecordBatch:
     """Rows of two numbers, sorted keys and their counts; the differences of keys and the counts are compressed by bytes."""
     codec, out = pa.Codec("zstd"), []
     for _, _, keys, n in rows:
-        raw = np.concatenate([np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), n.astype(np.int32).view(np.uint8).reshape(-1, 4)], axis=1)
+        raw = np.concatenate([np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), n.astype(np.int64).view(np.uint8).reshape(-1, 8)], axis=1)
         out.append(codec.compress(np.ascontiguousarray(raw.T), asbytes=True))
     a, b, keys, _ = zip(*rows, strict=True)
     return pa.record_batch({first: pa.array(a, pa.int32()), second: pa.array(b, pa.int32()), "size": pa.array([len(x) for x in keys], pa.int32()), "data": pa.array(out, pa.binary())})
@@ -326,9 +326,9 @@ def packed(rows: list[tuple], first: str, second: str) -> pa.RecordBatch:
 def unpacked(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     codec, keys, n = pa.Codec("zstd"), [], []
     for size, data in zip(column(batch, "size").to_pylist(), column(batch, "data").to_pylist(), strict=True):
-        raw = np.frombuffer(codec.decompress(data, 12 * size), np.uint8).reshape(12, size)
+        raw = np.frombuffer(codec.decompress(data, 16 * size), np.uint8).reshape(16, size)
         keys.append(np.cumsum(np.ascontiguousarray(raw[:8].T).view(np.uint64)[:, 0], dtype=np.uint64))
-        n.append(np.ascontiguousarray(raw[8:].T).view(np.int32)[:, 0].astype(np.int64))
+        n.append(np.ascontiguousarray(raw[8:].T).view(np.int64)[:, 0])
     return keys, n
 
 
@@ -396,7 +396,7 @@ def word_sums(blocks: DataFrame, n_buckets: int) -> DataFrame:
             total[order] = np.repeat(np.add.reduceat(m[order], starts), ends - starts)
             often = order[total[order] > 1]
             often = often[np.argsort(of[often], kind="stable")]
-            rows = [(int(of[often[s]]), bucket, k[often[s:e]], np.minimum(total[often[s:e]], (1 << 31) - 1)) for s, e in zip(*runs(of[often]), strict=True)]
+            rows = [(int(of[often[s]]), bucket, k[often[s:e]], total[often[s:e]]) for s, e in zip(*runs(of[often]), strict=True)]
             if rows:
                 yield packed(rows, "_block", "_bucket")
 
