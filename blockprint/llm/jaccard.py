@@ -20,8 +20,8 @@ The result has components, for which links that lie inside a known component nee
 settled by its pivots without listing its pairs.
 
 Nulls and texts without words have no shingles and link with nothing. A null doc_id counts as larger than any other; a
-component of such rows alone has a null component_id. Repeated rows are documents of one class. Classes have 64-bit ids
-(of n classes some two would be taken for one with a chance of n * n / 2**65).
+component of such rows alone has a null component_id. Repeated rows are documents of one class. Classes have 64-bit ids,
+and new ones where a second hash shows two classes to have one id.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, lowered, mixed, ragged_ranges, runs, words_of
+from blockprint.llm.minimisers import joined, lowered, mixed, ragged_ranges, runs, word_hashes, words_of
 from blockprint.operators.components import components
 
 SIZE, PERCENT = 5, 80
@@ -59,12 +60,15 @@ def shingles(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[np
     """The sorted distinct shingles of each text, one text after another, and their number."""
     data = lowered(data)
     starts, ends, lengths = words_of(data, bounds)
-    words = Ranges(BYTE_VALUES[data])(starts, ends)
+    words = word_hashes(data, starts, ends)
     first = np.cumsum(lengths) - lengths
     counts = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
     owner, place = ragged_ranges(counts)
-    a = first[owner] + place
-    h = Ranges(words)(a, a + np.minimum(lengths[owner], size))
+    a, wide = first[owner] + place, np.minimum(lengths[owner], size)
+    h = mixed(wide.astype(np.uint64))
+    for k in range(size):
+        rows = slice(None) if k == 0 else np.flatnonzero(wide > k)
+        h[rows] = joined(h[rows], words[a[rows] + k])
     order = by_owner(np.argsort(h), owner)
     h, owner = h[order], owner[order]
     keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
@@ -100,7 +104,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def points(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, key, n, cid (hash of the set; null if empty) and prefix: the shingles through which links are looked for,
+    """doc_id, key, n, cid and cid2 (hashes of the set; null if empty) and prefix: the shingles through which links are looked for,
     for the first document of each class in a piece of a task."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -128,17 +132,19 @@ def points(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                         "key": column(part, "key"),
                         "n": pa.array(n, pa.int64()),
                         "cid": pa.array(cid.view(np.int64), mask=n == 0),
+                        "cid2": pa.array(class_ids(h, n, 1).view(np.int64), mask=n == 0),
                         "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[take].view(np.int64))),
                     }
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, n long, cid long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, n long, cid long, cid2 long, prefix array<long>")
 
 
-def class_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    sums = np.append(U(0), np.cumsum(mixed(h + U(0x51ED27))))
+def class_ids(h: np.ndarray, n: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64 bits of each set, in two lanes that are independent of each other."""
+    sums = np.append(U(0), np.cumsum(mixed(h * U(2 * lane + 1) + U((0x51ED27, 0x9D8A7C3F5B21)[lane]))))
     ends = np.cumsum(n)
     return mixed((sums[ends] - sums[ends - n]) ^ (n.astype(np.uint64) << U(40)))
 
@@ -155,36 +161,31 @@ class Region:
         values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), self.n)
         some = (count > 1)[inverse]  # shingles of one point only count in its size
-        self.owner, self.shingle = owner[some], inverse[some]
-        self.row_at = np.searchsorted(self.owner, np.arange(len(sets) + 1))
-        by = np.argsort(self.shingle, kind="stable")
-        self.posting = self.owner[by]
-        self.posting_at = np.searchsorted(self.shingle[by], np.arange(len(values) + 1))
-        self.parent = list(range(len(sets)))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+        owner, shingle = owner[some], inverse[some]
+        by = np.argsort(shingle, kind="stable")
+        self.posting = owner[by]
+        self.posting_at = np.searchsorted(shingle[by], np.arange(len(values) + 1))
+        # Shingles that the same points have (those of a shared passage) count as one of their number's weight.
+        self.weight, stands_for = alike(self.posting, self.posting_at)
+        lead = stands_for[shingle] == shingle
+        self.shingle = shingle[lead]
+        self.row_at = np.searchsorted(owner[lead], np.arange(len(sets) + 1))
+        self.label = np.arange(len(sets))
 
     def distances(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         """From point q to all: distance, and whether they link (in whole numbers)."""
         mine = self.shingle[self.row_at[q] : self.row_at[q + 1]]
         a, b = self.posting_at[mine], self.posting_at[mine + 1]
         which, place = ragged_ranges(b - a)
-        both = np.bincount(self.posting[a[which] + place], minlength=len(self.n))
+        both = np.bincount(self.posting[a[which] + place], self.weight[mine][which], len(self.n)).astype(np.int64)
         both[q] = self.n[q]
         union = self.n[q] + self.n - both
         return 1 - both / union, 100 * both >= self.percent * union
 
     def link(self, q: int, linked: np.ndarray) -> None:
-        r = self.root(q)
-        for i in np.flatnonzero(linked).tolist():
-            s = self.root(i)
-            if s != r:
-                self.parent[max(r, s)] = min(r, s)
-                r = min(r, s)
+        joined_labels = np.unique(np.append(self.label[linked], self.label[q]))
+        if len(joined_labels) > 1:
+            self.label[np.isin(self.label, joined_labels[1:])] = joined_labels[0]
 
     def sweep(self, members: np.ndarray) -> None:
         """Joins members by one pivot after another."""
@@ -201,9 +202,8 @@ class Region:
 
     def settle(self, q: int, d: np.ndarray, members: np.ndarray, done: np.ndarray) -> None:
         """Marks the members of q's component that no member outside of it can reach."""
-        r = self.root(q)
         near = members[d[members] < 1]
-        same = np.array([self.root(i) == r for i in near.tolist()], bool)
+        same = self.label[near] == self.label[q]
         others = d[near[~same]]
         nearest = others.min() if len(others) else 1.0 if len(near) < len(members) else np.inf
         mine = near[same]
@@ -237,9 +237,32 @@ class Region:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         self.join(np.arange(len(self.n)))
-        roots = np.array([self.root(i) for i in range(len(self.n))])
-        linked = roots != np.arange(len(roots))
-        return self.cids[linked], self.cids[roots[linked]]
+        linked = self.label != np.arange(len(self.n))
+        return self.cids[linked], self.cids[self.label[linked]]
+
+
+def alike(posting: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of posting lists (between the bounds `at`): how many are equal to each, and the first that is. Lists are grouped by
+    a hash and compared."""
+    n = len(at) - 1
+    size = np.diff(at)
+    weight, first_of = np.ones(n), np.arange(n)
+    sums = np.append(U(0), np.cumsum(mixed(posting.astype(np.uint64) + U(1))))
+    key = mixed((sums[at[1:]] - sums[at[:-1]]) ^ mixed(size.astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    order = order[size[order] > 1]
+    start, end = runs(key[order], size[order])
+    of = np.empty(n, np.int64)
+    of[order] = np.repeat(order[start], end - start)
+    rows = order[of[order] != order]  # all but the first of each group
+    which, place = ragged_ranges(size[rows])
+    differ = posting[at[rows][which] + place] != posting[at[of[rows]][which] + place]
+    unlike = np.zeros(len(rows), bool)
+    unlike[which[differ]] = True
+    same = rows[~unlike]
+    first_of[same] = of[same]
+    np.add.at(weight, of[same], 1)
+    return weight, first_of
 
 
 def cells(d: np.ndarray, eps: float) -> list[np.ndarray]:
@@ -334,30 +357,14 @@ def memberships(pts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_in_size(members: DataFrame, percent: int) -> DataFrame:
-    """(p, x, n) without points of whose region no other point has a size that allows a link. Rows come by size, so the
-    nearest sizes stand side by side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, rest_kept = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            p, n = column(batch, "p").to_numpy(), column(batch, "n").to_numpy()
-            near = (p[1:] == p[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            keep = np.append(False, near) | np.append(near, False)
-            if rest is not None:
-                keep[0] |= rest_kept
-            rest, rest_kept = batch.slice(batch.num_rows - 1, 1), bool(keep[-1])
-            out = batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-            if out.num_rows:
-                yield out
-        if rest is not None and rest_kept:
-            yield rest
-
-    spread = members.repartition(shuffle_partitions(members.sparkSession), "p").sortWithinPartitions("p", "n")
-    return spread.mapInArrow(run, "p long, x long, n long")
+    """(p, x, n) without points of whose region no other point has a size that allows a link. The sizes of a region are
+    counted first, by partial sums; so no task needs all points of one region."""
+    sizes = members.groupBy("p", "n").agg(F.count("*").alias("_k"))
+    by = Window.partitionBy("p").orderBy("n")
+    below, above = F.lag("n").over(by), F.lead("n").over(by)
+    near = (F.col("_k") > 1) | (100 * below >= percent * F.col("n")) | (100 * F.col("n") >= percent * above)
+    sizes = sizes.withColumn("_near", F.coalesce(near, F.lit(False))).where("_near").select(F.col("p").alias("_p"), F.col("n").alias("_n"))
+    return members.join(sizes, (F.col("p") == F.col("_p")) & (F.col("n") == F.col("_n")), "left_semi")
 
 
 def region_rows(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -563,13 +570,25 @@ def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, percent: int) ->
     return cut(union(found).distinct())
 
 
+def classes_of(pts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pts, and their classes: cid, n, first_id, first_key. Sets that 128 bits tell apart but that have one cid of 64 (of n
+    classes, some n * n / 2**65) get another."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    while True:
+        known = pts.where("cid is not null")
+        classes = cut(known.groupBy("cid").agg(F.first("n").alias("n"), first.alias("_f"), F.min("cid2").alias("_a"), F.max("cid2").alias("_b")))
+        twice = classes.where("_a <> _b").select(F.col("cid").alias("_c"))
+        if twice.isEmpty():
+            return pts, classes.select("cid", "n", F.col("_f.doc_id").alias("first_id"), F.col("_f.key").alias("first_key"))
+        pts = cut(pts.join(twice, F.col("cid") == F.col("_c"), "left").withColumn("cid", F.when(F.col("_c").isNull(), F.col("cid")).otherwise(F.xxhash64("cid", "cid2"))).drop("_c"))
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, key, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pts = cut(points(docs, frequent_shingles(docs), percent))
+    pts, classes = classes_of(pts)
     known = pts.where("cid is not null")
-    classes = known.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_f"))
-    classes = cut(classes.select("cid", "n", F.col("_f.doc_id").alias("first_id"), F.col("_f.key").alias("first_key")))
     roots = components(links(docs, known, classes, percent))
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "first_id")
     least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("first_id").alias("component_id"))

@@ -7,6 +7,7 @@ back to the documents, whose texts are then the only ones to be looked at closel
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+#: Seeds and multipliers of the two lanes of word hashes; any odd multipliers do.
+LANES = ((U(0x243F6A8885A308D3), U(0x9E3779B97F4A7C15)), (U(0x13198A2E03707344), U(0xD6E8FEB86659FD93)))
+#: Words of more bytes are hashed by blake2b, one by one; there can be only few.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64 bits of each word's bytes; the lanes are independent of each other. Eight bytes at a time go through a bijection
+    that mixes all bits, chained and begun with the length, so no arrangement of repeated letters makes words collide."""
+    seed, multiplier = LANES[lane]
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) * multiplier + seed)
+    short = size <= LONG_WORD
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    rows, at = np.flatnonzero(short), starts[short]
+    left = size[short]
+    while len(rows):
+        value = eights[at]
+        part = left < 8
+        value[part] &= (U(1) << (left[part].astype(np.uint64) * U(8))) - U(1)
+        out[rows] = mixed((out[rows] ^ value) * multiplier + seed)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([lane + 1])).digest(), "little")
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of each pair (a, b), in this order."""
+    return mixed(mixed(a * U(0xD6E8FEB86659FD93) + U(0x2545F4914F6CDD1D)) ^ b)
+
+
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64 bits of each range of a width: pairs of pairs, up to the largest power of two, and two of these that overlap."""
+    if len(words) < width:
+        return words[:0]
+    size, out = 1, words
+    while size * 2 <= width:
+        out = joined(out[:-size], out[size:])
+        size *= 2
+    return joined(out[: len(words) - width + 1], out[width - size :]) if size < width else out
+
+
 class Powers:
     """Powers of an odd multiplier and of its inverse, modulo 2**64, as far as asked for."""
 
@@ -49,7 +96,8 @@ class Powers:
 
 
 class Ranges:
-    """Hashes of ranges of a sequence of 64-bit values, by sums of powers."""
+    """Hashes of ranges of a sequence of 64-bit values, by sums of powers modulo 2**64. Arrangements of two values can be made
+    to collide, so these hashes steer searches only, or stand beside one of another kind."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
         up, self.down = Powers.of(which, len(values) + 1)

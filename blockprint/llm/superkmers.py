@@ -7,7 +7,8 @@ window of which the corpus has two or more is repeated; a document loses the wor
 Before strings travel, (a) minimisers that occur once are dropped, (b) texts that occur twice are represented by one, and
 (c) a task that has a window twice keeps it once and marks all of its own occurrences, so that a frequent passage sends a
 row for each task, not for each document. Buckets are read in sorted order and need memory for one piece at a time, and,
-of a minimiser that fills more than a piece, its different windows. Windows are told apart by 128 bits.
+of a minimiser that fills more than a piece, its different windows. Windows are told apart by 128 bits: two
+independent 64-bit hashes of each word, put together in two ways.
 
 Nulls: a null text has no words; a null doc_id is an id like any other. Repeated rows are occurrences of their own, so all
 of them are repeated. A text of fewer than WINDOW words loses nothing. Empty tables give empty results.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import WORD, WORD_PATTERN, bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values, words_of
+from blockprint.llm.minimisers import Ranges, copies, grouped, is_in, neighbours, ragged_ranges, runs, window_hashes, window_minima, windows_inside, with_shared_values, word_hashes, words_of
 
 WINDOW, GRAM, PIECE = 35, 8, 3 << 20
 #: Strings that a task remembers to have sent.
@@ -33,12 +34,14 @@ MOST_SEEN = 100_000
 
 def word_units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, lengths = words_of(data, bounds)
-    return Ranges(BYTE_VALUES[data])(starts, ends), lengths
+    return word_hashes(data, starts, ends), lengths
 
 
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """128 bits for each window: a row of two numbers."""
-    return np.stack([Ranges(words, k).every(window) for k in (0, 1)], axis=1)
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, window: int) -> np.ndarray:
+    """128 bits for each window of words: a row of two numbers, made of independent hashes of the words (`words` is one
+    lane) in two ways."""
+    other = Ranges(word_hashes(data, starts, ends, 1), 1).every(window)
+    return np.stack([window_hashes(words, window), other], axis=1)
 
 
 SHIPPED = "value long, doc_id {kind}, key long, start int, n int, words binary"
@@ -54,14 +57,14 @@ def packed_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
             for part in pieces(batch, "text"):
                 data, bounds = bytes_and_bounds(column(part, "text"))
                 starts, ends, lengths = words_of(data, bounds)
-                words = Ranges(BYTE_VALUES[data])(starts, ends)
+                words = word_hashes(data, starts, ends)
                 minima = window_minima(words, window, gram)
                 owner = np.repeat(np.arange(part.num_rows), lengths)
                 at = np.flatnonzero(windows_inside(lengths, window)[: len(minima)])
                 at = at[is_in(minima[at], owner[at], column(part, "values"))]
                 if not len(at):
                     continue
-                order, first, last = grouped(window_hashes(words, window)[at])
+                order, first, last = grouped(identities(data, starts, ends, words, window)[at])
                 times = np.repeat(last - first, last - first)
                 twice, ship = np.zeros(len(at), bool), np.zeros(len(at), bool)
                 twice[order] = times > 1
@@ -92,7 +95,7 @@ def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
         values, n = table.column("value").combine_chunks().to_numpy(), table.column("n").to_numpy().astype(np.int64)
         data, bounds = bytes_and_bounds(table.column("words").combine_chunks())
         starts, ends, lengths = words_of(data, bounds)
-        hashes = window_hashes(Ranges(BYTE_VALUES[data])(starts, ends), window)
+        hashes = identities(data, starts, ends, word_hashes(data, starts, ends), window)
         row, place = ragged_ranges(n)
         hashes = hashes[(np.cumsum(lengths) - lengths)[row] + place]
         value, where = values[row], table.column("start").to_numpy().astype(np.int64)[row] + place

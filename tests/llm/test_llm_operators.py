@@ -86,13 +86,46 @@ def test_jaccard_repeated_and_null_ids(spark):
     values = [texts()[0], texts()[1], texts()[0], texts()[0], None, "", texts()[6]]
     ids = [7, 7, None, 3, None, 4, None]
     got = linked(documents(spark, values, ids))
-    assert [r[2] for r in got] == [None, None, 3, 3, 4, 3, 3] or sorted(map(str, got)) == sorted(map(str, brute_components(ids, values)))
+    assert got == ordered(brute_components(ids, values))
 
 
 def brute_components(ids, values):
     return [r[:3] for r in brute.linked(list(zip(ids, values, strict=True)))]
 
 
+def thue_morse(k, letters="ab"):
+    """A word of 2**k letters and its complement, on which hashes by powers modulo 2**64 collide."""
+    x = [0]
+    for _ in range(k):
+        x += [1 - b for b in x]
+    return "".join(letters[b] for b in x), "".join(letters[1 - b] for b in x)
+
+
+def test_jaccard_tells_arranged_words_apart(spark):
+    a, b = thue_morse(10)
+    many, other = thue_morse(4, ("x ", "y "))
+    values = [f"{a} a b c", f"{b} a b c", a, b, many, other, f"{a} a b c"]
+    assert linked(documents(spark, values)) == ordered(r[:3] for r in brute.linked(list(enumerate(values))))
+
+
+def test_jaccard_classes_of_one_short_id(spark, monkeypatch):
+    """Sets whose 64-bit ids are equal are told apart by the second hash."""
+    plain = jaccard.class_ids
+    monkeypatch.setattr(jaccard, "class_ids", lambda h, n, lane=0: plain(h, n, lane) if lane else plain(h, n) % np.uint64(3))
+    values = texts()[:12] + texts()[:2] + ["", None]
+    pts = jaccard.points(documents(spark, values), np.zeros(0, np.uint64), 80)
+    found, classes = jaccard.classes_of(pts)
+    assert classes.count() == len({tuple(sorted(brute.shingles(t))) for t in values[:12]}) == found.where("cid is not null").select("cid").distinct().count()
+
+
+def test_equal_posting_lists_are_compared(monkeypatch):
+    posting, at = np.array([0, 1, 0, 1, 2, 3, 0, 1, 5]), np.array([0, 2, 4, 6, 8, 9])
+    for hashed in (jaccard.mixed, lambda x: x * np.uint64(0)):  # equal hashes of unlike lists join nothing
+        monkeypatch.setattr(jaccard, "mixed", hashed)
+        weight, first = jaccard.alike(posting, at)
+        assert first.tolist() == [0, 0, 2, 0, 4] and weight[0] == 3 and weight[2] == weight[4] == 1
+
+
 def near_copies(rng, n, size, most):
     base = words(rng, size, 5000)
     out = []
@@ -512,6 +545,15 @@ def test_windows_equal_brute_force(docs):
     assert superkmers.drop_repeated_windows(empty(docs)).count() == 0
 
 
+def test_windows_tell_arranged_words_apart(spark):
+    a, b = thue_morse(10)
+    rest = " ".join(f"w{i}" for i in range(34))
+    many, other = thue_morse(6, ("x ", "y "))
+    values = [f"{a} {rest}", f"{b} {rest}", many[:70], other[:70], f"{many}{rest}", f"{other}{rest}"]
+    got = rows(superkmers.drop_repeated_windows(documents(spark, values)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == ordered(brute.windows(list(enumerate(values))))
+
+
 def test_windows_repeated_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(superkmers, "PIECE", 200)
     period = " ".join(["alpha beta"] * 40)
