@@ -9,8 +9,8 @@ the string. If a minimiser fills more than one shard, the strings of the earlier
 those of the next one are found among them by binary search.
 
 Before stretches travel, (a) minimisers of one document are dropped, (b) texts that occur twice are represented by their
-first document, and (c) of the strings that a task has in several documents only those of the first one travel, so that a
-frequent passage sends a row for each task, not for each document.
+first document, and (c) of the strings that a piece of a task has in several documents only those of the first one travel, so that
+a frequent passage sends a row for each task, not for each document. Such strings are found by hash and compared by bytes.
 
 Nulls: a null text is empty; a null doc_id is neither smaller nor larger than others, so such rows lose nothing and take
 nothing. Rows that repeat a doc_id are one document as to order: they do not take from each other. Empty tables give empty
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, grouped, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
 
 LENGTH, GRAM, SHARD = 50, 20, 2 << 20
 #: Stretches that a task remembers to have sent.
@@ -150,12 +150,9 @@ def packed_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 at = at[is_in(minima[at], owner[at], column(part, "values"))]
                 if not len(at):
                     continue
-                hashes = np.stack([Ranges(units, k)(at, at + length) for k in (0, 1)], axis=1)
-                del units
-                order, first, last = grouped(hashes)
                 doc = column(part, "doc_id").to_numpy()[owner[at]]
-                least = np.empty(len(at), doc.dtype)
-                least[order] = np.repeat(np.minimum.reduceat(doc[order], first), last - first)
+                least = smallest_documents(data, at, Ranges(units)(at, at + length), doc, length)
+                del units
                 raw = data.tobytes()
                 # Stretches of strings that the piece has in no smaller document, and runs of those that it has.
                 w, n = neighbours(at[doc == least], owner, minima)
@@ -178,6 +175,43 @@ def packed_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, f"value long, doc_id {kind}, key long, start int, n int, bytes binary")
 
 
+def smallest_documents(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each of the strings that start at the places `at`, the smallest document that has it among these. Strings are
+    grouped by hash and compared by their bytes; one that is unlike the others of its group stands for itself."""
+    order = np.argsort(hashes)
+    first, last = runs(hashes[order])
+    several = np.repeat(last - first > 1, last - first)
+    least = doc.copy()
+    if not several.any():
+        return least
+    order = order[several]
+    first, last = runs(hashes[order])
+    earliest = np.full(len(at), -1, np.int64)  # the first place that has the string's hash
+    earliest[order] = np.repeat(np.minimum.reduceat(at[order], first), last - first)
+    # Where the string before is known to equal the one before that place, the last byte alone is new.
+    rows = np.flatnonzero(earliest >= 0)
+    a, b = at[rows], earliest[rows]
+    follows = np.zeros(len(rows), bool)
+    follows[1:] = (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)
+    same = np.empty(len(rows), bool)
+    same[follows] = data[a[follows] + length - 1] == data[b[follows] + length - 1]
+    strings, heads = np.lib.stride_tricks.sliding_window_view(data, length), np.flatnonzero(~follows)
+    for i in range(0, len(heads), 1 << 16):
+        h = heads[i : i + (1 << 16)]
+        same[h] = (strings[a[h]] == strings[b[h]]).all(axis=1)
+    if not same.all():  # a chain holds only as far as all of it is equal
+        run, run_end = runs(np.cumsum(~follows))
+        bad = np.add.reduceat(~same, run) > 0
+        for x, y in zip(run[bad].tolist(), run_end[bad].tolist(), strict=True):
+            same[x:y] = (strings[a[x:y]] == strings[b[x:y]]).all(axis=1)
+    unlike = np.zeros(len(at), bool)
+    unlike[rows[~same]] = True
+    equal = order[~unlike[order]]
+    first, last = runs(hashes[equal])
+    least[equal] = np.repeat(np.minimum.reduceat(doc[equal], first), last - first)
+    return least
+
+
 class Shards:
     """Takes stretches by value and doc_id, in that order, a shard at a time; keeps the strings of an open value."""
 

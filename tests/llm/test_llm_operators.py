@@ -539,6 +539,27 @@ def test_suffix_arrays():
             assert n == next((k for k in range(min(50, len(a), len(b))) if a[k] != b[k]), min(50, len(a), len(b)))
 
 
+@pytest.mark.parametrize("kinds", [1, 3, 2**62])
+def test_strings_of_equal_hashes_are_compared(kinds):
+    """Whatever the hashes, a string's smallest document is one that has its bytes."""
+    rng = np.random.default_rng(kinds % 7)
+    raw = [bytes(rng.integers(97, 99, 40, dtype=np.uint8)) * 2 for _ in range(6)] + [thue_morse(6)[0].encode(), thue_morse(6)[1].encode()]
+    data, length = np.frombuffer(b"".join(raw), np.uint8), 10
+    ends = np.cumsum([len(r) for r in raw])
+    at = np.concatenate([np.arange(e - len(r), e - length + 1) for e, r in zip(ends, raw, strict=True)])
+    ids = rng.permutation(len(raw))
+    doc = ids[np.searchsorted(ends, at, "right")]
+    string = [data[i : i + length].tobytes() for i in at]
+    hashes = np.array([hash(s) % kinds for s in string], np.int64).view(np.uint64)
+    found = suffixes.smallest_documents(data, at, hashes, doc, length)
+    having = {}
+    for s, d in zip(string, doc.tolist(), strict=True):
+        having.setdefault(s, set()).add(d)
+    assert all(f in having[s] and f <= d for f, s, d in zip(found.tolist(), string, doc.tolist(), strict=True))
+    if kinds == 2**62:
+        assert found.tolist() == [min(having[s]) for s in string]
+
+
 def test_windows_equal_brute_force(docs):
     got = rows(superkmers.drop_repeated_windows(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == ordered(brute.windows(list(enumerate(texts()))))
