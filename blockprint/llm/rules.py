@@ -1,55 +1,55 @@
 """Quality rules: counts of words, symbols, repeated lines and windows, and bands of word perplexity by language.
 
-The language model counts words and pairs of neighbouring words, for each value of `lang`, in the whole corpus; nothing is
-pruned, so it grows with the input. It is never collected: texts are dealt to blocks by hash, each block sends the counts
-of its n-grams to buckets by their 64-bit hash, a bucket adds them up and sends each block the sums of the n-grams it has,
-and the block's texts are scored by binary search in those. A text is scored by the counts of all other rows (its own are
-taken off), as gibberish would explain itself otherwise: pairs by a Dirichlet prior of PRIOR words of the single words'
-probabilities, single words mixed with NEW of their spelling's. Spelling is interpolated modified Kneser-Ney over bytes, of
-order 3: at most 2**24 entries a language, checked before they are collected.
-
-A document's bits a word must lie in its language's band: the quartiles of all of the language's documents that pass the
-counting rules, moved out by BELOW and ABOVE times their distance from the median. Nulls: a null text has no words and fails; a
-null lang is a language of its own. Repeated rows are counted and judged each. Empty tables give empty results.
+The language model is interpolated modified Kneser-Ney over words, of order ORDER and for each value of `lang`; unknown words
+are spelled by a Kneser-Ney model of byte trigrams over the whole corpus (at most 2**24 entries). The corpus is dealt to two
+folds by a hash of id and text, with a model each, and a text is scored by the other fold's, as gibberish would explain
+itself otherwise. Nothing is pruned, so the model grows with the input, and it is never collected.
+
+It is counted level by level. A block (BLOCK_BYTES of texts as the scan gives them) sends the sorted hashes of its n-grams
+with counts to buckets, which are ranges of hashes; a bucket adds up what blocks have sent and answers each with the sums of
+its n-grams, in the order in which it sent them, so answers need no hashes. Of the blocks that have an n-gram one owns it
+and counts it as a continuation of its last n - 1 words and a successor of its first n - 1, which is what the next lower
+level sums. Answers lie in a file for each partition of the scan, in the shared folder; the text itself is never shuffled.
+If partitions are not what they were when their answers were made (Spark may plan a scan anew after it lost executors),
+tasks notice by the sums of their hashes, and the job starts again over a copy of the texts that is fixed. Hashes have
+MARGIN_BITS more than the logarithm of the corpus' bytes, so some 2**-12 of the n-grams count for another one.
+
+A document's bits a word must lie in its language's band: the quartiles (in steps of 1 / STEPS bit) of all of the language's
+documents that pass the counting rules, moved out by BELOW and ABOVE times their distance from the median. Nulls: a null text
+has no words and fails; a null lang is a language of its own. Repeated rows are counted and judged each. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from blockprint.llm.common import CHUNK_BYTES, WORD, bytes_and_bounds, column, cut, in_small_batches, pieces
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, ragged_ranges, runs, words_of
+from blockprint.llm.common import bytes_and_bounds, column, cut, fresh_folder, in_small_batches, pieces, shuffle_partitions
+from blockprint.llm.minimisers import BYTE_VALUES, SEPARATOR, Ranges, joined, mixed, ragged_ranges, runs, word_hashes, words_of
+from blockprint.llm.records import file_system
 
 ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 3, 5, 10, 20
-SYMBOLS = frozenset("#*$%&|<>")
+SYMBOLS = "#*$%&|<>"
 #: How far a band reaches beyond the lower and the upper quartile, in their distances from the median, and at least (in
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
-BELOW, ABOVE, LEAST_REACH = 10.0, 6.0, 1.0
-#: Weight of single words in pairs, in words, and of the spelling in single words.
-PRIOR, NEW = 20.0, 0.05
+BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 4096
 #: Bytes of text in a block, and of counted text for each bucket.
 BLOCK_BYTES = 8 << 20
+MARGIN_BITS = 10
 BORDER = np.uint64(0x5851F42D4C957F2D)  # the unit before a text's first word and after its last
 BORDER_BITS = 8.0
-#: Entries of the collected counts over all languages; more is an error.
-MOST_ENTRIES = 1 << 26
 START = 10  # texts begin as if after line feeds
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+U = np.uint64
 
 
 # ---- counting rules ------------------------------------------------------------------------------------------------
@@ -66,7 +66,7 @@ def repeated_window_words(hashes: np.ndarray, lengths: np.ndarray, window: int =
         return out
     key = owner[starts].astype(np.uint64)
     for k in range(window):
-        key = mixed(key * np.uint64(0x100000001B3) + hashes[starts + k])
+        key = joined(key, hashes[starts + k])
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     a, b = starts[order[1:][same]], starts[order[:-1][same]]
@@ -81,73 +81,82 @@ def repeated_window_words(hashes: np.ndarray, lengths: np.ndarray, window: int =
     return out
 
 
-def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
-    words = [WORD.findall(t or "") for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    hashes = np.fromiter((hash(w) for ws in words for w in ws), np.int64, int(lengths.sum())).view(np.uint64)
-    repeated_lines = []
-    for t in texts:
-        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-        repeated_lines.append(len(lines) - len(set(lines)))
+SYMBOL, STARTS_CHARACTER = np.zeros(256, bool), (np.arange(256) & 0xC0) != 0x80
+SYMBOL[[ord(c) for c in SYMBOLS]] = True
+
+
+def repeated_lines(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """For each text, how many of its lines that have a word equal an earlier one. Lines of equal hashes are compared."""
+    feeds = np.flatnonzero(data == ord("\n"))
+    starts = np.unique(np.concatenate([feeds + 1, bounds[:-1]]))
+    starts = starts[starts < len(data)]
+    owner = np.searchsorted(bounds, starts, "right") - 1
+    ends = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, starts)], bounds[owner + 1])
+    out = np.zeros(len(bounds) - 1, np.int64)
+    marks = np.append(0, np.cumsum(is_word))
+    some = marks[ends] > marks[starts]
+    starts, ends, owner = starts[some], ends[some], owner[some]
+    key = mixed(Ranges(BYTE_VALUES[data])(starts, ends) ^ mixed(owner.astype(U)))
+    order = np.argsort(key, kind="stable")
+    again = order[1:][key[order[1:]] == key[order[:-1]]]
+    raw = data.tobytes() if len(again) else b""
+    for text in np.unique(owner[again]).tolist():
+        a, b = np.searchsorted(owner, [text, text + 1])
+        lines = [raw[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+        out[text] = len(lines) - len(set(lines))
+    return out
+
+
+def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts of each of the texts that lie in data between the bounds."""
+    starts, ends, lengths = words_of(data, bounds)
+    is_word = ~SEPARATOR[data]
+    of_texts = lambda marks: np.diff(np.append(0, np.cumsum(marks))[bounds])
     return {
         "n_words": lengths,
-        "word_chars": np.array([sum(map(len, w)) for w in words], np.int64),
-        "n_symbols": np.array([sum(map((t or "").count, SYMBOLS)) for t in texts], np.int64),
-        "n_dup_lines": np.array(repeated_lines, np.int64),
-        "n_repeat_words": repeated_window_words(hashes, lengths),
+        "word_chars": of_texts(is_word & STARTS_CHARACTER[data]),
+        "n_symbols": of_texts(SYMBOL[data]),
+        "n_dup_lines": repeated_lines(data, bounds, is_word),
+        "n_repeat_words": repeated_window_words(word_hashes(data, starts, ends), lengths),
     }
 
 
-# ---- the language model --------------------------------------------------------------------------------------------
+# ---- spelling ------------------------------------------------------------------------------------------------------
 
 
 def trigrams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The code of the last ORDER bytes at every byte; before a text stand START bytes."""
-    a = data.astype(np.int64)
-    p, q = np.full(len(a), START), np.full(len(a), START)
+    """The code of the last three bytes at every byte; before a text stand START bytes."""
+    a = data.astype(np.uint32)
+    p, q = np.full(len(a), START, np.uint32), np.full(len(a), START, np.uint32)
     p[1:], q[2:] = a[:-1], a[:-2]
     starts = bounds[:-1][np.diff(bounds) > 0]
     p[starts] = q[starts] = START
     second = starts + 1
-    second = second[second < len(a)]
+    second = second[second < bounds[-1]]
     q[second] = START
-    return q << 16 | p << 8 | a
+    return q << np.uint32(16) | p << np.uint32(8) | a
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all texts."""
+def spelling_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The byte trigrams of all texts, of which there are 2**24 at most, and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str | None, list[np.ndarray]] = {}
+        grams, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
-                for lang, codes in by_language(part):
-                    grams, n = np.unique(codes, return_counts=True)
-                    if lang in totals:
-                        old, m = totals[lang]
-                        grams, at = np.unique(np.concatenate([old, grams]), return_inverse=True)
-                        n = np.bincount(at, np.concatenate([m, n])).astype(np.int64)
-                    totals[lang] = [grams, n]
-        for lang, (grams, n) in totals.items():
-            yield pa.record_batch({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray]]:
-    """For each language of a batch, the codes of its texts, one text after another."""
-    text, langs = column(batch, "text"), column(batch, "lang")
-    data, bounds = bytes_and_bounds(text)
-    codes, kinds = trigrams(data, bounds), langs.dictionary_encode()
-    kind = kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    of_byte = np.repeat(kind, np.diff(bounds))
-    for k in np.unique(kind):
-        yield kinds.dictionary[int(k)].as_py() if k >= 0 else None, codes[of_byte == k]
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney's discounts for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+                codes = np.sort(trigrams(*bytes_and_bounds(column(part, "text"))))
+                first, last = runs(codes)
+                grams, at = np.unique(np.concatenate([grams, codes[first]]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, last - first]), len(grams)).astype(np.int64)
+        yield pa.record_batch({"gram": pa.array(grams.astype(np.int64)), "n": pa.array(n)})
+
+    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    return rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+
+
+def discounts(counted: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney's discounts for counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1, 2, 3, 4."""
+    n = [float(x) for x in counted]
     if not n[0] or not n[1]:
         return np.array([0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
@@ -155,313 +164,472 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0, *(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))])
 
 
-def level(keys: np.ndarray, counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities of n-grams (context << 8 | byte) from their counts and the shorter n-grams' probabilities; the
-    contexts, and the share of each that its discounts leave to shorter n-grams."""
-    d = discounts(counts)[np.minimum(counts, 3)]
-    contexts, at = np.unique(keys >> 8, return_inverse=True)
-    total, freed = np.bincount(at, counts), np.bincount(at, d)
-    left = freed / total
-    return (counts - d) / total[at] + left[at] * below, contexts, left
-
-
-@dataclass
-class LanguageModel:
-    """Sorted hashes of (order, n-gram) with log2 probabilities, and of (order, context) with log2 of the share left."""
-
-    grams: np.ndarray
-    logs: np.ndarray
-    contexts: np.ndarray
-    lefts: np.ndarray
-
-    @staticmethod
-    def hashed(order: int, codes: np.ndarray) -> np.ndarray:
-        return mixed(codes.astype(np.uint64) + np.uint64(order << 56))
-
-    @classmethod
-    def build(cls, codes: np.ndarray, counts: np.ndarray) -> LanguageModel:
-        codes, counts = codes.astype(np.int64), counts.astype(np.int64)
-        pairs, pair_counts = np.unique(codes & 0xFFFF, return_counts=True)  # continuation counts
-        singles, single_counts = np.unique(pairs & 0xFF, return_counts=True)
-        p1, c1, l1 = level(singles, single_counts, np.full(len(singles), 1 / 256))
-        p2, c2, l2 = level(pairs, pair_counts, p1[np.searchsorted(singles, pairs & 0xFF)])
-        p3, c3, l3 = level(codes, counts, p2[np.searchsorted(pairs, codes & 0xFFFF)])
-        grams = np.concatenate([cls.hashed(1, singles), cls.hashed(2, pairs), cls.hashed(3, codes)])
-        contexts = np.concatenate([cls.hashed(1, c1), cls.hashed(2, c2), cls.hashed(3, c3)])
-        a, b = np.argsort(grams), np.argsort(contexts)
-        return cls(grams[a], np.log2(np.concatenate([p1, p2, p3]))[a], contexts[b], np.log2(np.maximum(np.concatenate([l1, l2, l3]), 1e-12))[b])
-
-    @staticmethod
-    def find(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """log2 of each trigram's probability: of the longest known n-gram, times what unknown ones leave to it."""
-        out, open_, rest = np.zeros(len(codes)), np.arange(len(codes)), codes
-        for order in (3, 2, 1):
-            tail = rest & ((1 << 8 * order) - 1)
-            at, known = self.find(self.hashed(order, tail), self.grams)
-            out[open_[known]] += self.logs[at[known]]
-            open_, rest, tail = open_[~known], rest[~known], tail[~known]
-            if not len(open_):
-                return out
-            at, known = self.find(self.hashed(order, tail >> 8), self.contexts)
-            out[open_[known]] += self.lefts[at[known]]
-        out[open_] += -8.0
-        return out
+def spelling_bits(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """-log2 of the probability of a byte after two others, for each code of three bytes."""
+
+    def smoothed(keys: np.ndarray, counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities of contexts x 256 bytes from counts and the shorter contexts' probabilities."""
+        d = discounts([(counts == k).sum() for k in (1, 2, 3, 4)])[np.minimum(counts, 3)]
+        out = np.zeros((len(below), 256), np.float64)
+        out.ravel()[keys] = counts - d
+        total, freed = np.bincount(keys >> 8, counts, len(below)), np.bincount(keys >> 8, d, len(below))
+        known = total > 0
+        left = np.where(known, freed / np.maximum(total, 1), 1.0)
+        return out / np.maximum(total, 1)[:, None] + left[:, None] * below
+
+    pairs, pair_counts = np.unique(grams & 0xFFFF, return_counts=True)  # continuation counts
+    singles, single_counts = np.unique(pairs & 0xFF, return_counts=True)
+    one = smoothed(singles, single_counts, np.full((1, 256), 1 / 256))
+    two = smoothed(pairs, pair_counts, np.broadcast_to(one, (256, 256)))
+    out = np.empty((256, 256 * 256), np.float32)
+    bounds = np.searchsorted(grams >> 16, np.arange(257))
+    d = discounts([(n == k).sum() for k in (1, 2, 3, 4)])
+    for a in range(256):  # contexts that begin with one byte at a time, as the whole is large
+        rows = slice(bounds[a], bounds[a + 1])
+        keys, counts = grams[rows] & 0xFFFF, n[rows]
+        less = d[np.minimum(counts, 3)]
+        total, freed = np.bincount(keys >> 8, counts, 256), np.bincount(keys >> 8, less, 256)
+        p = two * np.where(total > 0, freed / np.maximum(total, 1), 1.0)[:, None]
+        p.ravel()[keys] += (counts - less) / total[keys >> 8]
+        out[a] = -np.log2(np.maximum(p, 1e-30)).ravel()
+    return out.ravel()
+
+
+TABLES: dict[int, np.ndarray] = {}
+
+
+def spelling_table(shared) -> np.ndarray:
+    """spelling_bits() of the broadcast counts, made once in a worker."""
+    grams, n = shared.value
+    key = hash((grams.tobytes(), n.tobytes()))
+    if key not in TABLES:
+        TABLES.clear()
+        TABLES[key] = spelling_bits(grams, n)
+    return TABLES[key]
 
 
-def fit(docs: DataFrame) -> dict[str | None, LanguageModel]:
-    counts = cut(count_trigrams(docs))
-    entries = counts.count()
-    if entries > MOST_ENTRIES:
-        raise ValueError(f"{entries} n-grams; the model is for at most {MOST_ENTRIES}")
-    rows = counts.toArrow()
-    langs = rows.column("lang").combine_chunks()
-    out = {}
-    for lang in langs.unique().to_pylist():
-        part = rows.filter(pa.compute.is_null(langs) if lang is None else pa.compute.equal(langs, lang))
-        out[lang] = LanguageModel.build(part.column("gram").to_numpy(), part.column("n").to_numpy())
-    return out
+# ---- the model of words ----------------------------------------------------------------------------------------------
 
 
-# ---- the model of words ----------------------------------------------------------------------------------------------
+class BlocksMoved(Exception):
+    """The rows of a partition are not those that its answers were made for."""
 
 
 def lang_keys(langs: list[str | None]) -> np.ndarray:
     known = {x: int.from_bytes(blake2b(b"-" if x is None else b"+" + x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
-    return np.array([known[x] for x in langs], np.uint64)
+    return np.array([known[x] for x in langs], U)
 
 
-@dataclass
-class Words:
-    """The words of some texts, each text's followed by a border: hashes of word and of it with the word before (and the
-    language), their languages by text, where texts begin, the text of each, places of the words among them, and the words' bytes."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a partition in blocks with their numbers, which do not depend on how rows come in batches."""
 
-    words: np.ndarray
-    first: np.ndarray
-    pairs: np.ndarray
-    langs: np.ndarray
-    owner: np.ndarray
-    inner: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    def split() -> Iterator[tuple[int, pa.RecordBatch]]:
+        before = 0
+        for batch in batches:
+            _, bounds = bytes_and_bounds(column(batch, "text"))
+            number = (before + bounds[:-1]) // BLOCK_BYTES
+            for a, b in zip(*runs(number), strict=True):
+                yield int(number[a]), batch.slice(a, b - a)
+            before += int(bounds[-1])
 
-    @classmethod
-    def of(cls, part: pa.RecordBatch) -> Words:
-        data, bounds = bytes_and_bounds(column(part, "text"))
-        starts, ends, lengths = words_of(data, bounds)
-        langs = mixed(lang_keys(column(part, "lang").to_pylist()))
-        sizes = np.where(lengths > 0, lengths + 1, 0)
-        owner, place = ragged_ranges(sizes)
-        inner = np.flatnonzero(place < lengths[owner])
-        units = np.full(len(owner), BORDER)
-        units[inner] = Ranges(BYTE_VALUES[data])(starts, ends) if len(starts) else 0
-        words = mixed(units ^ langs[owner])
-        before = np.roll(words, 1)
-        before[place == 0] = words[np.cumsum(sizes)[sizes > 0] - 1]
-        return cls(words, place == 0, mixed(before * np.uint64(0x100000001B3) + words), langs, owner, inner, starts, ends)
-
-    def all(self) -> np.ndarray:
-        return np.concatenate([self.words, self.pairs, self.langs[self.owner]])
-
-    def shifted(self, x: np.ndarray) -> np.ndarray:
-        """Of each word's value that of the word before, or of the text's end."""
-        out = np.roll(x, 1)
-        out[self.first] = x[np.append(np.flatnonzero(self.first)[1:], len(x)) - 1] if len(x) else 0
-        return out
+    for number, group in groupby(split(), key=lambda x: x[0]):
+        yield number, pa.Table.from_batches([part for _, part in group]).combine_chunks().to_batches()[0]
 
-    def own(self, keys: np.ndarray) -> np.ndarray:
-        """How often each one's text has it."""
-        _, at, n = np.unique(mixed(keys + mixed(self.owner.astype(np.uint64))), return_inverse=True, return_counts=True)
-        return n[at]
-
-
-@dataclass
-class Sums:
-    """Sorted hashes of n-grams and their counts in the corpus; those that it has once are left out."""
-
-    keys: np.ndarray
-    n: np.ndarray
-
-    @classmethod
-    def of(cls, keys: list[np.ndarray], n: list[np.ndarray]) -> Sums:
-        k, m = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *n])
-        order = np.argsort(k)
-        return cls(k[order], m[order])
-
-    def others(self, keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The counts in all other texts."""
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.n[at] - own, 0).astype(float)
-
-
-def word_bits(words: Words, spelled: np.ndarray, sums: Sums, n_texts: int) -> np.ndarray:
-    """The mean of -log2 of the probabilities of each text's words and of its end; nan without words. spelled: bits of each
-    word's spelling."""
-    size = np.bincount(words.owner, minlength=n_texts)
-    single = sums.others(words.words, words.own(words.words))
-    total = sums.others(words.langs, size)[words.owner]
-    new = np.full(len(words.owner), BORDER_BITS)
-    new[words.inner] = spelled
-    new = np.exp2(-np.minimum(new, 1000.0))
-    one = np.where(total > 0, (1 - NEW) * single / np.maximum(total, 1) + NEW * new, new)
-    two = (sums.others(words.pairs, words.own(words.pairs)) + PRIOR * one) / (words.shifted(single) + PRIOR)
-    return np.where(size > 0, np.bincount(words.owner, -np.log2(two), n_texts) / np.maximum(size, 1), np.nan)
-
-
-def packed(rows: list[tuple], first: str, second: str) -> pa.RecordBatch:
-    """Rows of two numbers, sorted keys and their counts; the differences of keys and the counts are compressed by bytes."""
-    codec, out = pa.Codec("zstd"), []
-    for _, _, keys, n in rows:
-        raw = np.concatenate([np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8), n.astype(np.int64).view(np.uint8).reshape(-1, 8)], axis=1)
-        out.append(codec.compress(np.ascontiguousarray(raw.T), asbytes=True))
-    a, b, keys, _ = zip(*rows, strict=True)
-    return pa.record_batch({first: pa.array(a, pa.int32()), second: pa.array(b, pa.int32()), "size": pa.array([len(x) for x in keys], pa.int32()), "data": pa.array(out, pa.binary())})
-
-
-def unpacked(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    codec, keys, n = pa.Codec("zstd"), [], []
-    for size, data in zip(column(batch, "size").to_pylist(), column(batch, "data").to_pylist(), strict=True):
-        raw = np.frombuffer(codec.decompress(data, 16 * size), np.uint8).reshape(16, size)
-        keys.append(np.cumsum(np.ascontiguousarray(raw[:8].T).view(np.uint64)[:, 0], dtype=np.uint64))
-        n.append(np.ascontiguousarray(raw[8:].T).view(np.int64)[:, 0])
-    return keys, n
-
-
-def compressed(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """_block, size, data, doc_id, lang: the rows dealt to blocks, with their texts compressed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        for batch in batches:
-            raw = [None if t is None else t.encode() for t in column(batch, "text").to_pylist()]
-            small = pa.array([None if r is None else codec.compress(r, asbytes=True) for r in raw], pa.binary())
-            yield pa.record_batch({"_block": column(batch, "_block"), "size": pa.array([None if r is None else len(r) for r in raw], pa.int32()), "data": small, "doc_id": column(batch, "doc_id"), "lang": column(batch, "lang")})
+class Grams:
+    """The n-grams of a block's texts. Before each text stand order - 1 borders, one behind it; texts without words have
+    none. keys[n][i]: hash of the n words up to place i (n = 0: of the language); reach: places of i in its text."""
 
-    rows = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("_block"))
-    return in_small_batches(rows).mapInArrow(run, f"_block int, size int, data binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string")
+    def __init__(self, part: pa.RecordBatch, order: int, bits: int):
+        self.order, self.shift = order, U(64 - bits)
+        data, bounds = bytes_and_bounds(column(part, "text"))
+        self.starts, self.ends, lengths = words_of(data, bounds)
+        langs = mixed(lang_keys(column(part, "lang").to_pylist()))
+        self.size = np.where(lengths > 0, lengths + order, 0)
+        self.owner, self.place = ragged_ranges(self.size)
+        self.inner = np.flatnonzero((self.place >= order - 1) & (self.place < self.size[self.owner] - 1))
+        units = np.full(len(self.owner), BORDER)
+        units[self.inner] = word_hashes(data, self.starts, self.ends)
+        self.fold = (column(part, "fold").to_numpy()).astype(np.int64)[self.owner]
+        full = [langs[self.owner]]
+        full.append(joined(full[0], units))
+        for _ in range(order - 1):
+            full.append(joined(np.append(full[-1][:1], full[-1][:-1]), units))
+        self.keys = [x >> self.shift for x in full]
+
+    def places(self, n: int) -> np.ndarray:
+        """Where n-grams end; those of the model's order end at words and at the text's end."""
+        return np.flatnonzero(self.place >= max(n - 1, 0))
+
+    def distinct(self, n: int) -> np.ndarray:
+        at = self.keys[n][self.places(n)]
+        at.sort()
+        return at[runs(at)[0]]
+
+    def top(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The n-grams of the highest order and how often each fold has them."""
+        at = self.places(self.order)
+        both = self.keys[self.order][at] << U(1) | self.fold[at].astype(U)
+        both.sort()
+        first, last = runs(both)
+        key, fold, count = both[first] >> U(1), (both[first] & U(1)).astype(np.int64), last - first
+        start, _ = runs(key)
+        which = np.cumsum(np.isin(np.arange(len(key)), start)) - 1
+        return key[start], [np.bincount(which, count * (fold == f), len(start)).astype(np.int64) for f in (0, 1)]
+
+    def lower(self, n: int, above: Answers) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The n-grams, and what the (n + 1)-grams that the block owns add to them, for both folds each: how many have
+        them at their end; of those that have them at their start, the sum of counts and how many have counts 1, 2, 3 or
+        more."""
+        at = self.places(n + 1)
+        order = np.argsort(self.keys[n + 1][at], kind="stable")
+        first, _ = runs(self.keys[n + 1][at][order])
+        key = self.keys[n + 1][at][order][first]
+        sums = above.of(key)
+        mine = np.flatnonzero(sums[-1] > 0)
+        where = at[order[first]][mine]
+        keys = self.distinct(n)
+        end = np.searchsorted(keys, self.keys[n][where])
+        begin = np.searchsorted(keys, self.keys[n][where - 1 if n else where])
+        counts = [sums[f][mine] for f in (0, 1)]
+        add = lambda to, what: np.bincount(to, what, len(keys)).astype(np.int64)
+        out = [add(end, c > 0) for c in counts] + [add(begin, c) for c in counts]
+        return keys, out + [add(begin, kind(c)) for kind in (lambda c: c == 1, lambda c: c == 2, lambda c: c > 2) for c in counts]
+
+
+def packed(columns: list[np.ndarray], sorted_first: bool) -> bytes:
+    """Columns of numbers, each by bytes as wide as its greatest; of a sorted one the differences; compressed."""
+    out = [np.array([len(columns), len(columns[0])], "<u4").tobytes()]
+    for k, c in enumerate(columns):
+        c = np.diff(c.astype(U), prepend=U(0)) if k == 0 and sorted_first else c.astype(U)
+        width = max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1
+        out += [bytes([width]), np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    raw = b"".join(out)
+    return np.array([len(raw)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, sorted_first: bool) -> list[np.ndarray]:
+    raw = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+    columns, size = np.frombuffer(raw, "<u4", 2).tolist()
+    out, at = [], 8
+    for k in range(columns):
+        width = raw[at]
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, width * size, at + 1).reshape(width, size).T
+        at += 1 + width * size
+        c = wide.view("<u8").ravel()
+        out.append(np.cumsum(c, dtype=U) if k == 0 and sorted_first else c.astype(np.int64))
+    return out
 
 
-def texts_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """doc_id, lang and text of compressed rows, in pieces."""
-    codec, sizes = pa.Codec("zstd"), column(batch, "size").fill_null(0).to_numpy()
-    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1):
-        part = batch.take(pa.array(rows))
-        raw = [None if z is None else codec.decompress(z, n, asbytes=True) for n, z in zip(column(part, "size").to_pylist(), column(part, "data").to_pylist(), strict=True)]
-        yield from pieces(pa.record_batch({"doc_id": column(part, "doc_id"), "lang": column(part, "lang"), "text": pa.array(raw, pa.binary()).cast(pa.string())}), "text")
+class Answers:
+    """The answers that lie in a partition's file, read block by block."""
+
+    def __init__(self, folder: str, level: int, part: int):
+        store, base = file_system(folder)
+        path = f"{base}/level-{level}/part-{part}"
+        known = store.get_file_info(path).type == pa.fs.FileType.File
+        self.rows = iter(pa.ipc.open_stream(store.open_input_stream(path))) if known else iter(())
+        self.batch: pa.RecordBatch | None = None
+        self.parts: list[tuple[int, bytes]] = []
+
+    def next(self, block: int) -> Answers:
+        """Goes on to a block, whose number is greater than the last one's."""
+        self.parts = []
+        while True:
+            if self.batch is None or not self.batch.num_rows:
+                self.batch = next(self.rows, None)
+                if self.batch is None:
+                    return self
+            number = column(self.batch, "block").to_numpy()
+            end = int(np.searchsorted(number, block, "right"))
+            begin = int(np.searchsorted(number, block))
+            taken = self.batch.slice(begin, end - begin)
+            self.parts += zip(column(taken, "check").to_pylist(), column(taken, "data").to_pylist(), strict=True)
+            self.batch = self.batch.slice(end)
+            if self.batch.num_rows:
+                return self
+
+    def of(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The sums of a block's n-grams, and whether it owns each."""
+        found = [unpacked(data, False) for _, data in self.parts]
+        sizes = [len(f[0]) for f in found]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        if sum(sizes) != len(keys) or any(check != checked(keys[e - s : e]) for (check, _), s, e in zip(self.parts, sizes, ends.tolist(), strict=True)):
+            raise BlocksMoved("the rows of a partition are not those that its answers were made for")
+        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 11
+
+
+def checked(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(keys)).view(np.int64)) if len(keys) else 0
+
+
+def stored(rows: DataFrame, folder: str, level: int) -> DataFrame:
+    """Writes rows (part, block, bucket, check, data) into a file for each part, as a whole or not at all."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(folder)
+        store.create_dir(f"{base}/level-{level}", recursive=True)
+
+        def by_part() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                part = column(batch, "part").to_numpy()
+                for a, b in zip(*runs(part), strict=True):
+                    yield int(part[a]), batch.slice(a, b - a)
+
+        for part, group in groupby(by_part(), key=lambda x: x[0]):
+            path = f"{base}/level-{level}/part-{part}"
+            draft = f"{base}/level-{level}/draft-{part}-{uuid.uuid4().hex}"
+            with store.open_output_stream(draft) as out:
+                file, n = None, 0
+                for _, batch in group:
+                    batch = batch.select(["block", "check", "data"])
+                    file = file or pa.ipc.new_stream(out, batch.schema)
+                    file.write_batch(batch)
+                    n += batch.num_rows
+                file.close()
+            if store.get_file_info(path).type == pa.fs.FileType.NotFound:
+                store.move(draft, path)
+            else:  # another attempt was first; it had the same rows
+                store.delete_file(draft)
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part", "block", "bucket")
+    return spread.mapInArrow(run, "part int, n long")
+
+
+SENT = "bucket int, part int, block int, data binary, langs binary"
+ANSWERED = "part int, block int, bucket int, check long, data binary, lang long, sums array<long>"
+
+
+def answered(sent: DataFrame, n_buckets: int, folds: int = 2) -> DataFrame:
+    """What buckets answer: to each block the sums of its n-grams and whether it owns them; and in rows without part the
+    numbers of n-grams of counts 1 to 4 by fold and, if blocks tell the languages, the sums over each one's words. The
+    languages of each block pass through, in rows without data."""
 
-def by_group(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-    """Runs of rows with one value of a column, in batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def split() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                bucket = column(batch, "bucket").to_numpy()
+                for a, b in zip(*runs(bucket), strict=True):
+                    yield int(bucket[a]), batch.slice(a, b - a)
+
+        for bucket, group in groupby(split(), key=lambda x: x[0]):
+            if bucket < 0:  # the languages of blocks
+                for _, batch in group:
+                    of = [(p, b, k) for p, b, x in zip(*(column(batch, c).to_pylist() for c in ("part", "block", "langs")), strict=True) for k in np.frombuffer(x, np.int64).tolist()]
+                    p, b, k = zip(*of, strict=True)
+                    yield answers(p, b, [bucket] * len(of), [None] * len(of), [None] * len(of), k, [None] * len(of))
+                continue
+            part, block, langs, found = [], [], [], []
+            for _, batch in group:
+                part += column(batch, "part").to_pylist()
+                block += column(batch, "block").to_pylist()
+                langs += column(batch, "langs").to_pylist()
+                found += [unpacked(x, True) for x in column(batch, "data").to_pylist()]
+            with_langs = langs[0] is not None
+            sizes = [len(f[0]) for f in found]
+            keys = np.concatenate([f[0] for f in found])
+            order = np.argsort(keys, kind="stable")
+            first, last = runs(keys[order])
+            columns, totals = [], []
+            n_columns = len(found[0]) - 1 - with_langs
+            for c in range(n_columns):
+                total = np.add.reduceat(np.concatenate([f[1 + c] for f in found])[order], first)
+                totals.append(total)
+                wide = np.empty(len(keys), np.int64)
+                wide[order] = np.repeat(total, last - first)
+                columns.append(wide)
+            own = np.zeros(len(keys), np.int64)
+            own[order[first]] = 1
+            columns.append(own)
+            ends = np.cumsum(sizes).tolist()
+            parts = [packed([c[e - s : e] for c in columns], False) for s, e in zip(sizes, ends, strict=True)]
+            sums = [int((totals[f] == k).sum()) for f in range(folds) for k in (1, 2, 3, 4)]
+            n = len(parts)
+            yield answers(part, block, [bucket] * n, [checked(keys[e - s : e]) for s, e in zip(sizes, ends, strict=True)], parts, [None] * n, [None] * n)
+            rows, kinds = [sums], [None]
+            if with_langs:
+                of = np.concatenate([np.frombuffer(x, np.int64)[f[-1]] for x, f in zip(langs, found, strict=True)])[order[first]]
+                names, at = np.unique(of, return_inverse=True)
+                for i, name in enumerate(names.tolist()):
+                    here = [t[at == i] for t in totals[:folds]]
+                    rows.append([0] * folds + [int(t.sum()) for t in here] + [int(kind(t).sum()) for kind in (lambda t: t == 1, lambda t: t == 2, lambda t: t > 2) for t in here])
+                    kinds.append(name)
+            yield answers([None] * len(rows), [None] * len(rows), [bucket] * len(rows), [None] * len(rows), [None] * len(rows), kinds, rows)
+
+    def answers(part, block, bucket, check, data, lang, sums) -> pa.RecordBatch:
+        i32, i64 = pa.int32(), pa.int64()
+        return pa.record_batch({"part": pa.array(part, i32), "block": pa.array(block, i32), "bucket": pa.array(bucket, i32), "check": pa.array(check, i64), "data": pa.array(data, pa.binary()), "lang": pa.array(lang, i64), "sums": pa.array(sums, pa.list_(i64))})
+
+    spread = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "part", "block")
+    return spread.mapInArrow(run, ANSWERED)
+
+
+def sender(level: int, order: int, bits: int, n_buckets: int, folder: str):
+    """A task that sends the n-grams of its blocks to buckets."""
 
-    def split() -> Iterator[tuple[int, pa.RecordBatch]]:
-        for batch in batches:
-            values = column(batch, name).to_numpy(zero_copy_only=False)
-            for start, end in zip(*runs(values), strict=True):
-                yield int(values[start]), batch.slice(start, end - start)
-
-    for value, group in groupby(split(), key=lambda x: x[0]):
-        yield value, (part for _, part in group)
-
-
-def word_sums(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """_block, _bucket, size, data: for each block, the n-grams it has that the corpus has more than once, with their
-    counts. Buckets are ranges of hashes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, group in by_group(batches, "_block"):
-            found = np.sort(np.concatenate([Words.of(part).all() for batch in group for part in texts_in(batch)]))
-            starts, ends = runs(found)
-            keys, n = found[starts], ends - starts
-            bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            rows = [(int(bucket[s]), block, keys[s:e], n[s:e]) for s, e in zip(*runs(bucket), strict=True)]
-            if rows:
-                yield packed(rows, "_bucket", "_block")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, group in by_group(batches, "_bucket"):
-            keys, n, block = [], [], []
-            for batch in group:
-                k, m = unpacked(batch)
-                keys, n, block = keys + k, n + m, block + column(batch, "_block").to_pylist()
-            of = np.repeat(np.array(block), [len(k) for k in keys])
-            k, m = np.concatenate(keys), np.concatenate(n)
-            order = np.argsort(k)
-            starts, ends = runs(k[order])
-            total = np.empty(len(k), np.int64)
-            total[order] = np.repeat(np.add.reduceat(m[order], starts), ends - starts)
-            often = order[total[order] > 1]
-            often = often[np.argsort(of[often], kind="stable")]
-            rows = [(int(of[often[s]]), bucket, k[often[s:e]], total[often[s:e]]) for s, e in zip(*runs(of[often]), strict=True)]
-            if rows:
-                yield packed(rows, "_block", "_bucket")
-
-    counted = blocks.mapInArrow(count, "_bucket int, _block int, size int, data binary")
-    return counted.repartition(n_buckets, "_bucket").sortWithinPartitions("_bucket").mapInArrow(add, "_block int, _bucket int, size int, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = above = None
+        for block, rows in blocks(batches):
+            if part is None:
+                part = column(rows, "part")[0].as_py()
+                above = Answers(folder, level + 1, part) if level < order else None
+            grams = Grams(rows, order, bits)
+            keys, columns = grams.top() if level == order else grams.lower(level, above.next(block))
+            if not len(keys):
+                continue
+            langs = None
+            if level == 1:  # which language each word is of
+                at = grams.places(1)
+                names, index = np.unique(grams.keys[0][at], return_inverse=True)
+                kind = np.zeros(len(keys), np.int64)
+                kind[np.searchsorted(keys, grams.keys[1][at])] = index
+                columns, langs = [*columns, kind], names.view(np.int64).tobytes()
+            bucket = bucket_of(keys, bits, n_buckets)
+            cuts = list(zip(*runs(bucket), strict=True))
+            out = [(int(bucket[a]), packed([keys[a:b], *(c[a:b] for c in columns)], True)) for a, b in cuts]
+            if langs is not None:
+                out.append((-1 - (part * 31 + block) % n_buckets, None))
+            to, data = zip(*out, strict=True)
+            n = len(out)
+            yield pa.record_batch({"bucket": pa.array(to, pa.int32()), "part": pa.array([part] * n, pa.int32()), "block": pa.array([block] * n, pa.int32()), "data": pa.array(data, pa.binary()), "langs": pa.array([langs] * n, pa.binary())})
+
+    return run
+
+
+def bucket_of(keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
+    """Buckets are ranges of keys."""
+    high = keys >> U(bits - 32) if bits > 32 else keys << U(32 - bits)
+    return (high * U(n_buckets) >> U(32)).astype(np.int64)
+
+
+def word_bits(grams: Grams, spelled: np.ndarray, sums: list[list[np.ndarray]], less: np.ndarray) -> np.ndarray:
+    """The mean of -log2 of the probabilities of each text's words and of its end, by the model of the other fold; nan
+    without words. sums[n]: by place, the n-grams' sums; less[n][fold]: discounts."""
+    at = grams.places(grams.order)
+    other = 1 - grams.fold[at]
+    new = np.full(len(grams.owner), BORDER_BITS)
+    new[grams.inner] = spelled
+    p = np.exp2(-np.minimum(new[at], 1000.0))
+    pick = lambda n, c, where: np.where(other > 0, sums[n][2 * c + 1][where], sums[n][2 * c][where])
+    for n in range(1, grams.order + 1):
+        before = at - 1 if n > 1 else at
+        count, total = pick(n, 0, at), pick(n - 1, 1, before)
+        d = less[n - 1][other]
+        freed = sum(d[:, k] * pick(n - 1, 1 + k, before) for k in (1, 2, 3))
+        known = total > 0
+        taken = np.maximum(count - np.take_along_axis(d, np.minimum(count, 3)[:, None], 1)[:, 0], 0)
+        p = np.where(known, (taken + freed * p) / np.maximum(total, 1), p)
+    n_texts = len(grams.size)
+    events = np.bincount(grams.owner[at], minlength=n_texts)
+    return np.where(events > 0, np.bincount(grams.owner[at], -np.log2(p), n_texts) / np.maximum(events, 1), np.nan)
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, models: dict[str | None, LanguageModel]) -> DataFrame:
-    """doc_id, lang, the counts, base_failed and bits: the mean of -log2 of a word's probability (log2 of perplexity)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(part: pa.RecordBatch, sums: Sums) -> pa.RecordBatch:
-        counts = base_counts(column(part, "text").to_pylist())
-        failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
-        _, bounds = bytes_and_bounds(column(part, "text"))
-        langs = column(part, "lang").to_pylist()
-        size, spelled = np.diff(bounds), np.zeros(bounds[-1] + 1)
-        for lang, codes in by_language(part):
-            rows = np.array([x == lang for x in langs])
-            kinds, at = np.unique(codes, return_inverse=True)
-            if len(codes):
-                spelled[:-1][np.repeat(rows, size)] = -shared.value[lang].log2(kinds)[at]
-        words = Words.of(part)
-        sums_of = np.concatenate([[0], np.cumsum(spelled)])
-        after = np.minimum(words.ends + 1, bounds[1:][words.owner[words.inner]])  # with the byte that ends the word
-        bits = word_bits(words, sums_of[after] - sums_of[words.starts], sums, part.num_rows)
-        return pa.record_batch({"doc_id": column(part, "doc_id"), "lang": column(part, "lang"), **{k: pa.array(counts[k]) for k in BASE}, "base_failed": failed, "bits": pa.array(bits, from_pandas=True)})
+def scorer(order: int, bits: int, folder: str, spelling, less: np.ndarray):
+    """A task that counts and scores the texts of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in by_group(batches, "_block"):
-            keys, n, sums = [], [], None
-            for batch in group:
-                counted = column(batch, "counted")
-                for x, y in zip(*unpacked(batch.filter(counted)), strict=True):
-                    keys.append(x)
-                    n.append(y)
-                texts = batch.filter(pa.compute.invert(counted))
-                if texts.num_rows:
-                    if sums is None:
-                        sums, keys, n = Sums.of(keys, n), [], []
-                    for part in texts_in(texts):
-                        yield score(part, sums)
-
+        answers, table = [], None
+        for block, rows in blocks(batches):
+            if table is None:
+                table = spelling_table(spelling)
+                part = column(rows, "part")[0].as_py()
+                answers = [Answers(folder, n, part) for n in range(order + 1)]
+            for a in answers:
+                a.next(block)
+            grams, sums = Grams(rows, order, bits), []
+            for n, a in enumerate(answers):
+                keys = grams.distinct(n)
+                found = a.of(keys)
+                where = np.minimum(np.searchsorted(keys, grams.keys[n]), max(len(keys) - 1, 0))
+                sums.append([c[where] if len(keys) else c for c in found])
+            bits_of_bytes = []
+            for piece in pieces(rows, "text"):  # the spelling needs several numbers for each byte
+                data, bounds = bytes_and_bounds(column(piece, "text"))
+                starts, ends, lengths = words_of(data, bounds)
+                if len(starts):
+                    with_end = np.minimum(ends + 1, np.repeat(bounds[1:], lengths))  # with the byte that ends the word
+                    cuts = np.stack([starts, with_end], axis=1).ravel()
+                    bits_of_bytes.append(np.add.reduceat(np.append(table[trigrams(data, bounds)], np.float32(0)).astype(np.float64), cuts)[::2])
+            bits_a_word = word_bits(grams, np.concatenate(bits_of_bytes) if bits_of_bytes else np.zeros(0), sums, less)
+            del grams, sums
+            counts = [base_counts(*bytes_and_bounds(column(piece, "text"))) for piece in pieces(rows, "text")]
+            counts = {k: np.concatenate([c[k] for c in counts]) for k in BASE}
+            failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
+            yield pa.record_batch({"doc_id": column(rows, "doc_id"), "lang": column(rows, "lang"), **{k: pa.array(counts[k], pa.int64()) for k in BASE}, "base_failed": failed, "bits": pa.array(bits_a_word, from_pandas=True)})
+
+    return run
+
+
+def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, lang, the counts, base_failed and bits: the mean of -log2 of a word's probability (log2 of perplexity)."""
     docs = docs.select("doc_id", "lang", "text")
+    try:
+        return measured_in_place(docs, order)
+    except Exception as e:
+        if BlocksMoved.__name__ not in str(e):
+            raise
+        return measured_in_place(cut(docs), order)  # a copy whose partitions are files
+
+
+def measured_in_place(docs: DataFrame, order: int) -> DataFrame:
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(8, -(-size // BLOCK_BYTES))
-    texts = compressed(docs, n_blocks)
-    sums = cut(word_sums(texts.repartition(n_blocks, "_block").sortWithinPartitions("_block"), n_blocks))
-    sums = sums.select("_block", "size", "data", *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "lang")), F.lit(True).alias("counted"))
-    both = sums.union(texts.withColumn("counted", F.lit(False))).repartition(n_blocks, "_block").sortWithinPartitions("_block", F.desc("counted"))
+    bits, n_buckets = min(63, max(16, int(size).bit_length() + MARGIN_BITS)), max(8, -(-size // BLOCK_BYTES))
+    fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    rows = in_small_batches(docs.select("doc_id", "lang", "text", fold.alias("fold"), F.spark_partition_id().alias("part")))
+    spelling = spark.sparkContext.broadcast(spelling_counts(docs))  # 2**24 entries at most
+    folder = fresh_folder(spark, "word-counts")
+    less = np.zeros((order, 2, 4))
+    for level in range(order, 0, -1):
+        sent = rows.mapInArrow(sender(level, order, bits, n_buckets, folder), SENT)
+        found = cut(answered(sent, n_buckets))
+        counted = found.where("part is null and lang is null").agg(*[F.sum(F.col("sums")[k]) for k in range(8)]).first()
+        less[level - 1] = [discounts([counted[4 * f + k] or 0 for k in range(4)]) for f in (0, 1)]
+        stored(found.where("part is not null and data is not null"), folder, level).collect()  # a row for each partition of the scan
+    of_langs = found.where("part is null and lang is not null").groupBy(F.col("lang").alias("_lang")).agg(*[F.sum(F.col("sums")[k]).alias(f"c{k}") for k in range(10)])
+    stored(lang_answers(found.where("part is not null and data is null").select("part", "block", "lang"), of_langs), folder, 0).collect()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double")
+    out = cut(rows.mapInArrow(scorer(order, bits, folder, spelling, less), f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double"))
+    store, base = file_system(folder)
+    if store.get_file_info(base).type == pa.fs.FileType.Directory:
+        store.delete_dir(base)
+    return out
+
+
+def lang_answers(of_blocks: DataFrame, of_langs: DataFrame) -> DataFrame:
+    """Answers of level 0: to each block the sums over its languages' words."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [column(batch, f"c{k}").to_numpy() for k in range(10)]
+            data = [packed([c[i : i + 1] for c in sums] + [np.ones(1, np.int64)], False) for i in range(batch.num_rows)]
+            keys = column(batch, "lang").to_numpy().view(U)
+            yield pa.record_batch({"part": column(batch, "part"), "block": column(batch, "block"), "bucket": column(batch, "lang"), "check": pa.array([checked(keys[i : i + 1]) for i in range(len(keys))], pa.int64()), "data": pa.array(data, pa.binary())})
+
+    rows = of_blocks.join(of_langs, F.col("lang") == F.col("_lang")).drop("_lang")
+    return rows.mapInArrow(pack, "part int, block int, bucket long, check long, data binary")
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """_lang, lowest_bits, highest_bits: the band of each language, from its quartiles in steps of 1 / STEPS bit."""
+    steps = rows.where("not base_failed").groupBy("lang", F.round(F.col("bits") * STEPS).cast("long").alias("_step")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("lang").orderBy("_step")
+    steps = steps.withColumns({"_upto": F.sum("_n").over(order), "_all": F.sum("_n").over(Window.partitionBy("lang"))})
+    quartile = lambda k: F.min(F.when(4 * F.col("_upto") >= k * F.col("_all"), F.col("_step"))) / STEPS
+    found = steps.groupBy("lang").agg(*[quartile(k).alias(f"_q{k}") for k in (1, 2, 3)])
+    below, above = F.greatest((F.col("_q2") - F.col("_q1")) * BELOW, F.lit(LEAST_REACH)), F.greatest((F.col("_q3") - F.col("_q2")) * ABOVE, F.lit(LEAST_REACH))
+    return found.select(F.col("lang").alias("_lang"), (F.col("_q1") - below).alias("lowest_bits"), (F.col("_q3") + above).alias("highest_bits"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and log2 of the perplexity with its band."""
-    docs = docs.withColumn("lang", F.col("lang").cast("string"))
-    rows = cut(measured(docs, fit(docs)))
-    bands = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 1000).alias("q"))
-    q = F.col("q")
-    below, above = F.greatest((q[1] - q[0]) * BELOW, F.lit(LEAST_REACH)), F.greatest((q[2] - q[1]) * ABOVE, F.lit(LEAST_REACH))
-    bands = bands.select(F.col("lang").alias("_lang"), (q[0] - below).alias("lowest_bits"), (q[2] + above).alias("highest_bits"))
-    out = rows.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    rows = measured(docs.withColumn("lang", F.col("lang").cast("string")), order)
+    of_lang = bands(rows)
+    out = rows.join(of_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     inside = F.coalesce(F.col("bits").between(F.col("lowest_bits"), F.col("highest_bits")), F.lit(False))
     return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "bits", "lowest_bits", "highest_bits")

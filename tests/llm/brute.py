@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -121,3 +122,82 @@ def archived(rows, least=1000):
         revisit = len(raw) >= least and raw in first and p != first[raw]
         out.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", first[raw] if revisit else None))
     return out
+
+
+def discounts(counts):
+    c = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
+    if not c[0] or not c[1]:
+        return [0, 0.5, 0.5, 0.5]
+    y = c[0] / (c[0] + 2 * c[1])
+    d = [1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2] if c[2] else 1.5]
+    return [0] + [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+
+
+class Smoothed:
+    """Interpolated modified Kneser-Ney in dictionaries: counts of n-grams (tuples) of the highest order, and the
+    probability of what no n-gram knows."""
+
+    def __init__(self, top: Counter, order: int, unknown):
+        self.order, self.unknown, self.counts = order, unknown, {order: top}
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.less, self.contexts = {}, {}
+        for n, counts in self.counts.items():
+            self.less[n], self.contexts[n] = discounts(list(counts.values())), {}
+            for g, x in counts.items():
+                self.contexts[n].setdefault(g[:-1], []).append(x)
+
+    def __call__(self, gram: tuple, n: int | None = None) -> float:
+        n = self.order if n is None else n
+        if n == 0:
+            return self.unknown(gram)
+        key = gram[len(gram) - n :]
+        follow = self.contexts[n].get(key[:-1])
+        below = self(gram, n - 1)
+        if not follow:
+            return below
+        count, less = self.counts[n].get(key, 0), self.less[n]
+        return (max(count - less[min(count, 3)], 0) + sum(less[min(x, 3)] for x in follow) * below) / sum(follow)
+
+
+def bits_a_word(rows, order=3, border_bits=8.0):
+    """op7: rows of (text, lang, fold) -> the mean of -log2 of the probability of each word and of the end."""
+    data = [b"\n\n" + (t or "").encode() for t, _, _ in rows]
+    spelled = Smoothed(Counter(d[i - 2 : i + 1] for d in data for i in range(2, len(d))), 3, lambda g: 1 / 256)
+    grams = []
+    for t, _, _ in rows:
+        w = WORD.findall(t or "")
+        padded = [""] * (order - 1) + w + [""] if w else []
+        grams.append([tuple(padded[i - order + 1 : i + 1]) for i in range(order - 1, len(padded))])
+    models = {}
+    for which in {(lang, fold) for _, lang, fold in rows}:
+        mine = Counter(g for gs, (_, lang, fold) in zip(grams, rows, strict=True) if (lang, fold) == which for g in gs)
+        models[which] = mine
+    out, levels = [], {}
+    for f in (0, 1):
+        tops = {lang: m for (lang, fold), m in models.items() if fold == f}
+        parts = {lang: Smoothed(m, order, None) for lang, m in tops.items()}
+        for n in range(1, order + 1):
+            # Discounts are those of all languages together.
+            less = discounts([x for m in parts.values() for x in m.counts[n].values()])
+            for m in parts.values():
+                m.less[n] = less
+        levels[f] = parts
+    for d, (t, lang, fold), gs in zip(data, rows, grams, strict=True):
+        total = 0.0
+        places = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        for k, g in enumerate(gs):
+            if k < len(places):
+                a, b = places[k]
+                p = 1.0
+                for i in range(a, min(b + 1, len(d))):
+                    p *= spelled(d[i - 2 : i + 1])
+            else:
+                p = 2.0**-border_bits
+            model = levels[1 - fold].get(lang)
+            if model is not None:
+                model.unknown = lambda _, p=p: p
+                p = model(g)
+            total -= math.log2(p)
+        out.append(total / len(gs) if gs else None)
+    return out
