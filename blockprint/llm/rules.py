@@ -1,7 +1,8 @@
 """Quality rules: counts of words, symbols, repeated lines and windows, and bands of word perplexity by language.
 
 The language model is interpolated modified Kneser-Ney over words, of order ORDER and for each value of `lang`; unknown words
-are spelled by a Kneser-Ney model of byte trigrams over the whole corpus (at most 2**24 entries). The corpus is dealt to two
+are spelled by a Kneser-Ney model of byte trigrams over the whole corpus (at most 2**24 entries). Orders above 2 know whole passages, so
+they measure how often a text was copied rather than how it is written; they are for corpora without copies. The corpus is dealt to two
 folds by a hash of id and text, with a model each, and a text is scored by the other fold's, as gibberish would explain
 itself otherwise. Nothing is pruned, so the model grows with the input, and it is never collected.
 
@@ -38,7 +39,7 @@ from blockprint.llm.common import bytes_and_bounds, column, cut, fresh_folder, i
 from blockprint.llm.minimisers import BYTE_VALUES, SEPARATOR, Ranges, joined, mixed, ragged_ranges, runs, word_hashes, words_of
 from blockprint.llm.records import file_system
 
-ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 3, 5, 10, 20
+ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 2, 5, 10, 20
 SYMBOLS = "#*$%&|<>"
 #: How far a band reaches beyond the lower and the upper quartile, in their distances from the median, and at least (in
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
