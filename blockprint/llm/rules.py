@@ -68,7 +68,7 @@ def repeated_window_words(hashes: np.ndarray, lengths: np.ndarray, window: int =
     key = owner[starts].astype(np.uint64)
     for k in range(window):
         key = joined(key, hashes[starts + k])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     a, b = starts[order[1:][same]], starts[order[:-1][same]]
     equal = owner[a] == owner[b]
@@ -98,7 +98,7 @@ def repeated_lines(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) ->
     some = marks[ends] > marks[starts]
     starts, ends, owner = starts[some], ends[some], owner[some]
     key = mixed(Ranges(BYTE_VALUES[data])(starts, ends) ^ mixed(owner.astype(U)))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     again = order[1:][key[order[1:]] == key[order[:-1]]]
     raw = data.tobytes() if len(again) else b""
     for text in np.unique(owner[again]).tolist():
@@ -262,10 +262,15 @@ class Grams:
         """Where n-grams end; those of the model's order end at words and at the text's end."""
         return np.flatnonzero(self.place >= max(n - 1, 0))
 
-    def distinct(self, n: int) -> np.ndarray:
-        at = self.keys[n][self.places(n)]
-        at.sort()
-        return at[runs(at)[0]]
+    def ranked(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted n-grams, and the number of the one at each place among them."""
+        at = self.places(n)
+        order = np.argsort(self.keys[n][at])
+        key = self.keys[n][at[order]]
+        first, last = runs(key)
+        rank = np.zeros(len(self.owner), np.int32)
+        rank[at[order]] = np.repeat(np.arange(len(first), dtype=np.int32), last - first)
+        return key[first], rank
 
     def top(self) -> tuple[np.ndarray, list[np.ndarray]]:
         """The n-grams of the highest order and how often each fold has them."""
@@ -282,16 +287,15 @@ class Grams:
         """The n-grams, and what the (n + 1)-grams that the block owns add to them, for both folds each: how many have
         them at their end; of those that have them at their start, the sum of counts and how many have counts 1, 2, 3 or
         more."""
-        at = self.places(n + 1)
-        order = np.argsort(self.keys[n + 1][at], kind="stable")
-        first, _ = runs(self.keys[n + 1][at][order])
-        key = self.keys[n + 1][at][order][first]
+        key, rank = self.ranked(n + 1)
         sums = above.of(key)
+        where = np.empty(len(key), np.int64)
+        at = self.places(n + 1)
+        where[rank[at]] = at  # any place of each
         mine = np.flatnonzero(sums[-1] > 0)
-        where = at[order[first]][mine]
-        keys = self.distinct(n)
-        end = np.searchsorted(keys, self.keys[n][where])
-        begin = np.searchsorted(keys, self.keys[n][where - 1 if n else where])
+        where = where[mine]
+        keys, rank = self.ranked(n)
+        end, begin = rank[where], rank[where - 1 if n else where]
         counts = [sums[f][mine] for f in (0, 1)]
         add = lambda to, what: np.bincount(to, what, len(keys)).astype(np.int64)
         out = [add(end, c > 0) for c in counts] + [add(begin, c) for c in counts]
@@ -431,7 +435,7 @@ def answered(sent: DataFrame, n_buckets: int, folds: int = 2) -> DataFrame:
             with_langs = langs[0] is not None
             sizes = [len(f[0]) for f in found]
             keys = np.concatenate([f[0] for f in found])
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             first, last = runs(keys[order])
             columns, totals = [], []
             n_columns = len(found[0]) - 1 - with_langs
@@ -442,7 +446,7 @@ def answered(sent: DataFrame, n_buckets: int, folds: int = 2) -> DataFrame:
                 wide[order] = np.repeat(total, last - first)
                 columns.append(wide)
             own = np.zeros(len(keys), np.int64)
-            own[order[first]] = 1
+            own[np.minimum.reduceat(order, first)] = 1  # the first block
             columns.append(own)
             ends = np.cumsum(sizes).tolist()
             parts = [packed([c[e - s : e] for c in columns], False) for s, e in zip(sizes, ends, strict=True)]
@@ -485,7 +489,7 @@ def sender(level: int, order: int, bits: int, n_buckets: int, folder: str):
                 at = grams.places(1)
                 names, index = np.unique(grams.keys[0][at], return_inverse=True)
                 kind = np.zeros(len(keys), np.int64)
-                kind[np.searchsorted(keys, grams.keys[1][at])] = index
+                kind[grams.ranked(1)[1][at]] = index
                 columns, langs = [*columns, kind], names.view(np.int64).tobytes()
             bucket = bucket_of(keys, bits, n_buckets)
             cuts = list(zip(*runs(bucket), strict=True))
@@ -505,15 +509,19 @@ def bucket_of(keys: np.ndarray, bits: int, n_buckets: int) -> np.ndarray:
     return (high * U(n_buckets) >> U(32)).astype(np.int64)
 
 
-def word_bits(grams: Grams, spelled: np.ndarray, sums: list[list[np.ndarray]], less: np.ndarray) -> np.ndarray:
+def word_bits(grams: Grams, spelled: np.ndarray, sums: list[tuple[list[np.ndarray], np.ndarray]], less: np.ndarray) -> np.ndarray:
     """The mean of -log2 of the probabilities of each text's words and of its end, by the model of the other fold; nan
-    without words. sums[n]: by place, the n-grams' sums; less[n][fold]: discounts."""
+    without words. sums[n]: the n-grams' sums, and the number of the one at each place; less[n][fold]: discounts."""
     at = grams.places(grams.order)
     other = 1 - grams.fold[at]
     new = np.full(len(grams.owner), BORDER_BITS)
     new[grams.inner] = spelled
     p = np.exp2(-np.minimum(new[at], 1000.0))
-    pick = lambda n, c, where: np.where(other > 0, sums[n][2 * c + 1][where], sums[n][2 * c][where])
+
+    def pick(n: int, c: int, where: np.ndarray) -> np.ndarray:
+        found, rank = sums[n]
+        return np.stack(found[2 * c : 2 * c + 2], axis=1)[rank[where], other]
+
     for n in range(1, grams.order + 1):
         before = at - 1 if n > 1 else at
         count, total = pick(n, 0, at), pick(n - 1, 1, before)
@@ -544,10 +552,9 @@ def scorer(order: int, bits: int, folder: str, spelling, less: np.ndarray):
                 a.next(block)
             grams, sums = Grams(rows, order, bits), []
             for n, a in enumerate(answers):
-                keys = grams.distinct(n)
-                found = a.of(keys)
-                where = np.minimum(np.searchsorted(keys, grams.keys[n]), max(len(keys) - 1, 0))
-                sums.append([c[where] if len(keys) else c for c in found])
+                keys, rank = grams.ranked(n)
+                sums.append((a.of(keys), rank))
+            grams.keys.clear()
             bits_of_bytes = []
             for piece in pieces(rows, "text"):  # the spelling needs several numbers for each byte
                 data, bounds = bytes_and_bounds(column(piece, "text"))
