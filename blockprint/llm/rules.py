@@ -45,7 +45,7 @@ SYMBOLS = "#*$%&|<>"
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
 BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 4096
 #: Bytes of text in a block, and of counted text for each bucket.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 MARGIN_BITS = 10
 BORDER = np.uint64(0x5851F42D4C957F2D)  # the unit before a text's first word and after its last
 BORDER_BITS = 8.0
@@ -587,7 +587,7 @@ def measured(docs: DataFrame, order: int = ORDER) -> DataFrame:
 def measured_in_place(docs: DataFrame, order: int) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits, n_buckets = min(63, max(16, int(size).bit_length() + MARGIN_BITS)), max(8, -(-size // BLOCK_BYTES))
+    bits, n_buckets = min(63, max(16, int(size).bit_length() + MARGIN_BITS)), max(8, -(-size // BUCKET_BYTES))
     fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
     rows = in_small_batches(docs.select("doc_id", "lang", "text", fold.alias("fold"), F.spark_partition_id().alias("part")))
     spelling = spark.sparkContext.broadcast(spelling_counts(docs))  # 2**24 entries at most
