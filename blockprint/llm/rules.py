@@ -237,6 +237,10 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
         yield number, pa.Table.from_batches([part for _, part in group]).combine_chunks().to_batches()[0]
 
 
+def beyond(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - 3, 0)
+
+
 class Grams:
     """The n-grams of a block's texts. Before each text stand order - 1 borders, one behind it; texts without words have
     none. keys[n][i]: hash of the n words up to place i (n = 0: of the language); reach: places of i in its text."""
@@ -285,7 +289,7 @@ class Grams:
 
     def lower(self, n: int, above: Answers) -> tuple[np.ndarray, list[np.ndarray]]:
         """The n-grams, and what the (n + 1)-grams that the block owns add to them, for both folds each: how many have
-        them at their end; of those that have them at their start, the sum of counts and how many have counts 1, 2, 3 or
+        them at their end; of those that have them at their start, the sum of what counts have beyond 3, and how many have counts 1, 2, 3 or
         more."""
         key, rank = self.ranked(n + 1)
         sums = above.of(key)
@@ -298,32 +302,69 @@ class Grams:
         end, begin = rank[where], rank[where - 1 if n else where]
         counts = [sums[f][mine] for f in (0, 1)]
         add = lambda to, what: np.bincount(to, what, len(keys)).astype(np.int64)
-        out = [add(end, c > 0) for c in counts] + [add(begin, c) for c in counts]
+        out = [add(end, c > 0) for c in counts] + [add(begin, beyond(c)) for c in counts]
         return keys, out + [add(begin, kind(c)) for kind in (lambda c: c == 1, lambda c: c == 2, lambda c: c > 2) for c in counts]
 
 
+#: Bits of three columns that share a byte; numbers that do not fit follow in full.
+SHARES = (3, 3, 2)
+
+
+def wide(c: np.ndarray) -> bytes:
+    """Numbers by bytes, each as wide as the greatest."""
+    width = max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1
+    return np.array([len(c)], "<u4").tobytes() + bytes([width]) + np.ascontiguousarray(c.astype(U).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def narrow(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    """The numbers that wide() has written at a place, and where they end."""
+    size, width = int.from_bytes(raw[at : at + 4], "little"), raw[at + 4]
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, width * size, at + 5).reshape(width, size).T
+    return out.view("<u8").ravel(), at + 5 + width * size
+
+
 def packed(columns: list[np.ndarray], sorted_first: bool) -> bytes:
-    """Columns of numbers, each by bytes as wide as its greatest; of a sorted one the differences; compressed."""
-    out = [np.array([len(columns), len(columns[0])], "<u4").tobytes()]
-    for k, c in enumerate(columns):
-        c = np.diff(c.astype(U), prepend=U(0)) if k == 0 and sorted_first else c.astype(U)
-        width = max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1
-        out += [bytes([width]), np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    raw = b"".join(out)
+    """Columns of numbers, most of which are small, compressed; of a sorted first one the differences."""
+    out = []
+    if sorted_first:
+        out.append(wide(np.diff(columns[0].astype(U), prepend=U(0))))
+        columns = columns[1:]
+    out.append(np.array([len(columns), len(columns[0])], "<u4").tobytes())
+    large = []
+    for k in range(0, len(columns), 3):
+        byte, shift = np.zeros(len(columns[0]), np.uint8), 0
+        for c, n_bits in zip(columns[k : k + 3], SHARES):
+            most = (1 << n_bits) - 1
+            byte |= (np.minimum(c, most) << shift).astype(np.uint8)
+            large.append(c[c >= most])
+            shift += n_bits
+        out.append(byte.tobytes())
+    raw = b"".join([*out, wide(np.concatenate(large))])
     return np.array([len(raw)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpacked(data: bytes, sorted_first: bool) -> list[np.ndarray]:
     raw = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
-    columns, size = np.frombuffer(raw, "<u4", 2).tolist()
-    out, at = [], 8
-    for k in range(columns):
-        width = raw[at]
-        wide = np.zeros((size, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(raw, np.uint8, width * size, at + 1).reshape(width, size).T
-        at += 1 + width * size
-        c = wide.view("<u8").ravel()
-        out.append(np.cumsum(c, dtype=U) if k == 0 and sorted_first else c.astype(np.int64))
+    out, at = [], 0
+    if sorted_first:
+        first, at = narrow(raw, 0)
+        out.append(np.cumsum(first, dtype=U))
+    n, size = np.frombuffer(raw, "<u4", 2, at).tolist()
+    at += 8
+    large, _ = narrow(raw, at + size * -(-n // 3))
+    used = 0
+    for k in range(0, n, 3):
+        byte, shift = np.frombuffer(raw, np.uint8, size, at), 0
+        at += size
+        for n_bits in SHARES[: n - k]:
+            most = (1 << n_bits) - 1
+            c = ((byte >> shift) & most).astype(np.int64)
+            over = np.flatnonzero(c == most)
+            c[over] = large[used : used + len(over)]
+            used += len(over)
+            out.append(c)
+            shift += n_bits
     return out
 
 
@@ -370,7 +411,7 @@ def checked(keys: np.ndarray) -> int:
 
 
 def stored(rows: DataFrame, folder: str, level: int) -> DataFrame:
-    """Writes rows (part, block, bucket, check, data) into a file for each part, as a whole or not at all."""
+    """Writes the answers among rows into a file for each part, as a whole or not at all; the other rows are what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
@@ -378,29 +419,31 @@ def stored(rows: DataFrame, folder: str, level: int) -> DataFrame:
 
         def by_part() -> Iterator[tuple[int, pa.RecordBatch]]:
             for batch in batches:
-                part = column(batch, "part").to_numpy()
+                part = column(batch, "to").to_numpy()
                 for a, b in zip(*runs(part), strict=True):
                     yield int(part[a]), batch.slice(a, b - a)
 
         for part, group in groupby(by_part(), key=lambda x: x[0]):
+            if part < 0:
+                yield from (batch.select(["part", "block", "lang", "sums"]) for _, batch in group)
+                continue
             path = f"{base}/level-{level}/part-{part}"
             draft = f"{base}/level-{level}/draft-{part}-{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
-                file, n = None, 0
+                file = None
                 for _, batch in group:
                     batch = batch.select(["block", "check", "data"])
                     file = file or pa.ipc.new_stream(out, batch.schema)
                     file.write_batch(batch)
-                    n += batch.num_rows
                 file.close()
             if store.get_file_info(path).type == pa.fs.FileType.NotFound:
                 store.move(draft, path)
             else:  # another attempt was first; it had the same rows
                 store.delete_file(draft)
-            yield pa.record_batch({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
 
-    spread = rows.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part", "block", "bucket")
-    return spread.mapInArrow(run, "part int, n long")
+    to = F.when(F.col("data").isNotNull(), F.col("part")).otherwise(-1 - F.pmod(F.col("bucket"), F.lit(shuffle_partitions(rows.sparkSession))))
+    spread = rows.withColumn("to", to.cast("int")).repartition(shuffle_partitions(rows.sparkSession), "to").sortWithinPartitions("to", "block", "bucket")
+    return spread.mapInArrow(run, "part int, block int, lang long, sums array<long>")
 
 
 SENT = "bucket int, part int, block int, data binary, langs binary"
@@ -459,7 +502,7 @@ def answered(sent: DataFrame, n_buckets: int, folds: int = 2) -> DataFrame:
                 names, at = np.unique(of, return_inverse=True)
                 for i, name in enumerate(names.tolist()):
                     here = [t[at == i] for t in totals[:folds]]
-                    rows.append([0] * folds + [int(t.sum()) for t in here] + [int(kind(t).sum()) for kind in (lambda t: t == 1, lambda t: t == 2, lambda t: t > 2) for t in here])
+                    rows.append([0] * folds + [int(beyond(t).sum()) for t in here] + [int(kind(t).sum()) for kind in (lambda t: t == 1, lambda t: t == 2, lambda t: t > 2) for t in here])
                     kinds.append(name)
             yield answers([None] * len(rows), [None] * len(rows), [bucket] * len(rows), [None] * len(rows), [None] * len(rows), kinds, rows)
 
@@ -524,9 +567,11 @@ def word_bits(grams: Grams, spelled: np.ndarray, sums: list[tuple[list[np.ndarra
 
     for n in range(1, grams.order + 1):
         before = at - 1 if n > 1 else at
-        count, total = pick(n, 0, at), pick(n - 1, 1, before)
+        count, total, freed = pick(n, 0, at), pick(n - 1, 1, before), 0.0
         d = less[n - 1][other]
-        freed = sum(d[:, k] * pick(n - 1, 1 + k, before) for k in (1, 2, 3))
+        for k in (1, 2, 3):
+            having = pick(n - 1, 1 + k, before)
+            total, freed = total + k * having, freed + d[:, k] * having
         known = total > 0
         taken = np.maximum(count - np.take_along_axis(d, np.minimum(count, 3)[:, None], 1)[:, 0], 0)
         p = np.where(known, (taken + freed * p) / np.maximum(total, 1), p)
@@ -595,12 +640,11 @@ def measured_in_place(docs: DataFrame, order: int) -> DataFrame:
     less = np.zeros((order, 2, 4))
     for level in range(order, 0, -1):
         sent = rows.mapInArrow(sender(level, order, bits, n_buckets, folder), SENT)
-        found = cut(answered(sent, n_buckets))
+        found = cut(stored(answered(sent, n_buckets), folder, level))
         counted = found.where("part is null and lang is null").agg(*[F.sum(F.col("sums")[k]) for k in range(8)]).first()
         less[level - 1] = [discounts([counted[4 * f + k] or 0 for k in range(4)]) for f in (0, 1)]
-        stored(found.where("part is not null and data is not null"), folder, level).collect()  # a row for each partition of the scan
     of_langs = found.where("part is null and lang is not null").groupBy(F.col("lang").alias("_lang")).agg(*[F.sum(F.col("sums")[k]).alias(f"c{k}") for k in range(10)])
-    stored(lang_answers(found.where("part is not null and data is null").select("part", "block", "lang"), of_langs), folder, 0).collect()
+    cut(stored(lang_answers(found.where("part is not null").select("part", "block", "lang"), of_langs), folder, 0))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = cut(rows.mapInArrow(scorer(order, bits, folder, spelling, less), f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double"))
     store, base = file_system(folder)
@@ -617,10 +661,10 @@ def lang_answers(of_blocks: DataFrame, of_langs: DataFrame) -> DataFrame:
             sums = [column(batch, f"c{k}").to_numpy() for k in range(10)]
             data = [packed([c[i : i + 1] for c in sums] + [np.ones(1, np.int64)], False) for i in range(batch.num_rows)]
             keys = column(batch, "lang").to_numpy().view(U)
-            yield pa.record_batch({"part": column(batch, "part"), "block": column(batch, "block"), "bucket": column(batch, "lang"), "check": pa.array([checked(keys[i : i + 1]) for i in range(len(keys))], pa.int64()), "data": pa.array(data, pa.binary())})
+            yield pa.record_batch({"part": column(batch, "part"), "block": column(batch, "block"), "bucket": column(batch, "lang"), "check": pa.array([checked(keys[i : i + 1]) for i in range(len(keys))], pa.int64()), "data": pa.array(data, pa.binary()), "lang": column(batch, "lang"), "sums": pa.nulls(batch.num_rows, pa.list_(pa.int64()))})
 
     rows = of_blocks.join(of_langs, F.col("lang") == F.col("_lang")).drop("_lang")
-    return rows.mapInArrow(pack, "part int, block int, bucket long, check long, data binary")
+    return rows.mapInArrow(pack, "part int, block int, bucket long, check long, data binary, lang long, sums array<long>")
 
 
 def bands(rows: DataFrame) -> DataFrame:
