@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockprint.llm.common import bytes_and_bounds, column, cut, fresh_folder, in_small_batches, pieces, shuffle_partitions
+from blockprint.llm.common import bytes_and_bounds, column, cut, fresh_folder, in_small_batches, pieces
 from blockprint.llm.minimisers import BYTE_VALUES, SEPARATOR, Ranges, joined, mixed, ragged_ranges, runs, word_hashes, words_of
 from blockprint.llm.records import file_system
 
@@ -43,7 +43,7 @@ ORDER, WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 2, 5, 10, 20
 SYMBOLS = "#*$%&|<>"
 #: How far a band reaches beyond the lower and the upper quartile, in their distances from the median, and at least (in
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
-BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 4096
+BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 256
 #: Bytes of text in a block, and of counted text for each bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 MARGIN_BITS = 10
@@ -410,7 +410,7 @@ def checked(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed(keys)).view(np.int64)) if len(keys) else 0
 
 
-def stored(rows: DataFrame, folder: str, level: int) -> DataFrame:
+def stored(rows: DataFrame, folder: str, level: int, n_tasks: int) -> DataFrame:
     """Writes the answers among rows into a file for each part, as a whole or not at all; the other rows are what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,8 +441,8 @@ def stored(rows: DataFrame, folder: str, level: int) -> DataFrame:
             else:  # another attempt was first; it had the same rows
                 store.delete_file(draft)
 
-    to = F.when(F.col("data").isNotNull(), F.col("part")).otherwise(-1 - F.pmod(F.col("bucket"), F.lit(shuffle_partitions(rows.sparkSession))))
-    spread = rows.withColumn("to", to.cast("int")).repartition(shuffle_partitions(rows.sparkSession), "to").sortWithinPartitions("to", "block", "bucket")
+    to = F.when(F.col("data").isNotNull(), F.col("part")).otherwise(-1 - F.pmod(F.col("bucket"), F.lit(n_tasks)))
+    spread = rows.withColumn("to", to.cast("int")).repartition(n_tasks, "to").sortWithinPartitions("to", "block", "bucket")
     return spread.mapInArrow(run, "part int, block int, lang long, sums array<long>")
 
 
@@ -640,11 +640,11 @@ def measured_in_place(docs: DataFrame, order: int) -> DataFrame:
     less = np.zeros((order, 2, 4))
     for level in range(order, 0, -1):
         sent = rows.mapInArrow(sender(level, order, bits, n_buckets, folder), SENT)
-        found = cut(stored(answered(sent, n_buckets), folder, level))
+        found = cut(stored(answered(sent, n_buckets), folder, level, n_buckets))
         counted = found.where("part is null and lang is null").agg(*[F.sum(F.col("sums")[k]) for k in range(8)]).first()
         less[level - 1] = [discounts([counted[4 * f + k] or 0 for k in range(4)]) for f in (0, 1)]
     of_langs = found.where("part is null and lang is not null").groupBy(F.col("lang").alias("_lang")).agg(*[F.sum(F.col("sums")[k]).alias(f"c{k}") for k in range(10)])
-    cut(stored(lang_answers(found.where("part is not null").select("part", "block", "lang"), of_langs), folder, 0))
+    cut(stored(lang_answers(found.where("part is not null").select("part", "block", "lang"), of_langs), folder, 0, n_buckets))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = cut(rows.mapInArrow(scorer(order, bits, folder, spelling, less), f"doc_id {kind}, lang string, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, bits double"))
     store, base = file_system(folder)

@@ -380,10 +380,10 @@ def test_rules_when_partitions_change(spark, monkeypatch):
     want = rows(rules.judge(docs), "doc_id", "bits")
     plain, calls = rules.stored, []
 
-    def mixed_up(found, folder, level):
+    def mixed_up(found, folder, level, n_tasks):
         calls.append(level)
         other = F.when(F.col("data").isNull(), F.col("part")).otherwise((F.col("part") + 1) % 3)
-        return plain(found.withColumn("part", other) if len(calls) == 2 else found, folder, level)
+        return plain(found.withColumn("part", other) if len(calls) == 2 else found, folder, level, n_tasks)
 
     monkeypatch.setattr(rules, "stored", mixed_up)
     assert rows(rules.judge(docs), "doc_id", "bits") == want and len(calls) > 3
