@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other results depend on models, seeded hashes or encoders; tests hold them against plain versions."""
-    return {"op1_jaccard_join": sql.JACCARD, "op5_suffix_arrays": sql.STRINGS, "op8_superkmers": sql.WINDOWS, "op9_warc": sql.ARCHIVES}
+    return {"op1_jaccard_join": sql.JACCARD, "op5_suffix_arrays": sql.STRINGS, "op8_superkmers": sql.WINDOWS, "op9_warc": sql.ARCHIVES, "op10_mixing": sql.MIX}

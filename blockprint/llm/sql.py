@@ -41,3 +41,17 @@ ARCHIVES = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM
 g AS (SELECT raw, max(page_id) AS first FROM p WHERE octet_length(raw) >= 1000 GROUP BY raw)
 SELECT page_id, cast(octet_length(p.raw) AS bigint) AS payload_bytes, sha1(p.raw) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN g ON g.raw = p.raw"""
+
+#: Shares by weight, cut at twice a source's size as long as any is above; then the seeded order's documents up to where
+#: their sum is nearest to the rest of the target.
+MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, cast(len({WORDS}) AS BIGINT) AS size, md5(concat_ws('|', '17', coalesce(cast(doc_id AS VARCHAR), '-'), md5(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT source, cast(sum(size) AS BIGINT) AS words, ([3, 1, 2])[cast((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM d GROUP BY source),
+fill AS (SELECT 0 AS k, cast(sum(words) AS DOUBLE) * 150 / 100 / sum(weight) AS unit FROM s
+UNION ALL SELECT k + 1, coalesce(((SELECT cast(sum(words) AS DOUBLE) * 150 / 100 FROM s) - sum(CASE WHEN unit * weight > 2 * words THEN 2 * words ELSE 0 END)) / nullif(sum(CASE WHEN unit * weight > 2 * words THEN 0 ELSE weight END), 0), unit) FROM fill, s WHERE k < (SELECT count(*) FROM s) GROUP BY k, unit),
+last AS (SELECT unit FROM fill ORDER BY k DESC LIMIT 1),
+targets AS (SELECT source, words, CASE WHEN unit * weight > 2 * words THEN cast(2 * words AS DOUBLE) ELSE unit * weight END AS target FROM s, last),
+takes AS (SELECT *, least(cast(round_even(target, 0) AS BIGINT), 2 * words) AS take FROM targets),
+rests AS (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 1 END AS whole FROM takes),
+placed AS (SELECT d.*, words, target, whole, take - whole * words AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN rests ON d.source IS NOT DISTINCT FROM rests.source),
+repeated AS (SELECT *, cast(whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM placed)
+SELECT doc_id, size, words AS source_size, target, size * repeats AS taken, repeats FROM repeated"""
