@@ -12,10 +12,12 @@ WHILE_CUTTING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (tests) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; without executors (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not folder and not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='blockprint-')}")
     return folder or jsc.getCheckpointDir().get()
 
@@ -28,7 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     for k, v in WHILE_CUTTING.items():
         spark.conf.set(k, v)
     try:
-        return df.select("*").checkpoint()  # a new plan, made under these settings
+        return sized(df.select("*").checkpoint())  # a new plan, made under these settings
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with the default size if Spark's estimate is beyond all use. A checkpoint keeps the estimate of its plan, joins
+    multiply estimates, and rounds of joins would make them numbers of millions of digits."""
+    spark = df.sparkSession
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 62:
+        return df
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
