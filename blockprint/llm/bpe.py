@@ -5,7 +5,8 @@ matches of an automaton over the vocabulary; such a token t is the last one if t
 t are compatible, that is if BPE leaves the two side by side. Back-pointers from the end give the ids. Results equal those
 of merging by rank, which tests check against the tokenizers library.
 
-Nulls are empty texts; an empty text has no ids. Strings of special tokens in a text become their ids.
+Nulls are empty texts; an empty text has no ids. Strings of special tokens in a text become their ids. Repeated rows give
+rows each, an empty table an empty result; other columns are ignored. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ class PrefixBpe:
         The merges inside left and right happen by rank. Undo them from the last one; at every stage the two tokens that
         face each other across the border must not have been merged before the merge that consumed one of them.
         """
-        key = left << 20 | right
+        key = left << 32 | right
         if (known := self.fits.get(key)) is not None:
             return known
         a, b, until, fits = left, right, 1 << 60, True

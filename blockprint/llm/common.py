@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from blockprint.plans.checkpoints import cut, shared_folder
 
-__all__ = ["WORD", "WORD_PATTERN", "binary", "bytes_and_bounds", "column", "cut", "fresh_folder", "in_small_batches", "pieces", "shared_folder", "shuffle_partitions", "text_key"]
+__all__ = ["WORD", "WORD_PATTERN", "binary", "bytes_and_bounds", "column", "cut", "fresh_folder", "in_small_batches", "pieces", "remove_folder", "shared_folder", "shuffle_partitions", "text_key"]
 
 #: A word: a maximal run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder through the file systems that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SMALL_BATCH = 1000
 
 

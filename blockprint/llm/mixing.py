@@ -228,8 +228,8 @@ def mix(docs: DataFrame, size: Column, members: Column, key: Sequence[str], *, w
     known = base.join(F.broadcast(table) if few else table, same(base, table)).drop(table["_pattern"])
     inside = known.where("_slice = _at")
     row = Window.partitionBy("_pattern").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_more", (2 * F.sum("size").over(row) - F.col("size") <= 2 * F.col("_left")).cast("int"))
-    outside = known.where("_slice <> _at").withColumn("_more", (F.col("_slice") < F.col("_at")).cast("int"))
+    inside = inside.withColumn("_more", ((F.col("_rest") > 0) & (2 * F.sum("size").over(row) - F.col("size") <= 2 * F.col("_left"))).cast("int"))
+    outside = known.where("_slice <> _at").withColumn("_more", ((F.col("_rest") > 0) & (F.col("_slice") < F.col("_at"))).cast("int"))
     out = inside.unionByName(outside)
     out = out.withColumn("repeats", (F.col("_full") + F.col("_more")).cast("long"))
     out = out.withColumn("taken", F.col("size") * F.col("repeats"))

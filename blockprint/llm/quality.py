@@ -7,7 +7,8 @@ bins gives the calibration. Everything but the features' scale is linear in the
 
 Rows with crc32(doc_id as text) mod 4 = 2 are never learned from; 0 and 1 fit the ridge, 3 the calibration. Nulls are
 empty texts; an empty text gets the score of its (zero) statistics. Labels other than 0 and 1 are ignored; without labels
-every score is 0.5.
+every score is 0.5. Repeated rows are scored each; a document with several labels is learned from once for each. An empty
+table gives an empty result; other columns are ignored. Sums are made in a fixed order of rows, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockprint.llm.common import WORD, bytes_and_bounds, column, cut, in_small_batches, pieces, text_key
+from blockprint.llm.common import WORD, bytes_and_bounds, column, cut, in_small_batches, pieces, shuffle_partitions, text_key
 
 FEATURES, SEED, RIDGE, BINS, ACCEPT, SLOTS = 256, 11, 1e-3, 4000, 0.7, 16
 STATISTICS = ("log_words", "word_length", "distinct_words", "repeats", "upper", "digits", "symbols", "exclamations", "points", "commas", "other_marks", "bare_words", "lines", "repeated_lines", "spaces", "non_ascii", "top_word", "control")
@@ -88,7 +89,9 @@ def fold(doc_id: Column) -> Column:
 
 
 def partition_sums(rows: DataFrame, of_rows: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all rows (x, y) of of_rows: each partition sums its own, SLOTS tasks sum those, the driver the rest."""
+    """The sum over all rows (x, y) of of_rows: each partition sums its own, SLOTS tasks sum those, the driver the rest, all
+    in a fixed order."""
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -97,17 +100,19 @@ def partition_sums(rows: DataFrame, of_rows: Callable[[np.ndarray, np.ndarray],
                 x = np.frombuffer(b"".join(column(batch, "x").to_pylist())).reshape(batch.num_rows, -1)
                 for i in range(0, len(x), 2000):
                     total += of_rows(x[i : i + 2000], column(batch, "y").to_numpy(zero_copy_only=False)[i : i + 2000].astype(float))
-        yield pa.record_batch({"total": pa.array([total.tobytes()], pa.binary())})
+        part = TaskContext.get().partitionId()
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "slot": pa.array([part % SLOTS], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in column(batch, "total").to_pylist():
-                total += np.frombuffer(raw).reshape(shape)
-        yield pa.record_batch({"total": pa.array([total.tobytes()], pa.binary())})
+            for slot, raw in zip(column(batch, "slot").to_pylist(), column(batch, "total").to_pylist(), strict=True):
+                totals[slot] = totals.get(slot, 0) + np.frombuffer(raw).reshape(shape)
+        yield pa.record_batch({"slot": pa.array(list(totals), pa.int32()), "total": pa.array([t.tobytes() for t in totals.values()], pa.binary())})
 
-    sums = rows.select("x", "y").mapInArrow(run, "total binary").repartition(SLOTS).mapInArrow(add, "total binary")
-    return sum((np.frombuffer(r[0]).reshape(shape) for r in sums.collect()), np.zeros(shape))
+    sums = rows.select("x", "y").mapInArrow(run, "part int, slot int, total binary")
+    sums = sums.repartition(SLOTS, "slot").sortWithinPartitions("slot", "part").mapInArrow(add, "slot int, total binary")
+    return sum((np.frombuffer(r["total"]).reshape(shape) for r in sorted(sums.collect(), key=lambda r: r["slot"])), np.zeros(shape))
 
 
 @dataclass
@@ -129,9 +134,10 @@ class Model:
         return self.features(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The calibrated score; a thousandth of the raw one keeps the order of scores that the calibration makes equal."""
+        """The calibrated score; a thousandth of the raw one keeps the order of scores that the calibration makes equal. It is
+        rounded, as the last digits of products of matrices depend on how many rows are multiplied at once."""
         raw = self.raw(x)
-        return 0.999 * np.interp(raw, self.knots, self.values) + 0.001 * np.clip((raw + 1) / 3, 0, 1)
+        return np.round(0.999 * np.interp(raw, self.knots, self.values) + 0.001 * np.clip((raw + 1) / 3, 0, 1), 9)
 
 
 def isotonic(x: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +153,8 @@ def isotonic(x: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("y"))
-    known = stats.join(known, F.col("doc_id") == F.col("_id")).select("x", "y", fold(F.col("doc_id")).alias("fold")).where("fold <> 2")
+    known = stats.join(known, F.col("doc_id") == F.col("_id")).withColumn("fold", fold(F.col("doc_id"))).where("fold <> 2")
+    known = cut(known.repartition(shuffle_partitions(stats.sparkSession), "doc_id").sortWithinPartitions("doc_id", "key", "y").select("x", "y", "fold"))
     fitting, checking = known.where("fold <> 3"), known.where("fold = 3")
     d, rng = len(STATISTICS), np.random.default_rng(SEED)
     moments = partition_sums(fitting, lambda x, y: np.stack([np.full(d, float(len(x))), x.sum(0), (x * x).sum(0)]), (3, d))

@@ -53,5 +53,5 @@ targets AS (SELECT source, words, CASE WHEN unit * weight > 2 * words THEN cast(
 takes AS (SELECT *, least(cast(round_even(target, 0) AS BIGINT), 2 * words) AS take FROM targets),
 rests AS (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 1 END AS whole FROM takes),
 placed AS (SELECT d.*, words, target, whole, take - whole * words AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN rests ON d.source IS NOT DISTINCT FROM rests.source),
-repeated AS (SELECT *, cast(whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM placed)
+repeated AS (SELECT *, cast(whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS repeats FROM placed)
 SELECT doc_id, size, words AS source_size, target, size * repeats AS taken, repeats FROM repeated"""

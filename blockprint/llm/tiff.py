@@ -4,7 +4,9 @@ decode_pages() walks the chain of image directories of a file (either byte order
 samples; encode_pages() writes files that it, or any TIFF reader, can read. 8-bit samples, any number of them a pixel.
 A file that breaks off, loops or lies about sizes raises ValueError; the DataFrame form gives a row with `error` instead.
 
-Nulls and empty bytes have no pages (one row with the error "empty"). Equal bytes give equal rows.
+Nulls and empty bytes have no pages (one row with the error "empty"). Equal bytes give equal rows, repeated rows rows of
+their own. An empty table gives an empty result; other columns are ignored, and the key keeps its name and type. Texts of
+any length are stored, in pages of 1,024 rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+PLANES = 284
 LZW_CLEAR, LZW_END, LZW_FIRST, LZW_MOST = 256, 257, 258, 4094
 
+#: More bytes than this from one byte of data come from no compression that is read.
+MOST_EXPANSION = 4096
+
 
 @dataclass
 class Page:
@@ -260,17 +266,21 @@ def directories(data: bytes) -> Iterator[dict[int, tuple[int, ...]]]:
 
 def decode_page(data: bytes, number: int, f: dict[int, tuple[int, ...]]) -> Page:
     """The page of a directory. Read are samples of 8 bits that stand together, without a predictor or with predictor 2."""
-    one = lambda tag, default=None: f.get(tag, (default,))[0]
+    one = lambda tag, default=None: (f.get(tag) or (default,))[0]
     w, h, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not w or not h or set(f.get(BITS, (1,))) != {8} or one(284, 1) != 1 or predictor not in (1, 2):
+    if not w or not h or not n or set(f.get(BITS, (1,))) != {8} or one(PLANES, 1) != 1 or predictor not in (1, 2):
         raise ValueError(f"page {number}: no size, or samples that are not read")
     tiled = TILE_OFFSETS in f
     th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, h), h), w)
     offsets, counts = (f.get(TILE_OFFSETS), f.get(TILE_BYTES)) if tiled else (f.get(STRIP_OFFSETS), f.get(STRIP_BYTES))
+    if not th or not tw:
+        raise ValueError(f"page {number}: blocks without a size")
     across, down = -(-w // tw), -(-h // th)
     if not offsets or not counts or len(offsets) != across * down or len(counts) != len(offsets):
         raise ValueError(f"page {number}: its blocks do not cover it")
+    if across * tw * (down * th if tiled else h) * n > MOST_EXPANSION * sum(counts):
+        raise ValueError(f"page {number}: it is larger than its data can be")
     image = np.zeros((down * th if tiled else h, across * tw, n), np.uint8)
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
         y, x = k // across * th, k % across * tw

@@ -6,6 +6,7 @@ digests. A file that is wrong raises ValueError with the place, which fails the
 
 Nulls: a null html is an empty payload, a null url has no WARC-Target-URI, a null page_id the id "none" and is never the
 page referred to while another has the payload. Repeated rows of a page_id that is the largest are all responses.
+page_id may be a number or text. An empty table gives no files and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import itertools
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -186,8 +188,7 @@ def write_archives(kinds: DataFrame, folder: str) -> DataFrame:
             for batch in batches:
                 for i in range(0, batch.num_rows, 200):
                     for r in batch.slice(i, 200).to_pylist():
-                        name = lambda x: "none" if x is None else str(x)
-                        yield record(r["record_type"], name(r["page_id"]), r["url"], r["html"].encode(), r["payload_bytes"], r["payload_digest"], name(r["refers_to"]))
+                        yield record(r["record_type"], named(r["page_id"]), r["url"], r["html"].encode(), r["payload_bytes"], r["payload_digest"], named(r["refers_to"]))
 
         rest = records()
         first = list(itertools.islice(rest, SAMPLES))
@@ -235,12 +236,19 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("file").repartition(shuffle_partitions(files.sparkSession), "file").mapInArrow(run, schema)
 
 
-def page_of(urn):
-    """The page_id in a record's id; null for "none"."""
-    return F.expr(f"try_cast(regexp_extract({urn}, '^<urn:page:(.*)>$', 1) as bigint)")
+def named(page) -> str:
+    """A page_id as it stands in a record's id: "none" for null; characters that have no place there are escaped."""
+    return "none" if page is None else "%6Eone" if page == "none" else quote(str(page), safe="")
+
+
+def page_of(urn: str, kind: str):
+    """The page_id, of a type, in a record's id."""
+    name = F.regexp_extract(urn, "^<urn:page:(.*)>$", 1)
+    return F.when(F.col(urn).isNotNull() & (name != "none"), F.url_decode(name).try_cast(kind))
 
 
 def archived_pages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages to archives and returns, from what is read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     read = read_archives(write_archives(record_kinds(pages), folder), payloads=False)
-    return read.select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return read.select(page_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to", kind).alias("refers_to"))

@@ -297,6 +297,24 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out if r["predicted"]}
 
 
+def test_quality_equals_plain_fit(spark):
+    """Statistics, ridge and calibration against plain versions over all rows at once, whatever the partitions."""
+    docs, labels, good = corpus(spark, 300)
+    odd = documents(spark, texts(), range(1000, 1000 + len(texts())))
+    both = docs.union(odd)
+    values = {r["doc_id"]: r["text"] for r in both.collect()}
+    ids = sorted(values)
+    plain = np.array([brute.statistics(values[i]) for i in ids])
+    assert np.allclose(quality.statistics(pa.array([values[i] for i in ids])), plain, atol=1e-12)
+    want = brute.classifier([(i, good[i] if i < 300 else None) for i in ids], plain)
+    got = rows(quality.classify(both, labels), "doc_id", "score")
+    assert np.allclose([s for _, s in got], want, atol=1e-6)
+    assert rows(quality.classify(both.repartition(3), labels), "doc_id", "score") == got == rows(quality.classify(both.repartition(7), labels.repartition(3)), "doc_id", "score")
+    # A document with two labels is learned from twice.
+    twice = labels.union(labels.where("doc_id = 5"))
+    assert quality.classify(both, twice).count() == len(ids)
+
+
 def test_quality_odd_inputs(spark, docs):
     labels = spark.createDataFrame([(1, None, 0), (2, 7, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels).collect()
@@ -314,7 +332,7 @@ def test_quality_without_labels_keeps_all(spark, docs):
 
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([1.0, 0, 1, 1]), np.ones(4))
-    assert y.tolist() == [0.5, 1.0] or y.tolist() == [0.5, 1.0, 1.0]
+    assert x.tolist() == [0.5, 2.5] and y.tolist() == [0.5, 1.0]
 
 
 def test_rules_counts(docs):
@@ -420,6 +438,14 @@ def test_tiff_documents(docs):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    media = {r["doc_id"]: bytes(r["media"]) for r in tiff.store_documents(docs).collect()}
+    for i, t in enumerate(texts()):  # a second reader, and features by plain sums
+        raw = (t or "").encode()
+        pages = brute.tiff(media[i])
+        payload = b"".join(p for _, _, p in pages)
+        assert payload == raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)) and all(w == 64 for w, _, _ in pages)
+        assert got[i]["feature"] == brute.tiff_feature(payload, len(pages))
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
     assert got[0]["feature"] == got[42]["feature"] and got[0]["media_sha256"] == got[42]["media_sha256"]
     assert tiff.media_digests(tiff.store_documents(empty(docs))).count() == 0
 
@@ -448,6 +474,33 @@ def test_tiff_rows_after_a_page_that_is_not_read(spark):
     assert [(r["page"], None if r["data"] is None else bytes(r["data"]), r["error"] is None) for r in got] == [(0, pages[0].tobytes(), True), (1, None, False), (2, pages[2].tobytes(), True)]
 
 
+@pytest.mark.parametrize("tag, kind, value", [(tiff.ROWS_PER_STRIP, 4, 0), (tiff.TILE_WIDTH, 4, 0), (tiff.TILE_HEIGHT, 4, 0), (tiff.WIDTH, 4, 2**31), (tiff.HEIGHT, 4, 2**32 - 1), (tiff.SAMPLES, 3, 0)])
+def test_tiff_fields_that_lie(spark, tag, kind, value):
+    data = bytearray(tiff.encode_pages([np.ones((40, 40, 1), np.uint8)], tile=16 if tag in (tiff.TILE_WIDTH, tiff.TILE_HEIGHT) else None))
+    at = next(i for i in range(8, len(data) - 12) if struct.unpack_from("<HHI", data, i) == (tag, kind, 1))
+    data[at + 8 : at + 12] = struct.pack("<I", value)
+    none = bytearray(data)
+    none[at + 4 : at + 8] = bytes(4)  # a field with no values
+    missing = bytearray(data)
+    missing[at : at + 2] = struct.pack("<H", 65000)
+    files = spark.createDataFrame([(1, bytes(data)), (2, bytes(none)), (3, bytes(missing))], "id long, content binary")
+    got = {r["id"]: r for r in tiff.read_pages(files, "id", "content").collect()}
+    assert got[1]["error"] and len(got) == 3 and all(r["error"] or len(r["data"]) == 1600 for r in got.values())
+
+
+def test_tiff_damage_is_an_error_or_a_page():
+    rng = np.random.default_rng(3)
+    for compression in (tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        good = tiff.encode_pages([rng.integers(0, 4, (30, 20, 1), dtype=np.uint8)], compression, 2)
+        for _ in range(300):
+            bad = bytearray(good)
+            bad[rng.integers(0, len(bad))] = rng.integers(0, 256)
+            try:
+                list(tiff.decode_pages(bytes(bad)))
+            except ValueError:
+                pass
+
+
 def test_tiff_rows(spark):
     good = tiff.encode_pages([np.ones((4, 4, 1), np.uint8)] * 2)
     loop = bytearray(tiff.encode_pages([np.ones((4, 4, 1), np.uint8)]))
@@ -477,6 +530,14 @@ def test_warc_round_trip(spark):
     assert all(hashlib.sha1(bytes(r["payload"])).hexdigest() == r["payload_digest"] and "\n" not in (r["url"] or "") for r in back)
 
 
+def test_warc_page_ids_of_text(spark):
+    long = "x" * 1200
+    values = [("a b", long), ("none", long), (None, long), ("", long), ("é>\r\n%", "short"), ("z", long), ("10", "short")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in values], "page_id string, url string, html string")
+    got = rows(warc.archived_pages(pages, fresh_folder(spark, "warc")), "page_id", "record_type", "refers_to")
+    assert got == ordered((i, "revisit" if h == long and i != "z" else "response", "z" if h == long and i != "z" else None) for i, h in values)
+
+
 def test_warc_notices_damage():
     import io
 
@@ -669,6 +730,48 @@ def test_mix_of_patterns(spark):
     assert sum(r["t"] or 0 for r in got) == pytest.approx(6000, abs=20) and max(r["r"] for r in got) <= 2
 
 
+def test_mix_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(i, 10, "a", 7, "t") for i in range(4)], "doc_id long, words long, source string, size int, mix_size string")
+    out = mixing.mix(docs, F.col("words"), F.array("source"), ["doc_id"])
+    assert out.columns[:5] == docs.columns and {(r["size"], r["mix_size"], r["mix_mix_size"]) for r in out.collect()} == {(7, "t", 10)}
+    assert sum(r["taken"] for r in out.collect()) == 60
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_mix_of_many_sources(spark, monkeypatch, few):
+    """Parts of sources that share patterns are solved by themselves; patterns that are too many to broadcast are joined."""
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", few)
+    rng = random.Random(4)
+    values = [(i, rng.randint(0, 30), rng.choice([[f"s{i % 90}"], [f"s{i % 90}", f"s{(i + 1) % 90}"], [None], [f"s{i % 7}", None]])) for i in range(900)]
+    docs = spark.createDataFrame(values, "doc_id long, words long, of array<string>")
+    out = mixing.mix(docs, F.col("words"), F.col("of"), ["doc_id"]).collect()
+    # The whole problem at once, by the same definition.
+    words_of = Counter()
+    for _, n, of in values:
+        words_of[tuple(sorted(of, key=lambda s: (s is None, s or "")))] += n
+    names = sorted({s for k in words_of for s in k}, key=lambda s: (s is None, s or ""))
+    size = [sum(n for k, n in words_of.items() if s in k) for s in names]
+    total, weight, free, target = 1.5 * sum(words_of.values()), [(3, 1, 2)[i % 3] for i in range(len(names))], list(range(len(names))), {}
+    while free:
+        unit = total / sum(weight[i] for i in free)
+        over = [i for i in free if unit * weight[i] > 2 * size[i]]
+        for i in over or free:
+            target[i] = 2.0 * size[i] if over else unit * weight[i]
+            total -= target[i]
+        free = [i for i in free if i not in over] if over else []
+    keys = sorted(words_of, key=str)
+    flow = mixing.min_cost_flow([words_of[k] for k in keys], [[names.index(s) for s in k] for k in keys], [round(target[i]) for i in range(len(names))], 2)
+    assert sum(r["taken"] for r in out) == pytest.approx(sum(sum(f.values()) for f in flow), abs=15 * len(keys))
+    first = {k: names.index(k[0]) for k in keys}
+    for r in out:
+        k = tuple(sorted(r["of"], key=lambda s: (s is None, s or "")))
+        assert r["source_size"] == size[first[k]] and abs(r["target"] - target[first[k]]) < 1e-6 and 0 <= r["repeats"] <= 2
+    got = {}
+    for r in out:
+        got[tuple(sorted(r["of"], key=lambda s: (s is None, s or "")))] = (r["pattern_words"], r["pattern_taken"])
+    assert sum(t for _, t in got.values()) == sum(sum(f.values()) for f in flow) and all(t <= 2 * w for w, t in got.values())
+
+
 def test_repeated_rows_of_a_mix(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", *NULLS)] * 5 + [(2, "d", "t", *NULLS)], "doc_id long, text string, source string" + EXTRA)
     out = mixing.mixed_documents(docs).collect()
