@@ -15,6 +15,7 @@ MIN_RECOMMENDED_INPUT_SIZE = 4097
 CAPPING_BORDER = 4
 MAX_LEN_SHORT, MAX_LEN_LONG = 10 + 64 + 32 + 2, 10 + 64 + 64 + 2
 
+# The names and messages of errors.
 PARSE_ERRORS = {
     "BlockHashIsTooLong": "block hash is too long",
     "BlockSizeIsEmpty": "block size field is empty",

@@ -67,9 +67,13 @@ class StreamDigest:
         while (k := min(self.levels, default=0)) + 1 in self.levels and self.levels[k + 1][0] >= HALF_SIZE and 192 << k < self.size:
             del self.levels[k]
 
+    @property
+    def error(self) -> str | None:
+        return "InputSizeTooLarge" if self.size > MAX_INPUT_SIZE else None
+
     def digest(self, long: bool = False) -> tuple[int, str, str]:
-        if self.size > MAX_INPUT_SIZE:
-            raise ValueError("InputSizeTooLarge")
+        if self.error:
+            raise ValueError(self.error)
         fits = [k for k, (n, _, _) in self.levels.items() if n >= HALF_SIZE and (k == 0 or 192 << (k - 1) < self.size)]
         level, moving = max(fits, default=0), self.roll != 0
         return level, self._text(level, 1, moving), self._text(level + 1, 1 if long else 2, moving)

@@ -38,7 +38,7 @@ def parse(text: str, long: bool = False, normalized: bool = True, strict: bool =
         return failed("UnexpectedCharacter", "BlockSize", at)
     if not digits:
         return failed("BlockSizeIsEmpty", "BlockSize", 0)
-    if int(digits) > 0xFFFFFFFF:
+    if at > 10 or int(digits) > 0xFFFFFFFF:
         return failed("BlockSizeIsTooLarge", "BlockSize", 0)
     if (log := log_of(int(digits))) is None:
         return failed("BlockSizeIsInvalid", "BlockSize", 0)

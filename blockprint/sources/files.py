@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from blockprint.functions import hashes
 from blockprint.functions.digests import digest_checked
 from blockprint.functions.incremental import StreamDigest
+from blockprint.plans.checkpoints import cut
 
-LARGE = pa.schema([("path", pa.string()), ("length", pa.int64()), ("digest", pa.struct([("log_block_size", pa.int32()), ("bh1", pa.string()), ("bh2", pa.string())]))])
+LARGE = pa.schema([("path", pa.string()), ("length", pa.int64()), ("digest", pa.struct([("log_block_size", pa.int32()), ("bh1", pa.string()), ("bh2", pa.string())])), ("error", pa.string())])
 
 
 def hash_files(spark: SparkSession, path: str | list[str], long: bool = False) -> DataFrame:
@@ -31,8 +32,8 @@ def hash_files(spark: SparkSession, path: str | list[str], long: bool = False) -
 
 
 def hash_large_files(paths: DataFrame, path: str = "path", long: bool = False, buffer: int = 4 << 20) -> DataFrame:
-    """path, length, digest of each file named in a column, of any size: a task reads a file in pieces and keeps a few
-    kilobytes of state. Paths are opened with pyarrow's file systems (local, s3, gs, hdfs with its native library); for
+    """path, length, digest, error of each file named in a column, of any size: a task reads a file in pieces and keeps a few
+    kilobytes of state. A file of more bytes than digests are for has an error and no digest. Paths are opened with pyarrow's file systems (local, s3, gs, hdfs with its native library); for
     stores that only Spark reads use hash_files() or chunk rows. A missing file fails the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,11 +44,29 @@ def hash_large_files(paths: DataFrame, path: str = "path", long: bool = False, b
                 with store.open_input_stream(inner) as stream:
                     while piece := stream.read(buffer):
                         state.update(piece)
-                h = dict(zip(("log_block_size", "bh1", "bh2"), state.digest(long), strict=True))
-                yield pa.RecordBatch.from_pylist([{"path": name, "length": state.size, "digest": h}], LARGE)
+                h = None if state.error else dict(zip(("log_block_size", "bh1", "bh2"), state.digest(long), strict=True))
+                yield pa.RecordBatch.from_pylist([{"path": name, "length": state.size, "digest": h, "error": state.error}], LARGE)
 
     rows = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("path"))
-    return rows.repartition("path").mapInArrow(run, f"path string, length long, digest {hashes.HASH}")
+    return rows.repartition("path").mapInArrow(run, f"path string, length long, digest {hashes.HASH}, error string")
+
+
+def write_files(df: DataFrame, folder: str, name: str, data: str) -> DataFrame:
+    """path of a file for each row, with the row's text or bytes; a null is an empty file. A task that is run again writes the
+    same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            paths = []
+            for n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{n}") as out:
+                    out.write(v or b"")
+                paths.append(f"{folder}/{n}")
+            yield pa.record_batch({"path": pa.array(paths, pa.string())})
+
+    return cut(df.select(F.col(name).cast("string").alias("name"), F.col(data).cast("binary").alias("data")).mapInArrow(run, "path string"))
 
 
 def read_hashes(spark: SparkSession, path: str | list[str], long: bool = True, normalized: bool = False, strict: bool = False) -> DataFrame:

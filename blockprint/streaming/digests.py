@@ -14,7 +14,7 @@ from blockprint.functions import hashes
 from blockprint.functions.digests import digest, score
 from blockprint.functions.incremental import StreamDigest
 
-OUTPUT = "id string, n_bytes long, log_block_size int, bh1 string, bh2 string, complete boolean"
+OUTPUT = "id string, n_bytes long, log_block_size int, bh1 string, bh2 string, complete boolean, error string"
 STATE = "state binary, next long, held string, last long, told boolean"
 
 
@@ -25,24 +25,34 @@ def digest_records(stream: DataFrame, data: str, long: bool = False) -> DataFram
 
 def match_records(stream: DataFrame, known: DataFrame, data: str, id: str = "id", known_id: str = "id", known_digest: str = "digest", threshold: int = 1) -> DataFrame:
     """Matches of each record of a stream with a static table of digests: id, match, score. A match is found through
-    index keys, so a record meets a digest once for each key that they share; the best score of a pair is the same in all."""
+    index keys; of the keys that a record and a digest share the first one alone gives a row, so no state is needed to give
+    each pair once."""
+    keyed = lambda h: F.concat(hashes.index_keys(h), F.array(F.xxhash64(hashes.to_string(h))))
     keys = known.where(F.col(known_digest).isNotNull()).select(F.col(known_id).alias("match"), hashes.normalize(known_digest).alias("hb"))
-    keys = keys.select("match", "hb", F.explode(F.concat(hashes.index_keys("hb"), F.array(F.xxhash64(hashes.to_string("hb"))))).alias("k"))
+    keys = keys.withColumn("kb", keyed("hb")).select("match", "hb", "kb", F.explode("kb").alias("k"))
     rows = stream.select(F.col(id).alias("id"), hashes.normalize(digest(data)).alias("ha"))
-    rows = rows.select("id", "ha", F.explode(F.concat(hashes.index_keys("ha"), F.array(F.xxhash64(hashes.to_string("ha"))))).alias("k"))
-    return rows.join(keys, "k").select("id", "match", score("ha", "hb", normalized=True).alias("score")).where(F.col("score") >= threshold)
+    rows = rows.withColumn("ka", keyed("ha")).select("id", "ha", "ka", F.explode("ka").alias("k"))
+    met = rows.join(keys, "k").where(F.col("k") == F.array_intersect("ka", "kb")[0])
+    return met.select("id", "match", score("ha", "hb", normalized=True).alias("score")).where(F.col("score") >= threshold)
 
 
-def digest_chunks(stream: DataFrame, every_batch: bool = False, long: bool = False) -> DataFrame:
+def digest_chunks(stream: DataFrame, every_batch: bool = False, long: bool = False, keep_ms: int | None = None) -> DataFrame:
     """Digests of streams in rows (id, seq, chunk, is_last), seq from 0 on.
 
     Chunks that come early wait in the state until those before them have come; chunks whose seq has been used are
     dropped. A row goes out when the last chunk is used (append mode) or, with every_batch, for what has been used so far
-    after each batch that had chunks of the stream (update mode).
+    after each batch that had chunks of the stream (update mode). Of a complete stream some bytes are kept, so that late
+    chunks are known as such; with keep_ms they, and what is kept of streams to which nothing comes, go after that time. A
+    stream of more bytes than digests are for has an error and no digest.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         state, following, held, last, told = group.get if group.exists else (b"", 0, "{}", -1, False)
+        if told:
+            return
         out, waiting = StreamDigest.load(bytes(state)) if state else StreamDigest(), {int(k): v for k, v in json.loads(held).items()}
         for batch in batches:
             for seq, chunk, is_last in zip(batch["seq"], batch["chunk"], batch["is_last"], strict=True):
@@ -54,9 +64,12 @@ def digest_chunks(stream: DataFrame, every_batch: bool = False, long: bool = Fal
             out.update(bytes.fromhex(waiting.pop(following)))
             following += 1
         complete = last >= 0 and following > last
-        group.update((out.dump(), following, json.dumps(waiting), last, told or complete))
-        if every_batch or complete and not told:
-            yield pd.DataFrame([(key[0], out.size, *out.digest(long), complete)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        group.update((b"", following, "{}", last, True) if complete else (out.dump(), following, json.dumps(waiting), last, False))
+        if keep_ms is not None:
+            group.setTimeoutDuration(keep_ms)
+        if every_batch or complete:
+            h = (None, None, None) if out.error else out.digest(long)
+            yield pd.DataFrame([(key[0], out.size, *h, complete, out.error)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     rows = stream.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
-    return rows.groupBy("id").applyInPandasWithState(fold, OUTPUT, STATE, "update" if every_batch else "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("id").applyInPandasWithState(fold, OUTPUT, STATE, "update" if every_batch else "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from blockprint import api
 from blockprint.constants import ALPHABET
 from blockprint.functions import blocksize, digests, dual, hashes, plain
-from blockprint.queries import A64, PARSED
+from blockprint.queries import TEXTS
+
+A64 = ALPHABET[:32] * 2
 
 
 def one(spark, column, **values):
@@ -26,7 +28,7 @@ LONG_RUNS = [t + s for t, s in (("6:" + "0" * 8 + A64[3:] + ":", ""), ("6:" + A6
 @pytest.mark.parametrize("strict", [True, False])
 @pytest.mark.parametrize("long", [True, False])
 def test_parse_equals_plain(spark, normalized, strict, long):
-    texts = [p[0] for p in PARSED] + LONG_RUNS + ["3:aaX8v:aV", "3:é:", "é", ":", "3", "3:a\n:", "24576:cSahQzDAOUSGqluqLgJLyT4KgO+bBxB8tGRGdv:c275gJm8zFxfS"]
+    texts = random.Random(7).sample(TEXTS, 400) + LONG_RUNS + ["3:aaX8v:aV", "3:é:", "é", ":", "3", "3:a\n:", "24576:cSahQzDAOUSGqluqLgJLyT4KgO+bBxB8tGRGdv:c275gJm8zFxfS"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashes.parse("t", long, normalized, strict).alias("p")).collect()
     for t, p in rows:
         want = plain.parse(t, long, normalized, strict)
@@ -34,13 +36,6 @@ def test_parse_equals_plain(spark, normalized, strict, long):
         assert {k: got[k] for k in want} == want, t
 
 
-def test_parse_table():
-    for text, kind, origin, place in PARSED:
-        got = plain.parse(text, normalized=False)
-        error = got["error"] or {"kind": None, "origin": None, "offset": got["last_index"]}
-        assert (error["kind"], error["origin"], error["offset"]) == (kind, origin, place)
-
-
 def test_messages_and_names(spark):
     p = hashes.parse("t")
     assert one(spark, hashes.error_message(p["error"]), t="4::") == "error occurred while parsing a fuzzy hash (block size, at byte offset 0): block size is not valid"
@@ -136,3 +131,11 @@ def test_sql_functions(spark):
     assert r["d"].asDict() == {"log_block_size": 0, "bh1": "aaX8v", "bh2": "aV"}
     assert r["c"]["score"] == 100 and r["n"] == "3:AAA:" and r["p"]["error"]["kind"] == "BlockSizeIsInvalid" and r["w"] == 2
     assert spark.sql("SELECT count(*) FROM ctph_index('3:ABCDEFGH:')").first()[0] == 2
+
+
+def test_sizes_of_very_many_digits(spark):
+    from blockprint.functions import plain
+
+    text = "9" * 5000 + "::"
+    assert plain.parse(text)["error"]["kind"] == "BlockSizeIsTooLarge" and plain.compare(text, "3::")["side"] == "Left" and plain.index_keys(text) is None
+    assert spark.createDataFrame([(text,)], "t string").select(hashes.parse("t")["error"]["kind"]).first()[0] == "BlockSizeIsTooLarge"

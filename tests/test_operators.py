@@ -171,3 +171,37 @@ def test_large_files(spark, tmp_path):
     got = {r["length"]: r["digest"] for r in files.hash_large_files(paths, buffer=1000).collect()}
     want = spark.createDataFrame([(data,)], "d binary").select(digests.digest("d").alias("h")).first()["h"]
     assert got == {len(data): want, 0: got[0]} and tuple(got[0]) == (0, "", "")
+
+
+def test_inputs_that_are_too_large(spark, tmp_path, monkeypatch):
+    """A stream or file of more bytes than digests are for has an error; the others their digests."""
+    from blockprint.functions import incremental
+
+    state = incremental.StreamDigest()
+    state.update(b"abc")
+    state.size = (192 << 30) + 1
+    assert state.error == "InputSizeTooLarge"
+    with pytest.raises(ValueError):
+        state.digest()
+    monkeypatch.setattr(incremental, "MAX_INPUT_SIZE", 5000)
+    monkeypatch.setattr(chunks, "HELD_BYTES", 1000)
+    pieces = spark.createDataFrame([(i, k, b"abcdefg" * 100) for i in range(3) for k in range(4 * i + 1)] + [(9, 0, None), (8, 0, b"")], "id long, seq long, chunk binary").repartition(1)
+    out = chunks._in_order(pieces, "id", "seq", "chunk").count()
+    assert out == 1 + 5 + 9 + 2
+    names = files.write_files(spark.createDataFrame([("a", "text"), ("b", None)], "name string, data string"), f"file://{tmp_path}/f", "name", "data")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in files.hash_large_files(names).collect()}
+    assert got["b"]["length"] == 0 and got["a"]["length"] == 4 and got["a"]["error"] is None
+
+
+def test_chunks_of_long_streams(spark, monkeypatch):
+    """Streams that are longer than what is held go through a state, shorter ones through the kernel; both agree."""
+    monkeypatch.setattr(chunks, "HELD_BYTES", 300)
+    rng = random.Random(9)
+    texts = {i: bytes(rng.choice(b"abcdefgh") for _ in range(rng.choice([0, 10, 299, 1500, 6000]))) for i in range(20)}
+    pieces = [(i, k, t[a : a + 97] or None) for i, t in texts.items() for k, a in enumerate(range(0, len(t) + 1, 97))]
+    got = {r["id"]: r for r in chunks.digest_chunks(spark.createDataFrame(pieces, "id long, seq long, chunk binary"), "id", "seq", "chunk").collect()}
+    want = spark.createDataFrame(list(texts.items()), "id long, data binary").select("id", digests.digest("data").alias("h")).collect()
+    assert {i: tuple(r["digest"]) for i, r in got.items()} == {r["id"]: tuple(r["h"]) for r in want} and not any(r["error"] for r in got.values())
+    assert chunks.digest_chunks(spark.createDataFrame([], "id long, seq long, chunk binary"), "id", "seq", "chunk").count() == 0
+    ends = {r["id"]: r for r in chunks.prefix_digests(spark.createDataFrame(pieces, "id long, seq long, chunk binary"), "id", "seq", "chunk").collect() if r["n_bytes"] == len(texts[r["id"]])}
+    assert {i: tuple(r["digest"]) for i, r in ends.items()} == {r["id"]: tuple(r["h"]) for r in want}
