@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockprint.llm import bpe, jaccard, mixing, quality, suffixes
-from blockprint.llm.common import fresh_folder, text_key
+from blockprint.llm.common import fresh_folder, remove_folder, text_key
 from blockprint.llm.queries import table, tokenizer_path
 
 
@@ -60,9 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another. What a stage has written is deleted when the next one has; the last one's input stays,
+    as its result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = fresh_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
