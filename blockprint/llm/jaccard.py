@@ -42,8 +42,10 @@ from blockprint.operators.components import components
 SIZE, PERCENT = 5, 80
 #: Of a point's shingles, so many in a hundred are looked at beyond those that a link may lack.
 MARGIN_PERCENT = 10
-#: Shingles of a region that one task joins; larger regions are split over the cluster.
-REGION = 3_000_000
+#: Shingles and points of a region that one task joins; larger regions are split over the cluster.
+REGION, POINTS = 3_000_000, 10_000
+#: In a region, shingles that more than a DENSE-th of the points have are multiplied as a matrix, for BATCH pivots at once.
+DENSE, BATCH = 8, 64
 #: A shingle that so many documents of one piece of a task have may be frequent; at most so many are known to all tasks.
 OFTEN, MOST_FREQUENT = 4, 200_000
 PIVOTS, ROUNDS, PIVOT_BYTES = 24, 4, 48 << 20
@@ -168,16 +170,26 @@ class Region:
         # Shingles that the same points have (those of a shared passage) count as one of their number's weight.
         self.weight, stands_for = alike(self.posting, self.posting_at)
         lead = stands_for[shingle] == shingle
-        self.shingle = shingle[lead]
-        self.row_at = np.searchsorted(owner[lead], np.arange(len(sets) + 1))
+        # Shingles that many points have are columns of a matrix, the others lists of points.
+        long = np.diff(self.posting_at) > max(16, len(sets) // DENSE)
+        columns = np.cumsum(long & (stands_for == np.arange(len(values)))) - 1
+        some = lead & long[shingle]
+        self.dense = np.zeros((len(sets), int(columns[-1]) + 1 if len(columns) else 0), np.float32)
+        self.dense[owner[some], columns[shingle[some]]] = 1
+        self.weighted = self.dense * self.weight[long & (stands_for == np.arange(len(values)))].astype(np.float32)
+        some = lead & ~long[shingle]
+        self.shingle = shingle[some]
+        self.row_at = np.searchsorted(owner[some], np.arange(len(sets) + 1))
         self.label = np.arange(len(sets))
 
-    def distances(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """From point q to all: distance, and whether they link (in whole numbers)."""
+    def distances(self, q: int, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """From point q to all: distance, and whether they link (in whole numbers). dense: what the matrix gives for q."""
+        dense = self.dense @ self.weighted[q] if dense is None else dense
         mine = self.shingle[self.row_at[q] : self.row_at[q + 1]]
         a, b = self.posting_at[mine], self.posting_at[mine + 1]
         which, place = ragged_ranges(b - a)
         both = np.bincount(self.posting[a[which] + place], self.weight[mine][which], len(self.n)).astype(np.int64)
+        both += dense.astype(np.int64)
         both[q] = self.n[q]
         union = self.n[q] + self.n - both
         return 1 - both / union, 100 * both >= self.percent * union
@@ -192,13 +204,18 @@ class Region:
         done = np.zeros(len(self.n), bool)
         inside = np.zeros(len(self.n), bool)
         inside[members] = True
-        for q in members.tolist():
-            if done[q]:
-                continue
-            d, linked = self.distances(q)
-            self.link(q, linked & inside)
-            self.settle(q, d, members, done)
-            done[q] = True
+        at, size = 0, 1
+        while at < len(members):
+            some = members[at : at + size]
+            some = some[~done[some]]
+            at, size = at + size, min(2 * size, BATCH)
+            dense = self.weighted[some] @ self.dense.T
+            for q, row in zip(some.tolist(), dense, strict=True):
+                if not done[q]:
+                    d, linked = self.distances(q, row)
+                    self.link(q, linked & inside)
+                    self.settle(q, d, members, done)
+                    done[q] = True
 
     def settle(self, q: int, d: np.ndarray, members: np.ndarray, done: np.ndarray) -> None:
         """Marks the members of q's component that no member outside of it can reach."""
@@ -539,7 +556,7 @@ def split_group(rows: DataFrame, chosen: DataFrame, spark, percent: int, eps: fl
 def blocks(rows: DataFrame) -> DataFrame:
     """Regions that no pivots have split: every two of their blocks of points form a region, so all meet."""
     rows = rows.select("region", "x", "n", "set")
-    sizes = rows.groupBy(F.col("region").alias("_of")).agg(F.ceil(F.sum("n") * 2 / REGION).cast("int").alias("_k"))
+    sizes = rows.groupBy(F.col("region").alias("_of")).agg(F.ceil(F.greatest(F.sum("n") * 2 / REGION, F.count("*") * 2 / POINTS)).cast("int").alias("_k"))
     rows = rows.join(sizes, F.col("region") == F.col("_of")).withColumn("_i", F.pmod(F.xxhash64("x"), F.col("_k")))
     other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
     rows = rows.select("*", other.alias("_j"))
@@ -549,7 +566,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect every two classes that are linked."""
     members = memberships(pts, classes, percent)
-    large_names = cut(members.groupBy(F.col("p").alias("_p")).agg(F.sum("n").alias("_n")).where(F.col("_n") > REGION).select("_p"))
+    large_names = cut(members.groupBy(F.col("p").alias("_p")).agg(F.sum("n").alias("_n"), F.count("*").alias("_k")).where((F.col("_n") > REGION) | (F.col("_k") > POINTS)).select("_p"))
     at = F.col("p") == F.col("_p")
     found = [cut(region_links(region_rows(docs, members.join(large_names, at, "left_anti"), classes), percent))]
     # Few regions are large; what is known of them goes through files, as its size decides on the next round.
@@ -559,9 +576,9 @@ def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, percent: int) ->
             break
         some, left = split_round(large, percent)
         found.append(some)
-        sizes = cut(left.groupBy(F.col("region").alias("_r")).agg(F.sum("n").alias("_t")))
+        sizes = cut(left.groupBy(F.col("region").alias("_r")).agg(F.sum("n").alias("_t"), F.count("*").alias("_k")))
         left = left.join(sizes, F.col("region") == F.col("_r"))
-        fits = F.col("_t") <= REGION
+        fits = (F.col("_t") <= REGION) & (F.col("_k") <= POINTS)
         found.append(cut(region_links(left.where(fits), percent)))
         found.append(cut(region_links(blocks(left.where(~fits & F.col("whole"))), percent)))
         large = cut(left.where(~fits & ~F.col("whole")).select("region", "x", "n", "set"))
