@@ -142,9 +142,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def window_minima(units: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """The minimiser of each window of units, as a signed number (for Spark's longs)."""
-    return sliding_min(Ranges(units).every(gram), window - gram + 1).view(np.int64)
+def window_minima(units: np.ndarray, window: int, gram: int, double: bool = False) -> np.ndarray:
+    """The minimiser of each window of units, as a signed number (for Spark's longs). double: the minimisers by two orders of
+    the grams as one number, which windows that share a frequent gram only seldom have in common."""
+    grams = Ranges(units).every(gram)
+    out = sliding_min(grams, window - gram + 1)
+    if double:
+        out = joined(out, sliding_min(mixed(grams ^ U(0x5DEECE66D1234567)), window - gram + 1))
+    return out.view(np.int64)
 
 
 def ragged_ranges(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +212,7 @@ def comes_again(units: np.ndarray, window: int, most: int) -> np.ndarray:
 def values_of(docs: DataFrame, units: Callable, window: int, gram: int, within: bool) -> DataFrame:
     """doc_id, value, twice: the minimisers of each text's windows, each once. If within is asked for, twice tells
     whether the text may repeat a window with that minimiser: it has several runs of it, or a window comes again in a run;
-    and the text's key stands beside doc_id, as several texts may have one id.
+    and the text's key stands beside doc_id, as several texts may have one id; and minimisers are double ones.
     units: of bytes and bounds, 64-bit units and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +223,7 @@ def values_of(docs: DataFrame, units: Callable, window: int, gram: int, within:
                     continue
                 values, lengths = units(*bytes_and_bounds(column(part, "text")))
                 owner = np.repeat(np.arange(part.num_rows), lengths)
-                minima = window_minima(values, window, gram)
+                minima = window_minima(values, window, gram, within)
                 inside = windows_inside(lengths, window)[: len(minima)]
                 again = comes_again(values, window, window - gram)[inside] if within else np.zeros(int(inside.sum()), bool)
                 v, o = minima[inside], owner[: len(minima)][inside]

@@ -1,7 +1,8 @@
 """Repeated word windows, counted in super-k-mer buckets.
 
 A window is WINDOW consecutive words of a document. Consecutive windows with one minimiser travel as one packed string
-(the stretch of text that they cover) to the bucket of that minimiser, where the windows are sorted and counted. Every
+(the stretch of text that they cover) to the bucket of that minimiser, where the windows are sorted and counted. Minimisers
+are the least grams by two orders, so windows at the border of a frequent passage do not all meet in its bucket. Every
 window of which the corpus has two or more is repeated; a document loses the words that such windows cover.
 
 Before strings travel, (a) minimisers that occur once are dropped, (b) texts that occur twice are represented by one, and
@@ -58,7 +59,7 @@ def packed_runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 data, bounds = bytes_and_bounds(column(part, "text"))
                 starts, ends, lengths = words_of(data, bounds)
                 words = word_hashes(data, starts, ends)
-                minima = window_minima(words, window, gram)
+                minima = window_minima(words, window, gram, double=True)
                 owner = np.repeat(np.arange(part.num_rows), lengths)
                 at = np.flatnonzero(windows_inside(lengths, window)[: len(minima)])
                 at = at[is_in(minima[at], owner[at], column(part, "values"))]
