@@ -8,7 +8,8 @@ and the ids. Beside each file stands an index: for each record its offset, for r
 Records stand in ascending order of doc_id (null first; repeated rows side by side) across files, which are numbered. A
 task writes under a name of its own and reports it; only reported files count, so a task that is run again does no harm.
 Files are written and read through pyarrow's file systems, below the folder given as a URI. Null texts are empty; a
-document without ids is a record with the end id alone.
+document without ids is a record with the end id alone; texts of any length are one record. An empty table gives no files
+and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
