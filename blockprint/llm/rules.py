@@ -13,7 +13,7 @@ and counts it as a continuation of its last n - 1 words and a successor of its f
 level sums. Answers lie in a file for each partition of the scan, in the shared folder; the text itself is never shuffled.
 If partitions are not what they were when their answers were made (Spark may plan a scan anew after it lost executors),
 tasks notice by the sums of their hashes, and the job starts again over a copy of the texts that is fixed. Hashes have
-MARGIN_BITS more than the logarithm of the corpus' bytes, so some 2**-12 of the n-grams count for another one.
+MARGIN_BITS more than the logarithm of the corpus' bytes, so some 2**-10 of the n-grams count for another one.
 
 A document's bits a word must lie in its language's band: the quartiles (in steps of 1 / STEPS bit) of all of the language's
 documents that pass the counting rules, moved out by BELOW and ABOVE times their distance from the median. Nulls: a null text
@@ -23,6 +23,7 @@ empty results.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -46,7 +47,7 @@ SYMBOLS = "#*$%&|<>"
 BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 256
 #: Bytes of text in a block, and of counted text for each bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-MARGIN_BITS = 10
+MARGIN_BITS = 8
 BORDER = np.uint64(0x5851F42D4C957F2D)  # the unit before a text's first word and after its last
 BORDER_BITS = 8.0
 START = 10  # texts begin as if after line feeds
@@ -310,27 +311,43 @@ class Grams:
 SHARES = (3, 3, 2)
 
 
-def wide(c: np.ndarray) -> bytes:
-    """Numbers by bytes, each as wide as the greatest."""
+def plane(raw: bytes) -> bytes:
+    """Bytes of one kind, compressed by themselves if that makes them fewer: size, stored size, bytes."""
+    small = pa.compress(raw, "zstd", asbytes=True) if len(raw) > 32 else raw
+    return struct.pack("<II", len(raw), min(len(small), len(raw))) + (small if len(small) < len(raw) else raw)
+
+
+def planes(data: bytes) -> Iterator[np.ndarray]:
+    at = 0
+    while at < len(data):
+        size, stored = struct.unpack_from("<II", data, at)
+        raw = data[at + 8 : at + 8 + stored]
+        at += 8 + stored
+        yield np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True) if stored < size else raw, np.uint8)
+
+
+def wide(c: np.ndarray) -> list[bytes]:
+    """Numbers by bytes: how many bytes they need, and a plane for each."""
     width = max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1
-    return np.array([len(c)], "<u4").tobytes() + bytes([width]) + np.ascontiguousarray(c.astype(U).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    parts = np.ascontiguousarray(c.astype(U).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return [plane(bytes([width])), *(plane(x.tobytes()) for x in parts)]
 
 
-def narrow(raw: bytes, at: int) -> tuple[np.ndarray, int]:
-    """The numbers that wide() has written at a place, and where they end."""
-    size, width = int.from_bytes(raw[at : at + 4], "little"), raw[at + 4]
-    out = np.zeros((size, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, width * size, at + 5).reshape(width, size).T
-    return out.view("<u8").ravel(), at + 5 + width * size
+def narrow(rest: Iterator[np.ndarray]) -> np.ndarray:
+    parts = [next(rest) for _ in range(int(next(rest)[0]))]
+    out = np.zeros((len(parts[0]), 8), np.uint8)
+    for k, x in enumerate(parts):
+        out[:, k] = x
+    return out.view("<u8").ravel()
 
 
 def packed(columns: list[np.ndarray], sorted_first: bool) -> bytes:
     """Columns of numbers, most of which are small, compressed; of a sorted first one the differences."""
     out = []
     if sorted_first:
-        out.append(wide(np.diff(columns[0].astype(U), prepend=U(0))))
+        out += wide(np.diff(columns[0].astype(U), prepend=U(0)))
         columns = columns[1:]
-    out.append(np.array([len(columns), len(columns[0])], "<u4").tobytes())
+    out.append(plane(bytes([len(columns)])))
     large = []
     for k in range(0, len(columns), 3):
         byte, shift = np.zeros(len(columns[0]), np.uint8), 0
@@ -339,25 +356,19 @@ def packed(columns: list[np.ndarray], sorted_first: bool) -> bytes:
             byte |= (np.minimum(c, most) << shift).astype(np.uint8)
             large.append(c[c >= most])
             shift += n_bits
-        out.append(byte.tobytes())
-    raw = b"".join([*out, wide(np.concatenate(large))])
-    return np.array([len(raw)], "<u4").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+        out.append(plane(byte.tobytes()))
+    return b"".join([*out, *wide(np.concatenate(large))])
 
 
 def unpacked(data: bytes, sorted_first: bool) -> list[np.ndarray]:
-    raw = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
-    out, at = [], 0
-    if sorted_first:
-        first, at = narrow(raw, 0)
-        out.append(np.cumsum(first, dtype=U))
-    n, size = np.frombuffer(raw, "<u4", 2, at).tolist()
-    at += 8
-    large, _ = narrow(raw, at + size * -(-n // 3))
-    used = 0
-    for k in range(0, n, 3):
-        byte, shift = np.frombuffer(raw, np.uint8, size, at), 0
-        at += size
-        for n_bits in SHARES[: n - k]:
+    rest = planes(data)
+    out = [np.cumsum(narrow(rest), dtype=U)] if sorted_first else []
+    n = int(next(rest)[0])
+    bytes_ = [next(rest) for _ in range(-(-n // 3))]
+    large, used = narrow(rest), 0
+    for k, byte in enumerate(bytes_):
+        shift = 0
+        for n_bits in SHARES[: n - 3 * k]:
             most = (1 << n_bits) - 1
             c = ((byte >> shift) & most).astype(np.int64)
             over = np.flatnonzero(c == most)
