@@ -46,7 +46,7 @@ SYMBOLS = "#*$%&|<>"
 #: bits a word). It reaches further down, as near copies of other texts have few bits and are not worse for that.
 BELOW, ABOVE, LEAST_REACH, STEPS = 10.0, 6.0, 1.0, 256
 #: Bytes of text in a block, and of counted text for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 MARGIN_BITS = 8
 BORDER = np.uint64(0x5851F42D4C957F2D)  # the unit before a text's first word and after its last
 BORDER_BITS = 8.0
