@@ -220,6 +220,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(documents(spark, []), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("start", range(0, 0x20000, 0x8000))
+def test_encoders_equal_the_library_on_all_characters(start):
+    """Every code point but surrogates, between letters, digits, marks and spaces, by both encoders."""
+    points = [c for c in range(start, start + 0x8000) if not 0xD800 <= c < 0xE000]
+    values = ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}2{chr(c)}{chr(c)}.{chr(c)}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    ids, _ = library_ids(values)
+    prefix, library = bpe.PrefixBpe(tokenizer_path(), cache=1000), records.library_encoder(tokenizer_path(), 0)
+    for text, want in zip(values, ids, strict=True):
+        assert np.frombuffer(prefix.encode(text), "<u4").tolist() == want
+        assert library(text).tolist() == [*want, 0]
+
+
 def test_last_tokens_are_unique():
     model = bpe.PrefixBpe(tokenizer_path(), cache=10)
     ids, _ = library_ids([" antidisestablishmentarianism"])
