@@ -245,12 +245,15 @@ class Region:
         for q, x in zip(pivots.tolist(), every, strict=True):
             self.settle(q, x, members, done)
         done[pivots] = True
+        # Points that are done need not be compared with each other, and reach nothing outside their component.
         open_ = ~done[members]
-        for cell in cells(d, self.eps):
-            # Points that are done need not be compared with each other, and reach nothing outside their component.
-            part = members[cell & open_]
-            if len(part) > 1:
-                self.sweep(part) if len(part) > 0.8 * len(members) else self.join(part, depth + 1)
+        parts = [part for cell in cells(d, self.eps) if len(part := members[cell & open_]) > 1]
+        # A sweep takes a step for each point at most; cells that copy points to more than these would multiply steps at every depth.
+        if sum(map(len, parts)) > open_.sum():
+            self.sweep(members[open_])
+            return
+        for part in parts:
+            self.join(part, depth + 1)
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         self.join(np.arange(len(self.n)))

@@ -788,3 +788,26 @@ def test_repeated_rows_of_a_mix(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", *NULLS)] * 5 + [(2, "d", "t", *NULLS)], "doc_id long, text string, source string" + EXTRA)
     out = mixing.mixed_documents(docs).collect()
     assert len(out) == 6 and mixing.mixture(docs).count() == sum(r["repeats"] for r in out)
+
+
+def test_jaccard_region_takes_a_step_a_point(monkeypatch):
+    """Near copies that are at all distances from each other: cells hold most of the points, again in their cells."""
+    rng, sets, steps = np.random.default_rng(3), [], []
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    for share in rng.uniform(0.05, 0.5, 700):
+        own, n = base.copy(), int(share * len(base))
+        own[rng.choice(len(base), n, replace=False)] = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        sets.append(np.unique(own))
+    plain = jaccard.Region.distances
+    monkeypatch.setattr(jaccard.Region, "distances", lambda self, *args: steps.append(1) or plain(self, *args))
+    region = jaccard.Region(np.arange(len(sets)), sets, 80)
+    region.links()
+    has = np.stack([np.isin(base, s) for s in sets]).astype(np.int64)
+    both, n = has @ has.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (n[:, None] + n - both)
+    np.fill_diagonal(linked, True)  # a point's own shingles are not all of the base
+    label = np.arange(len(sets))
+    while (least := np.where(linked, label, len(sets)).min(axis=1)).tolist() != label.tolist():
+        label = least
+    assert len(set(zip(region.label.tolist(), label.tolist(), strict=True))) == len(set(region.label.tolist())) == len(set(label.tolist())) < len(sets)
+    assert len(steps) <= len(sets) + 16
