@@ -2,11 +2,11 @@
 
 A document loses every byte that lies in a string of LENGTH bytes which also starts in a document with a smaller doc_id.
 Stretches of text that may hold such strings (documents share their minimisers) are dealt to shards by minimiser, so equal
-strings meet. A shard sorts the suffixes of its stretches by Larsson and Sadakane's refinement: ranks by the first h bytes
+strings meet. A shard sorts the suffixes of those stretches that share the hash of a string with another document's, by Larsson and Sadakane's refinement: ranks by the first h bytes
 give, as pairs, ranks by 2h, and only groups that still have several suffixes are sorted again. Kasai's walk through the
 text gives the common prefixes of neighbours; between neighbours that share LENGTH bytes or more the smallest doc_id owns
 the string. If a minimiser fills more than one shard, the strings of the earlier shards are kept in sorted order, and
-those of the next one are found among them by binary search.
+those of the next one are found among them by binary search and put between them.
 
 Before stretches travel, (a) minimisers of one document are dropped, (b) texts that occur twice are represented by their
 first document, and (c) of the strings that a piece of a task has in several documents only those of the first one travel, so that
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockprint.llm.common import bytes_and_bounds, column, cut, pieces, shuffle_partitions, text_key
-from blockprint.llm.minimisers import BYTE_VALUES, Ranges, copies, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
+from blockprint.llm.minimisers import BYTE_VALUES, Ranges, U, copies, is_in, neighbours, ragged_ranges, runs, window_minima, windows_inside, with_shared_values
 
 LENGTH, GRAM, SHARD = 50, 20, 2 << 20
 #: Stretches that a task remembers to have sent.
@@ -86,7 +86,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
     """For each place of order but the first, how many bytes (`most` at most) its suffix shares with the one before.
 
     Kasai's walk: from one suffix to the next in the text the shared length drops by one at most. Stretches of LANE
-    suffixes walk side by side.
+    suffixes walk side by side, eight bytes at a time.
     """
     n = len(data)
     out = np.zeros(n, np.int64)
@@ -94,6 +94,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
         return out
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     lanes = -(-n // LANE)
     h = np.zeros(lanes, np.int64)
     start = np.arange(lanes) * LANE
@@ -104,14 +107,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
             if not len(i):
                 break
         j = before[i]
+        limit = np.minimum(most, n - np.maximum(i, j))
         h = np.where(j < 0, 0, np.maximum(h - 1, 0))
-        active = np.flatnonzero(j >= 0)
+        active = np.flatnonzero((j >= 0) & (h < limit))
         while len(active):
-            a, b = i[active] + h[active], j[active] + h[active]
-            ok = (h[active] < most) & (a < n) & (b < n)
-            ok[ok] = data[a[ok]] == data[b[ok]]
-            active = active[ok]
-            h[active] += 1
+            unlike = eights[i[active] + h[active]] ^ eights[j[active] + h[active]]
+            same = np.bitwise_count((unlike & -unlike) - U(1)).astype(np.int64) >> 3  # of these eight bytes
+            h[active] = np.minimum(h[active] + same, limit[active])
+            active = active[(same == 8) & (h[active] < limit[active])]
         out[rank[i]] = h
     return out
 
@@ -235,6 +238,7 @@ class Shards:
         a, b = runs(values[unlike])
         several = np.repeat(b - a > 1, b - a) | (values[unlike] == values[-1]) | (values[unlike] == (self.value if self.value is not None else values[-1]))
         rows = np.flatnonzero(np.isin(of, unlike[several]) & ~whole)
+        rows = self.may_share(rows, values, ids, n, stretches)
         gone = [(np.flatnonzero(whole), starts[whole].astype(np.int64), n[whole])]
         if len(rows):
             gone.append(self.sort(rows, values, ids, starts, n, stretches))
@@ -243,11 +247,36 @@ class Shards:
             return None
         return pa.record_batch([pa.array(ids[who]), pa.array(keys[who]), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc_id", "key", "start", "n"])
 
+    def joined(self, rows: np.ndarray, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The stretches of these rows one after another, each with BETWEEN behind it, and their sizes with that."""
+        between = bytes([BETWEEN])
+        data = np.frombuffer(between.join([stretches[i] for i in rows.tolist()]) + between, np.uint8)
+        return data, np.array([len(stretches[i]) for i in rows.tolist()]) + 1
+
+    def may_share(self, rows: np.ndarray, values: np.ndarray, ids: np.ndarray, n: np.ndarray, stretches: list[bytes]) -> np.ndarray:
+        """Of these rows, those that have a string whose hash a row of another document has too, and all rows of values
+        that other shards may have. Strings that are equal have one hash, so what is left out has none to be found; in
+        large tables most stretches of a minimiser have only that in common, and sorting them is most of the work."""
+        open_value = (values[rows] == values[-1]) | (values[rows] == (self.value if self.value is not None else values[-1]))
+        some = rows[~open_value]
+        if not len(some):
+            return rows
+        data, sizes = self.joined(some, stretches)
+        of, place = ragged_ranges(sizes)
+        at = np.flatnonzero(place < n[some][of])
+        hashes, row = Ranges(BYTE_VALUES[data])(at, at + self.length), of[at]
+        order = np.argsort(hashes)
+        first, last = runs(hashes[order])
+        doc = ids[some][row[order]]
+        shared = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), last - first)
+        keep = np.zeros(len(some), bool)
+        keep[row[order[shared]]] = True
+        return np.sort(np.concatenate([some[keep], rows[open_value]]))
+
     def sort(self, rows: np.ndarray, values: np.ndarray, ids: np.ndarray, starts: np.ndarray, n: np.ndarray, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of these rows, the runs of strings that a smaller document has: row, start, number."""
-        length, between = self.length, bytes([BETWEEN])
-        data = np.frombuffer(between.join([stretches[i] for i in rows.tolist()]) + between, np.uint8)
-        sizes = np.array([len(stretches[i]) for i in rows.tolist()]) + 1
+        length = self.length
+        data, sizes = self.joined(rows, stretches)
         begin = np.cumsum(sizes) - sizes
         of, place = ragged_ranges(sizes)
         order, group, least = owners(data, place < n[rows][of], ids[rows][of], length)
@@ -256,16 +285,15 @@ class Shards:
         value = values[rows][of[order[first]]]
         if self.value is not None and len(self.strings) and (mine := np.flatnonzero(value == self.value)).size:
             strings = np.ascontiguousarray(text[mine]).view(f"S{length}").ravel()
-            where = np.minimum(np.searchsorted(self.strings, strings), len(self.strings) - 1)
+            place = np.searchsorted(self.strings, strings)
+            where = np.minimum(place, len(self.strings) - 1)
             known = self.strings[where] == strings
             least[mine] = np.where(known, np.minimum(least[mine], self.least[where]), least[mine])
-        last = value == values[-1]
-        strings, owned = np.ascontiguousarray(text[last]).view(f"S{length}").ravel(), least[last]
-        if self.value == values[-1] and len(self.strings):
-            new = ~np.isin(strings, self.strings)
-            strings, owned = np.concatenate([self.strings, strings[new]]), np.concatenate([self.least, owned[new]])
-        by = np.argsort(strings, kind="stable")
-        self.strings, self.least, self.value = strings[by], owned[by], int(values[-1])
+            if self.value == values[-1]:  # sorted strings go between sorted ones, those that were there keep their owners
+                self.strings, self.least = np.insert(self.strings, place[~known], strings[~known]), np.insert(self.least, place[~known], least[mine][~known])
+        if self.value != values[-1] or not len(self.strings):
+            last = value == values[-1]
+            self.strings, self.least, self.value = np.ascontiguousarray(text[last]).view(f"S{length}").ravel(), least[last], int(values[-1])
         w = np.sort(order[ids[rows][of[order]] > least[group]])
         a, b = runs(w - np.arange(len(w)), of[w])
         w, count = w[a], b - a

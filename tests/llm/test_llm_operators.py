@@ -811,3 +811,30 @@ def test_jaccard_region_takes_a_step_a_point(monkeypatch):
         label = least
     assert len(set(zip(region.label.tolist(), label.tolist(), strict=True))) == len(set(region.label.tolist())) == len(set(label.tolist())) < len(sets)
     assert len(steps) <= len(sets) + 16
+
+
+def test_shards_sort_only_what_may_be_shared(monkeypatch):
+    """Stretches that have only a minimiser in common are not sorted, and the strings of earlier shards not again."""
+    rng, length, sizes, again = random.Random(9), 50, [], []
+    noise = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    gram, common, passage = noise(20), noise(60), noise(55)
+    closed = [(v, v * 100 + i, noise(30) + gram + noise(30)) for v in range(10) for i in range(40)]
+    closed += [(3, 390 + i, noise(20) + common + noise(20)) for i in range(2)]
+    held = [(99, 2000 + i, noise(25) + passage + noise(25)) for i in range(200)]
+    shards = suffixes.Shards(length)
+    plain, argsort = suffixes.suffix_array, np.argsort
+    monkeypatch.setattr(suffixes, "suffix_array", lambda d: sizes.append(len(d)) or plain(d))
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: again.extend([len(a)] * (a.dtype.kind == "S")) or argsort(a, *args, **more))
+    taken = set()
+    for part in (sorted(closed) + held[:40], held[40:80], held[80:120], held[120:160], held[160:]):
+        value, doc, data = zip(*part, strict=True)
+        table = pa.table({"value": pa.array(value, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "key": pa.array(doc, pa.int64()), "start": pa.array([0] * len(part), pa.int32()), "n": pa.array([len(s) - length + 1 for s in data], pa.int32()), "bytes": pa.array(data, pa.binary())})
+        if (out := shards.add(table)) is not None:
+            taken |= {(r["doc_id"], r["start"] + i) for r in out.to_pylist() for i in range(r["n"])}
+    least: dict[bytes, int] = {}
+    places = [(d, i, s[i : i + length]) for _, d, s in closed + held for i in range(len(s) - length + 1)]
+    for d, _, s in places:
+        least[s] = min(least.get(s, d), d)
+    assert taken == {(d, i) for d, i, s in places if least[s] < d} and len(taken) >= 11 + 6 * 199
+    assert shards.strings.tolist() == sorted({s for d, _, s in places if d >= 2000}) and shards.least.tolist() == [least[s] for s in shards.strings.tolist()]
+    assert sizes[0] <= sum(len(s) + 1 for s in [x[2] for x in closed[-2:] + held[:40]]) + 1 and not again
