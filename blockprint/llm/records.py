@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockprint.llm.bpe import CACHE, PreTokens, byte_of_char, vocabulary
+from blockprint.llm.bpe import PreTokens, byte_of_char, vocabulary
 from blockprint.llm.common import column, cut, shuffle_partitions
 
 #: Fixed values of the record format: the polynomial of CRC-32C (reflected), and the mask's rotation and constant.
 POLYNOMIAL, ROTATION, MASK = 0x82F63B78, 15, 0xA282EAD8
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qB")
+#: Pre-tokens whose ids a worker keeps, in each of two generations (some 100 bytes each); the library's model is slow to ask.
+CACHE = 480_000
 #: Bytes whose CRCs numpy takes side by side.
 LANES = 256
 

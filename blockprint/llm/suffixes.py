@@ -2,9 +2,9 @@
 
 A document loses every byte that lies in a string of LENGTH bytes which also starts in a document with a smaller doc_id.
 Stretches of text that may hold such strings (documents share their minimisers) are dealt to shards by minimiser, so equal
-strings meet. A shard sorts the suffixes of those stretches that share the hash of a string with another document's, by Larsson and Sadakane's refinement: ranks by the first h bytes
-give, as pairs, ranks by 2h, and only groups that still have several suffixes are sorted again. Kasai's walk through the
-text gives the common prefixes of neighbours; between neighbours that share LENGTH bytes or more the smallest doc_id owns
+strings meet. A shard sorts the suffixes of those stretches that share the hash of a string with another document's, by Larsson
+and Sadakane's refinement: ranks by the first h bytes give, as pairs, ranks by 2h, and only groups that still have several
+suffixes are sorted again. Kasai's walk through the text gives the common prefixes of neighbours; between neighbours that share LENGTH bytes or more the smallest doc_id owns
 the string. If a minimiser fills more than one shard, the strings of the earlier shards are kept in sorted order, and
 those of the next one are found among them by binary search and put between them.
 

@@ -838,3 +838,14 @@ def test_shards_sort_only_what_may_be_shared(monkeypatch):
     assert taken == {(d, i) for d, i, s in places if least[s] < d} and len(taken) >= 11 + 6 * 199
     assert shards.strings.tolist() == sorted({s for d, _, s in places if d >= 2000}) and shards.least.tolist() == [least[s] for s in shards.strings.tolist()]
     assert sizes[0] <= sum(len(s) + 1 for s in [x[2] for x in closed[-2:] + held[:40]]) + 1 and not again
+
+
+def test_library_is_asked_once_for_each_pre_token(monkeypatch):
+    asked = []
+    encoder = records.LibraryEncoder(tokenizer_path(), 0)
+    monkeypatch.setattr(encoder.plain.pieces, "encode", lambda w: asked.append(w) or b"\0\0\0\0")
+    letters = "abcdefghij"
+    for _ in range(2):
+        for i in range(0, 400_000, 1000):
+            encoder("".join(" " + "".join(letters[int(c)] for c in str(j)) for j in range(i, i + 1000)))
+    assert len(asked) == len(set(asked)) == 400_000
