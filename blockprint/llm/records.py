@@ -35,7 +35,7 @@ from blockprint.llm.common import column, cut, shuffle_partitions
 POLYNOMIAL, ROTATION, MASK = 0x82F63B78, 15, 0xA282EAD8
 HEAD = struct.Struct("<QI")
 BODY = struct.Struct("<qB")
-#: Pre-tokens whose ids a worker keeps, in each of two generations (some 100 bytes each); the library's model is slow to ask.
+#: Pre-tokens whose ids a worker keeps, in each of two generations; the library's model is slow to ask.
 CACHE = 480_000
 #: Bytes whose CRCs numpy takes side by side.
 LANES = 256
