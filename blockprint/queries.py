@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of a table as a stream. A table is a file or a folder of files; a stream takes either by a pattern only, as a
+    plain path must be a folder and a filter of names is asked of the files inside it."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its scan has fewer partitions than there are (a small file of one row group); tables of many
     files stay as they are."""
@@ -164,7 +170,7 @@ def streamed_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a record of a stream that is read to its end."""
     from blockprint.streaming.digests import digest_records
 
-    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = streamed_table(spark, sf_dir, "documents")
     out = digest_records(stream, "text").select(F.col("doc_id").cast("string").alias("id"), hashes.to_string("digest").alias("digest"))
     folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
@@ -582,7 +588,7 @@ def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{shared_folder(spark)}/matches-{uuid.uuid4().hex}"
     known = cut(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), digests.digest("text").alias("digest")))
-    stream = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = streamed_table(spark, sf_dir, "documents")
     out = match_records(stream, known, "text", "doc_id")
     out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows").select(F.col("id").alias("doc_id"), F.col("match").alias("item_id"), "score")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from blockprint.functions import hashes
 from blockprint.functions.digests import digest, score
 from blockprint.functions.incremental import StreamDigest
+from blockprint.operators.joins import FEW_QUERIES
 
 OUTPUT = "id string, n_bytes long, log_block_size int, bh1 string, bh2 string, complete boolean, error string"
 STATE = "state binary, next long, held string, last long, told boolean"
@@ -26,13 +27,13 @@ def digest_records(stream: DataFrame, data: str, long: bool = False) -> DataFram
 def match_records(stream: DataFrame, known: DataFrame, data: str, id: str = "id", known_id: str = "id", known_digest: str = "digest", threshold: int = 1) -> DataFrame:
     """Matches of each record of a stream with a static table of digests: id, match, score. A match is found through
     index keys; of the keys that a record and a digest share the first one alone gives a row, so no state is needed to give
-    each pair once."""
+    each pair once. Rows carry a digest to its keys, not all its keys to each; the keys of few known digests go to all tasks."""
     keyed = lambda h: F.concat(hashes.index_keys(h), F.array(F.xxhash64(hashes.to_string(h))))
     keys = known.where(F.col(known_digest).isNotNull()).select(F.col(known_id).alias("match"), hashes.normalize(known_digest).alias("hb"))
-    keys = keys.withColumn("kb", keyed("hb")).select("match", "hb", "kb", F.explode("kb").alias("k"))
+    keys = keys.select("match", "hb", F.explode(keyed("hb")).alias("k"))
+    keys = F.broadcast(keys) if known.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else keys
     rows = stream.select(F.col(id).alias("id"), hashes.normalize(digest(data)).alias("ha"))
-    rows = rows.withColumn("ka", keyed("ha")).select("id", "ha", "ka", F.explode("ka").alias("k"))
-    met = rows.join(keys, "k").where(F.col("k") == F.array_intersect("ka", "kb")[0])
+    met = rows.select("id", "ha", F.explode(keyed("ha")).alias("k")).join(keys, "k").where(F.col("k") == F.array_intersect(keyed("ha"), keyed("hb"))[0])
     return met.select("id", "match", score("ha", "hb", normalized=True).alias("score")).where(F.col("score") >= threshold)
 
 

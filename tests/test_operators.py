@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from blockprint import queries
 from blockprint.functions import digests, hashes
 from blockprint.operators import chunks, joins, sets
 from blockprint.operators.components import components
@@ -154,6 +155,18 @@ def test_stream_meets_table(spark, tmp_path, corpus):
     assert got == want
 
 
+def test_streams_of_tables_in_folders(spark, tmp_path, corpus):
+    """A table may be a folder of files."""
+    folder = str(tmp_path)
+    docs = corpus.where("text is not null").select(F.col("id").alias("doc_id"), "text")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    corpus.where("id in (0, 5)").select(F.col("id").alias("item_id"), "text").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    want = {(r["doc_id"], r["item_id"], r["score"]) for r in queries.benchmark_overlap(spark, folder).collect()}
+    assert {tuple(r) for r in queries.streamed_matches(spark, folder).collect()} == want and len(want) > 2
+    got = {int(r["id"]): r["digest"] for r in queries.streamed_digest(spark, folder).collect()}
+    assert got == {r["id"]: r["d"] for r in corpus.where("text is not null").select("id", hashes.to_string("digest").alias("d")).collect()}
+
+
 def test_sets(spark):
     read = lambda *texts: spark.createDataFrame([(t,) for t in texts], "t string").select(hashes.parse("t", normalized=False)["hash"].alias("digest"))
     a, b = read("3:AAAAA:", "3:AAA:", "6:b:c", None), read("3:AAAA:", "12::")
