@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from blockprint.constants import FULL_SIZE, GENERATOR_ERRORS, HALF_SIZE, MAX_INPUT_SIZE
+from blockprint.constants import ALPHABET, FULL_SIZE, GENERATOR_ERRORS, HALF_SIZE, MAX_INPUT_SIZE
 from blockprint.functions import hashes, kernels
 from blockprint.functions.blocksize import col
 from blockprint.functions.hashes import HASH
@@ -143,6 +143,11 @@ def edit_distance_native(a: Column | str, b: Column | str) -> Column:
     return F.size(x) + F.size(y) - 2 * F.element_at(last, -1)
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it; inside a loop it would be computed in every step."""
+    return F.transform(F.array(value), f)[0]
+
+
 def has_common_substring(a: Column | str, b: Column | str) -> Column:
     """Whether two block hashes share seven characters in a row."""
     return F.arrays_overlap(hashes.windows(a), hashes.windows(b))
@@ -173,10 +178,19 @@ def is_candidate(a: Column | str, b: Column | str) -> Column:
 
 
 def position_array(bh: Column | str) -> Column:
-    """For each of the 64 characters its places in a block hash, as the bits of a long."""
-    x = hashes.codes(bh)
-    bits = lambda c: F.aggregate(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.try_element_at(x, i) == c), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), bits)
+    """For each of the 64 characters its places in a block hash, as the bits of a long.
+
+    The places whose code has bit k are one number, read from the block hash with its characters replaced by 0 and 1. Six
+    steps then part the places of all characters by their codes' bits, the highest first."""
+    places = F.reverse(F.regexp_replace(F.substring(F.coalesce(col(bh), F.lit("")), 1, FULL_SIZE), "[^A-Za-z0-9+/]", "-"))
+    digits = lambda f: "".join("01"[f(c)] for c in range(FULL_SIZE)) + "0"
+    number = lambda f: F.conv(F.concat(F.lit("0"), F.translate(places, ALPHABET + "-", digits(f))), 2, -10).cast("long")
+    planes = [number(lambda c, k=k: c >> k & 1).alias(f"p{k}") for k in range(6)]
+
+    def part(bits: Column, q: Column) -> Column:
+        return F.flatten(F.transform(bits, lambda x: F.array(x.bitwiseAND(F.bitwise_not(q)), x.bitwiseAND(q))))
+
+    return _once(F.struct(number(lambda c: 1).alias("all"), *planes), lambda p: functools.reduce(part, [p[f"p{k}"] for k in range(5, -1, -1)], F.array(p["all"])))
 
 
 def compare(a: Column | str, b: Column | str, strict: bool = False) -> Column:
