@@ -111,6 +111,20 @@ def test_relational_digest(corpus, spark):
         assert rows(got) == rows(corpus.where("text is not null").select("id", hashes.to_string(digests.digest("text", long))))
 
 
+def test_relational_digest_of_odd_bytes(spark):
+    """Steps of bytes that end in pieces, bytes of all values, zeros and null; no row of single bytes is shuffled."""
+    rng = random.Random(6)
+    data = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 6, 7, 4095, 4096, 4097, 9000)]
+    data += [bytes(5000), b"\xff" * 300, b"ab" * 3000 + bytes(7), b"ab" * 3000 + bytes(6), bytes(3) + b"abc" * 900]
+    rows = spark.createDataFrame([*enumerate(map(bytearray, data)), (99, None)], "id int, data binary")
+    for long in (False, True):
+        got = spark.sql(digest_sql(SPARK, "{rows}", "id", "data", long), rows=rows)
+        want = {r["id"]: r["d"] or "3::" for r in rows.select("id", hashes.to_string(digests.digest("data", long)).alias("d")).collect()}
+        assert {r["id"]: f"{3 << r['log_block_size']}:{r['bh1']}:{r['bh2']}" for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Python" not in plan
+
+
 def test_chunks(corpus, spark):
     cut = [(r["id"], i, r["text"][i * 70 : i * 70 + 70].encode()) for r in corpus.where("text is not null").collect() for i in range(len(r["text"]) // 70 + 1)]
     random.Random(2).shuffle(cut)
