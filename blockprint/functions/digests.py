@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,22 @@ from blockprint.functions.hashes import HASH
 PASS_BYTES = 1 << 20
 
 
-def digest_array(values: pa.Array, truncate: bool) -> pa.Array:
-    raw, out, some, size = values.to_pylist(), [], [], 0
-    for v in raw:
+def passes(values: list[bytes | None]) -> Iterator[list[bytes]]:
+    """The values in runs of some PASS_BYTES; nulls are empty."""
+    some, size = [], 0
+    for v in values:
         some.append(v or b"")
         size += len(some[-1])
         if size > PASS_BYTES:
-            out += kernels.digests(some, truncate)
+            yield some
             some, size = [], 0
-    out += kernels.digests(some, truncate) if some else []
+    if some:
+        yield some
+
+
+def digest_array(values: pa.Array, truncate: bool) -> pa.Array:
+    raw = values.to_pylist()
+    out = [d for some in passes(raw) for d in kernels.digests(some, truncate)]
     mask = pa.array([v is None for v in raw], pa.bool_())
     log = pa.array([d[0] for d in out], pa.int32())
     bh1, bh2 = (pa.array([d[k].decode() for d in out], pa.string()) for k in (1, 2))
@@ -47,6 +55,21 @@ def digest(data: Column | str, long: bool = False) -> Column:
     return _digest(not long)(col(data).cast("binary"))
 
 
+@functools.cache
+def _piece_counts():
+    @F.arrow_udf("array<long>")
+    def ctph_piece_counts(v: pa.Array) -> pa.Array:
+        counts = [kernels.piece_counts(some) for some in passes(v.to_pylist())]
+        return pa.array([row[row > 0] for some in counts for row in some], pa.list_(pa.int64()))
+
+    return ctph_piece_counts
+
+
+def piece_counts(data: Column | str) -> Column:
+    """How many pieces a text or binary has at each level, from level 0 to the last one that ends any."""
+    return _piece_counts()(col(data).cast("binary"))
+
+
 def digest_checked(data: Column | str, expected_size: Column | str | None = None, truncate: bool = True, long: bool = False) -> Column:
     """STRUCT<hash, error>: digest() with the generator's errors.
 

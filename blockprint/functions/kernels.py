@@ -94,18 +94,30 @@ def strings_at(data: np.ndarray, bounds: np.ndarray, roll_ends: np.ndarray, at:
     return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def digests(values: list[bytes], truncate: bool = True) -> list[tuple[int, bytes, bytes]]:
-    """(log block size, bh1, bh2) of each value; bh2 has 32 characters at most, or 64 if not truncated."""
+def ends_of(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of values one after another: owner of each byte, rolling values, places that end pieces, their highest levels, and
+    the number of pieces of each value whose highest level is each one."""
     sizes = np.array([len(v) for v in values], np.int64)
-    bounds = np.append(0, np.cumsum(sizes))
-    data = np.frombuffer(b"".join(values), np.uint8)
     gap = b"\0" * PAD
     padded = np.frombuffer(b"".join(x for v in values for x in (gap, v)), np.uint8)
     owner = np.repeat(np.arange(len(values)), sizes)
-    roll = rolling(padded)[np.arange(len(data)) + owner * PAD] if len(data) else np.zeros(0, np.uint32)
+    roll = rolling(padded)[np.arange(len(owner)) + owner * PAD] if len(owner) else np.zeros(0, np.uint32)
     at, top = trigger_levels(roll)
+    return owner, roll, at, top, np.bincount(owner[at] * BLOCK_SIZES + top, minlength=len(values) * BLOCK_SIZES).reshape(-1, BLOCK_SIZES)
+
+
+def piece_counts(values: list[bytes]) -> np.ndarray:
+    """For each value (rows) and level, how many pieces end."""
+    return ends_of(values)[4][:, ::-1].cumsum(axis=1)[:, ::-1]
+
+
+def digests(values: list[bytes], truncate: bool = True) -> list[tuple[int, bytes, bytes]]:
+    """(log block size, bh1, bh2) of each value; bh2 has 32 characters at most, or 64 if not truncated."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    data = np.frombuffer(b"".join(values), np.uint8)
+    owner, roll, at, top, exact = ends_of(values)
     of = owner[at]
-    exact = np.bincount(of * BLOCK_SIZES + top, minlength=len(values) * BLOCK_SIZES).reshape(-1, BLOCK_SIZES)
     level = level_of(sizes, exact[:, ::-1].cumsum(axis=1)[:, ::-1])
     ends = np.zeros(len(values), bool)
     ends[sizes > 0] = roll[bounds[1:][sizes > 0] - 1] != 0

@@ -155,7 +155,7 @@ def small_input_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id AS doc_id, level, pieces FROM ({trigger_counts_sql(DUCKDB, 'documents', 'doc_id', 'text')})")
 def trigger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spark.sql(trigger_counts_sql(SPARK, "{source}", "doc_id", "text"), source=docs).select(F.col("id").alias("doc_id"), "level", "pieces")
+    return docs.select("doc_id", F.posexplode(digests.piece_counts("text")).alias("level", "pieces"))
 
 
 @query(f"SELECT id AS conv_id, {SHOWN} AS digest FROM ({duck_digests('(SELECT conv_id, string_agg(text, chr(0)[1:0] ORDER BY turn) AS data FROM conversations GROUP BY conv_id)', 'conv_id', 'data')})".replace("chr(0)[1:0]", "''"))

@@ -136,6 +136,19 @@ def test_checked_digests(spark):
     assert one(spark, digests.digest("t"), t=None) is None
 
 
+def test_piece_counts(spark, tmp_path):
+    """Levels of texts in rows of a table, without a shuffle of their bytes."""
+    from blockprint import queries
+    from blockprint.plans.relational import SPARK, trigger_counts_sql
+
+    rows = spark.createDataFrame([(1, "abc def " * 300), (2, ""), (3, None), (4, "\u00e9" * 50), (5, "abc def " * 300)], "doc_id long, text string")
+    rows.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.trigger_counts(spark, str(tmp_path))
+    want = spark.sql(trigger_counts_sql(SPARK, "{rows}", "doc_id", "text"), rows=rows).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 2
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_position_array(spark):
     bits = one(spark, digests.position_array("b"), b="AB/A")
     assert bits[0] == 0b1001 and bits[1] == 0b10 and bits[63] == 0b100 and sum(bits) == 0b1111

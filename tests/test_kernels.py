@@ -147,3 +147,18 @@ def test_scores_and_candidates(n, a1, a2, step, b1, b2):
     assert 0 <= score <= 100 and score == plain.compare(y, x)["score"] and plain.compare(x, x)["score"] == 100
     if (n, a1, a2) != (m, b1, b2):
         assert (score > 0) == bool(set(plain.index_keys(x)) & set(plain.index_keys(y)))
+
+
+@pytest.mark.parametrize("level", range(6))
+def test_piece_counts(level):
+    rng = random.Random(level)
+    values = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 50, 0, 3000)] + [b"", bytes(20)]
+    for value, counts in zip(values, kernels.piece_counts(values), strict=True):
+        c = [0] * 6 + list(value)
+        ends = 0
+        for i in range(len(value)):
+            w, mixed = c[i : i + 7], 0
+            for j in range(7):
+                mixed ^= w[6 - j] << 5 * j & 0xFFFFFFFF
+            ends += ((sum(w) + sum((j + 1) * x for j, x in enumerate(w)) + mixed & 0xFFFFFFFF) + 1) % (3 << level) == 0
+        assert counts[level] == ends
