@@ -14,6 +14,8 @@ from blockprint.functions.incremental import StreamDigest
 
 #: Bytes of a stream that are held before its state takes them; streams up to this are digested many at a time.
 HELD_BYTES, PASS_BYTES = 4 << 20, 1 << 20
+#: Bytes up to which each prefix of a stream is digested as a whole, which then costs less than a step of a state.
+PREFIX_BYTES = 8 << 10
 ARROW_HASH = pa.struct([("log_block_size", pa.int32()), ("bh1", pa.string()), ("bh2", pa.string())])
 
 
@@ -99,20 +101,42 @@ def digest_chunks(df: DataFrame, id: str, seq: str, chunk: str, long: bool = Fal
 
 
 def prefix_digests(df: DataFrame, id: str, seq: str, chunk: str, long: bool = False) -> DataFrame:
-    """id, place (from 1 on), n_bytes, digest and error after each chunk of each stream: a state goes on after its digest was
-    asked for."""
+    """id, place (from 1 on), n_bytes, digest and error after each chunk of each stream. While a stream has PREFIX_BYTES or
+    less, what there is of it is digested many at a time; then a state goes on after its digest was asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, place = StreamDigest(), 0
+        state, place, so_far = None, 0, b""
         for batch in batches:
-            rows = []
+            rows: list = []
+            small: list[tuple[int, bytes]] = []
+            some = 0
+
+            def settle(rows: list = rows, small: list = small) -> None:
+                for (at, data), (n, x, y) in zip(small, kernels.digests([data for _, data in small], not long) if small else [], strict=True):
+                    rows[at] = (*rows[at][:3], {"log_block_size": n, "bh1": x.decode(), "bh2": y.decode()}, None)
+                small.clear()
+
             for key, chunk_, new in one(batch):
                 if new:
-                    state, place = StreamDigest(), 0
-                state.update(chunk_ or b"")
+                    state, place, so_far = None, 0, b""
                 place += 1
+                if state is None and len(so_far) + len(chunk_ or b"") <= PREFIX_BYTES:
+                    so_far += chunk_ or b""
+                    small.append((len(rows), so_far))
+                    rows.append((key, place, len(so_far), None, None))
+                    some += len(so_far)
+                    if some > PASS_BYTES:
+                        settle()
+                        some = 0
+                    continue
+                if state is None:
+                    state = StreamDigest()
+                    state.update(so_far)
+                    so_far = b""
+                state.update(chunk_ or b"")
                 h = None if state.error else dict(zip(("log_block_size", "bh1", "bh2"), state.digest(long), strict=True))
                 rows.append((key, place, state.size, h, state.error))
+            settle()
             if rows:
                 columns = list(zip(*rows, strict=True))
                 kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), ARROW_HASH, pa.string())

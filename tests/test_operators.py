@@ -232,3 +232,31 @@ def test_chunks_of_long_streams(spark, monkeypatch):
     assert chunks.digest_chunks(spark.createDataFrame([], "id long, seq long, chunk binary"), "id", "seq", "chunk").count() == 0
     ends = {r["id"]: r for r in chunks.prefix_digests(spark.createDataFrame(pieces, "id long, seq long, chunk binary"), "id", "seq", "chunk").collect() if r["n_bytes"] == len(texts[r["id"]])}
     assert {i: tuple(r["digest"]) for i, r in ends.items()} == {r["id"]: tuple(r["h"]) for r in want}
+
+
+def test_prefixes_of_short_and_long_streams(spark, monkeypatch):
+    """Short streams need no state; those that grow beyond PREFIX_BYTES go on with one."""
+    rng = random.Random(12)
+    chunk = lambda: bytes(rng.choice(b"abcd ") for _ in range(rng.choice([0, 1, 70, 400])))
+    pieces = [(i, k, chunk() or None) for i in range(12) for k in range(rng.choice([1, 3, 12]))]
+    whole = [(i, k + 1, b"".join(c or b"" for j, n, c in pieces if j == i and n <= k)) for i, k, _ in pieces]
+    want = {(r["id"], r["place"]): (len(r["data"]), tuple(r["h"])) for r in spark.createDataFrame(whole, "id long, place long, data binary").select("*", digests.digest("data").alias("h")).collect()}
+    rows = spark.createDataFrame(pieces, "id long, seq long, chunk binary")
+    found = lambda: {(r["id"], r["place"]): (r["n_bytes"], tuple(r["digest"])) for r in chunks.prefix_digests(rows, "id", "seq", "chunk").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(chunks, "PREFIX_BYTES", 500)
+        assert found() == want
+    monkeypatch.setattr(chunks, "StreamDigest", None)
+    assert found() == want
+
+
+def test_streams_that_come_at_once_need_no_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "StreamDigest", None)
+    texts = {"a": b"Hello, World!\n", "b": b"xy" * 900, "c": b""}
+    pieces = [(i, k, t[a : a + 97] or None, a + 97 > len(t)) for i, t in texts.items() for k, a in enumerate(range(0, len(t) + 1, 97))]
+    spark.createDataFrame(pieces, "id string, seq long, chunk binary, is_last boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, seq long, chunk binary, is_last boolean").parquet(str(tmp_path / "in"))
+    streaming.digest_chunks(stream).writeStream.format("memory").queryName("at_once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["id"]: (r["n_bytes"], r["log_block_size"], r["bh1"], r["bh2"], r["complete"], r["error"]) for r in spark.table("at_once").collect()}
+    want = spark.createDataFrame(list(texts.items()), "id string, data binary").select("id", digests.digest("data").alias("h")).collect()
+    assert got == {r["id"]: (len(texts[r["id"]]), *r["h"], True, None) for r in want}
