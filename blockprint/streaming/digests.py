@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from blockprint.functions import hashes
+from blockprint.functions import hashes, kernels
 from blockprint.functions.digests import digest, score
 from blockprint.functions.incremental import StreamDigest
 from blockprint.operators.joins import FEW_QUERIES
@@ -47,6 +47,9 @@ def digest_chunks(stream: DataFrame, every_batch: bool = False, long: bool = Fal
     stream of more bytes than digests are for has an error and no digest.
     """
 
+    def row(id: str, size: int, h: tuple, complete: bool, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame([(id, size, *h, complete, error)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             group.remove()
@@ -54,23 +57,33 @@ def digest_chunks(stream: DataFrame, every_batch: bool = False, long: bool = Fal
         state, following, held, last, told = group.get if group.exists else (b"", 0, "{}", -1, False)
         if told:
             return
-        out, waiting = StreamDigest.load(bytes(state)) if state else StreamDigest(), {int(k): v for k, v in json.loads(held).items()}
+        waiting = {int(k): bytes.fromhex(v) for k, v in json.loads(held).items()}
         for batch in batches:
             for seq, chunk, is_last in zip(batch["seq"], batch["chunk"], batch["is_last"], strict=True):
                 if seq >= following and seq not in waiting:
-                    waiting[int(seq)] = bytes(chunk).hex() if chunk is not None else ""
+                    waiting[int(seq)] = bytes(chunk) if chunk is not None else b""
                     if is_last:
                         last = int(seq)
+        ready = []
         while following in waiting:
-            out.update(bytes.fromhex(waiting.pop(following)))
+            ready.append(waiting.pop(following))
             following += 1
-        complete = last >= 0 and following > last
-        group.update((b"", following, "{}", last, True) if complete else (out.dump(), following, json.dumps(waiting), last, False))
+        data, complete = b"".join(ready), last >= 0 and following > last
+        if complete and not state:  # the whole stream at once
+            group.update((b"", following, "{}", last, True))
+            if keep_ms is not None:
+                group.setTimeoutDuration(keep_ms)
+            [(log, bh1, bh2)] = kernels.digests([data], not long)
+            yield row(key[0], len(data), (log, bh1.decode(), bh2.decode()), True, None)
+            return
+        out = StreamDigest.load(bytes(state)) if state else StreamDigest()
+        out.update(data)
+        group.update((b"", following, "{}", last, True) if complete else (out.dump(), following, json.dumps({k: v.hex() for k, v in waiting.items()}), last, False))
         if keep_ms is not None:
             group.setTimeoutDuration(keep_ms)
         if every_batch or complete:
             h = (None, None, None) if out.error else out.digest(long)
-            yield pd.DataFrame([(key[0], out.size, *h, complete, out.error)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            yield row(key[0], out.size, h, complete, out.error)
 
     rows = stream.select(F.col("id").cast("string").alias("id"), F.col("seq").cast("long").alias("seq"), F.col("chunk").cast("binary").alias("chunk"), F.coalesce("is_last", F.lit(False)).alias("is_last"))
     return rows.groupBy("id").applyInPandasWithState(fold, OUTPUT, STATE, "update" if every_batch else "append", GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
